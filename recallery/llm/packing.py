@@ -104,7 +104,7 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[
 
 
 def _packer(turn: int, capacity: int):
-    def pack(key, table: pa.Table) -> pa.Table:
+    def pack(key, table):
         part = int(key[0].as_py())
         table = table.drop_columns(["part"]).sort_by([(c, "ascending") for c in ("doc_id", "piece", "length", "ids_crc32")])
         lengths = table["length"].to_numpy()
