@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, pieces, token_files
+from . import packing, pieces, setsketch, token_files
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,9 +25,13 @@ def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(documents(spark, sf_dir), words=4, percent=80)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op4_best_fit_packing, op6_token_files, op7_piece_codec)
+    for f in (op4_best_fit_packing, op6_token_files, op7_piece_codec, op10_setsketch_near_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {}
