@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, pieces, setsketch, token_files
+from . import lpf_dedup, packing, pieces, setsketch, token_files
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lpf_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -31,7 +35,7 @@ def op10_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op4_best_fit_packing, op6_token_files, op7_piece_codec, op10_setsketch_near_dedup)
+    for f in (op3_suffix_array_dedup, op4_best_fit_packing, op6_token_files, op7_piece_codec, op10_setsketch_near_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {}
