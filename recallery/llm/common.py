@@ -102,3 +102,19 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of true values."""
     edges = np.flatnonzero(np.diff(np.concatenate(([0], mask.view(np.int8), [0]))))
     return edges[::2], edges[1::2]
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, longest: int) -> DataFrame:
+    """``doc_id, text, n_chars, label`` of at most ``rows`` labelled documents of each class.
+
+    For fitting only: labels whose ids are not held out, in the order of a hash of the id, and of
+    those the texts of at most ``longest`` bytes. The chosen ids are few, so they are broadcast.
+    """
+    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
+    usable = usable.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    chosen = None
+    for value in (0, 1):
+        some = usable.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+        chosen = some if chosen is None else chosen.unionByName(some)
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("n_chars").cast("long").alias("n_chars"))
+    return plain.where(F.octet_length("text") <= longest).join(F.broadcast(chosen), "doc_id")  # at most 2 * rows ids

@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lpf_dedup, packing, pieces, setsketch, token_files
+from . import lpf_dedup, packing, pieces, quality, setsketch, token_files, toxicity
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lpf_dedup.remove_repeats(documents(spark, sf_dir))
 
@@ -21,6 +25,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.tokens_round_trip(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -35,7 +43,7 @@ def op10_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op3_suffix_array_dedup, op4_best_fit_packing, op6_token_files, op7_piece_codec, op10_setsketch_near_dedup)
+    for f in (op1_factorisation_quality, op3_suffix_array_dedup, op4_best_fit_packing, op5_subword_toxicity, op6_token_files, op7_piece_codec, op10_setsketch_near_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {}
