@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lpf_dedup, packing, pieces, quality, setsketch, token_files, toxicity
+from . import lpf_dedup, packing, pieces, prefix_forest, quality, setsketch, token_files, toxicity
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op1_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op2_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_forest.nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lpf_dedup.remove_repeats(documents(spark, sf_dir))
 
@@ -43,7 +47,7 @@ def op10_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_factorisation_quality, op3_suffix_array_dedup, op4_best_fit_packing, op5_subword_toxicity, op6_token_files, op7_piece_codec, op10_setsketch_near_dedup)
+    for f in (op1_factorisation_quality, op2_prefix_forest, op3_suffix_array_dedup, op4_best_fit_packing, op5_subword_toxicity, op6_token_files, op7_piece_codec, op10_setsketch_near_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {}
