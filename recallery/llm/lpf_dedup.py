@@ -289,26 +289,45 @@ def _cut(with_text: bool):
         out = {"doc_id": table["doc_id"], "n_bytes": pa.array(np.diff(ends)), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64())}
         if with_text:
             # a cut may leave part of a character: such bytes go too
-            return pa.table(out | {"text": pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())})
+            out |= {"text": pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()), "rest": table["rest"]}
+            return pa.table(out)
         return pa.table(out | {"kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())})
 
     return cut
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """Per row of ``docs``: ``doc_id, n_bytes, n_removed, n_spans`` and the digest of what is kept.
-
-    ``with_text``: the kept text instead of its digest. Null texts count as empty; texts under
-    ``SPAN`` bytes keep everything; rows that repeat an id never remove each other's text; rows
-    without an id come after all others. Extra columns are left behind. An empty table gives no rows.
-    """
+def _blocked(docs: DataFrame, rest: list[str]) -> tuple[DataFrame, int]:
     width = 2 * shuffle_width(docs.sparkSession)
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    plain = plain.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(width)).cast("int"))
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
+    if rest:
+        columns.append(F.struct(*(docs[c] for c in rest)).alias("rest"))
+    plain = docs.select(*columns)
+    return plain.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(width)).cast("int")), width
+
+
+def _removed(plain: DataFrame, width: int, with_text: bool, schema: str) -> DataFrame:
     blocks = plain.groupBy("block")
     told = blocks.applyInArrow(_tell(width), _ddl(_TOLD))
     shared = told.groupBy("bucket").applyInArrow(_share, _ddl(_SHARED))
     sent = blocks.cogroup(shared.groupBy("block")).applyInArrow(_send(width), _ddl(_SENT))
     found = sent.groupBy("bucket").applyInArrow(_factors, _ddl(_FOUND))
-    last = "text string" if with_text else "kept_sha256 string"
-    return blocks.cogroup(found.groupBy("block")).applyInArrow(_cut(with_text), f"doc_id long, n_bytes long, n_removed long, n_spans long, {last}")
+    return blocks.cogroup(found.groupBy("block")).applyInArrow(_cut(with_text), f"doc_id long, n_bytes long, n_removed long, n_spans long, {schema}")
+
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs``: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``.
+
+    Null texts count as empty; texts under ``SPAN`` bytes keep everything; rows that repeat an id
+    never remove each other's text; rows without an id come after all others. Extra columns are
+    left behind. An empty table gives no rows.
+    """
+    return _removed(*_blocked(docs, []), False, "kept_sha256 string")
+
+
+def cut_repeats(docs: DataFrame) -> DataFrame:
+    """The rows and columns of ``docs`` with the repeated passages cut out of ``text``."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    plain, width = _blocked(docs.withColumn("_", F.lit(0)), [*rest, "_"])
+    kinds = plain.schema["rest"].dataType.simpleString()
+    cut = _removed(plain, width, True, f"text string, rest {kinds}")
+    return cut.select("doc_id", "text", *(F.col("rest").getField(c).alias(c) for c in rest)).select(docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lpf_dedup, packing, pieces, prefix_forest, quality, setsketch, token_files, toxicity
+from . import chroma, lpf_dedup, packing, pieces, prefix_forest, quality, secrets, setsketch, token_files, toxicity
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,13 +41,21 @@ def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(documents(spark, sf_dir), secrets.fit_forest())
+
+
+def op9_chroma_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chroma.identify(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op10_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(documents(spark, sf_dir), words=4, percent=80)
 
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_factorisation_quality, op2_prefix_forest, op3_suffix_array_dedup, op4_best_fit_packing, op5_subword_toxicity, op6_token_files, op7_piece_codec, op10_setsketch_near_dedup)
+    for f in (op1_factorisation_quality, op2_prefix_forest, op3_suffix_array_dedup, op4_best_fit_packing, op5_subword_toxicity, op6_token_files, op7_piece_codec, op8_secret_forest, op9_chroma_alignment, op10_setsketch_near_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {}
