@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import mix64, powers, runs, shuffle_width, slices
 
@@ -305,13 +306,15 @@ def _blocked(docs: DataFrame, rest: list[str]) -> tuple[DataFrame, int]:
     return plain.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(width)).cast("int")), width
 
 
-def _removed(plain: DataFrame, width: int, with_text: bool, schema: str) -> DataFrame:
+def _removed(plain: DataFrame, width: int, with_text: bool) -> DataFrame:
+    schema = StructType([StructField(c, LongType()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")])
+    schema = schema.add("text", StringType()).add(plain.schema["rest"]) if with_text else schema.add("kept_sha256", StringType())
     blocks = plain.groupBy("block")
     told = blocks.applyInArrow(_tell(width), _ddl(_TOLD))
     shared = told.groupBy("bucket").applyInArrow(_share, _ddl(_SHARED))
     sent = blocks.cogroup(shared.groupBy("block")).applyInArrow(_send(width), _ddl(_SENT))
     found = sent.groupBy("bucket").applyInArrow(_factors, _ddl(_FOUND))
-    return blocks.cogroup(found.groupBy("block")).applyInArrow(_cut(with_text), f"doc_id long, n_bytes long, n_removed long, n_spans long, {schema}")
+    return blocks.cogroup(found.groupBy("block")).applyInArrow(_cut(with_text), schema)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -321,13 +324,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     never remove each other's text; rows without an id come after all others. Extra columns are
     left behind. An empty table gives no rows.
     """
-    return _removed(*_blocked(docs, []), False, "kept_sha256 string")
+    return _removed(*_blocked(docs, []), False)
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
     """The rows and columns of ``docs`` with the repeated passages cut out of ``text``."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
     plain, width = _blocked(docs.withColumn("_", F.lit(0)), [*rest, "_"])
-    kinds = plain.schema["rest"].dataType.simpleString()
-    cut = _removed(plain, width, True, f"text string, rest {kinds}")
+    cut = _removed(plain, width, True)
     return cut.select("doc_id", "text", *(F.col("rest").getField(c).alias(c) for c in rest)).select(docs.columns)
