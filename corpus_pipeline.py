@@ -17,14 +17,14 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go; the model is fitted on the labels' training part."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = toxicity.toxicity(docs, labels)
-    return docs.join(scored.where("predicted = 1").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    return toxicity.drop_toxic(docs, toxicity.fit_toxicity(docs, labels))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one of the smallest id."""
     found = setsketch.near_duplicates(docs, words=5, percent=80)
-    return docs.join(found.where("NOT kept").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    # what goes grows with the documents: never broadcast
+    return docs.join(found.where("NOT kept").select("doc_id").hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -162,3 +162,17 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows each get a row; extra columns are left behind; an empty table gives no rows.
     """
     return score_toxicity(docs, fit_toxicity(docs, labels))
+
+
+def drop_toxic(docs: DataFrame, model: SubwordSoftmax) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is under the threshold; one pass without a shuffle."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def keep(batches):
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            for a, b in slices([len(t or "") for t in texts], 500_000):
+                scores = shared.value.scores(*subwords(texts[a:b]), b - a)
+                yield batch.slice(a, b - a).filter(pa.array(scores < THRESHOLD))
+
+    return docs.mapInArrow(keep, docs.schema)
