@@ -1,0 +1,108 @@
+"""Text threat scanning (O-240..O-254): one array of findings for each row, in expressions."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Phrases and patterns of the layers.
+PHRASES = ["ignore previous instructions", "ignore all previous", "disregard the above", "forget everything", "you are now", "system prompt", "reveal your instructions", "developer mode", "jailbreak", "act as if"]
+ROLE_SWITCH = r"(?i)(^|\n)\s*(system|assistant|user)\s*:"
+ESCALATION = r"(?i)(sudo|root access|admin privileges|bypass (the )?(filter|safety|security))"
+SOCIAL = r"(?i)(urgent(ly)?|immediately|trust me|i am your (admin|developer|creator)|this is an emergency)"
+APPROVAL = r"(?i)(already approved|has been authorized|permission (was )?granted|pre-?approved)"
+TRAVERSAL = r"(\.\./|\.\.\\|%2e%2e(%2f|/)|/etc/passwd)"
+SECRET_PATTERNS = [r"AKIA[0-9A-Z]{16}", r"ghp_[A-Za-z0-9]{36}", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}", r"(?i)(?:api[_-]?key|token|secret|password)[ \t]*[:=][ \t]*[\"']?[A-Za-z0-9_\-]{16,}"]
+INJECTION = [r"(?i)ignore (all |any )?(previous|prior|above)", r"(?i)(reveal|show|print) (me )?(your|the) (system )?(prompt|instructions)", r"(?i)you are (now|no longer)", r"(?i)pretend (to be|you are)"]
+FORBIDDEN_HOSTS = ["169.254.169.254", "metadata.google.internal", "localhost", "127.0.0.1", "0.0.0.0"]
+TOOL_NAMES = ["read", "write", "search", "execute", "browser", "terminal", "memory", "calculator", "python", "shell"]
+
+
+def _finding(test: Column, layer: str, severity: float) -> Column:
+    return F.when(test, F.struct(F.lit(layer).alias("layer"), F.lit(severity).alias("severity")))
+
+
+def known_phrases(text: Column) -> Column:
+    """O-240: how many of the phrases occur."""
+    lower = F.lower(text)
+    return reduce(lambda a, b: a + b, [lower.contains(p).cast("int") for p in PHRASES])
+
+
+def decoded_views(text: Column) -> Column:
+    """O-241: what runs of Base64 and hexadecimal digits and the URL-decoded text say; undecodable runs are left out."""
+    runs64 = F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9+/]{16,}={0,2})"))
+    runs16 = F.regexp_extract_all(text, F.lit(r"\b((?:[0-9A-Fa-f]{2}){8,})\b"))
+    even = lambda r: F.when(F.length(F.rtrim(r, F.lit("="))) % 4 == 1, None).otherwise(F.rpad(F.rtrim(r, F.lit("=")), (F.ceil(F.length(F.rtrim(r, F.lit("="))) / 4) * 4).cast("int"), F.lit("=")))
+    plain = lambda b: F.try_validate_utf8(b.cast("string"))
+    views = F.concat(F.transform(runs64, lambda r: plain(F.try_to_binary(even(r), F.lit("base64")))), F.transform(runs16, lambda r: plain(F.unhex(r))), F.array(F.try_url_decode(text)))
+    return F.filter(views, lambda v: v.isNotNull())
+
+
+def secret_findings(text: Column) -> Column:
+    """O-242: number of matches of the secret patterns."""
+    return reduce(lambda a, b: a + b, [F.size(F.regexp_extract_all(text, F.lit(f"({p})"), F.lit(1))) for p in SECRET_PATTERNS])
+
+
+def caps_ratio(text: Column) -> Column:
+    """O-244: share of all-capital words; 0 for fewer than four words."""
+    words = F.filter(F.split(text, r"\s+"), lambda w: w.rlike("[A-Za-z]"))
+    capital = F.filter(words, lambda w: w.rlike("^[^a-z]*[A-Z][^a-z]*$"))
+    return F.when(F.size(words) >= 4, F.size(capital) / F.size(words)).otherwise(F.lit(0.0))
+
+
+def heuristics(text: Column) -> list[Column]:
+    """O-244: shouting, double spaces, repeated marks, zero bytes, role switches, escalation."""
+    return [
+        _finding(caps_ratio(text) > 0.7, "caps", 0.4), _finding(text.contains("  "), "spacing", 0.2), _finding(text.rlike(r"[!?.]{4,}"), "punctuation", 0.3),
+        _finding(text.contains("\0"), "null_byte", 0.8), _finding(text.rlike(ROLE_SWITCH), "role_switch", 0.7), _finding(text.rlike(ESCALATION), "escalation", 0.8),
+    ]
+
+
+def unicode_tricks(text: Column) -> list[Column]:
+    """O-245: Latin with Cyrillic letters in one word, marks for right-to-left text, zero-width characters."""
+    return [
+        _finding(text.rlike(r"[A-Za-z][Ѐ-ӿ]|[Ѐ-ӿ][A-Za-z]"), "mixed_script", 0.7),
+        _finding(text.rlike(r"[‪-‮⁦-⁩]"), "bidi", 0.8), _finding(text.rlike(r"[​-‍⁠﻿]"), "zero_width", 0.6),
+    ]
+
+
+def scan_text(df: DataFrame, canaries: list[str] | None = None) -> DataFrame:
+    """O-251, O-252: findings of all layers, the level, and whether the text is clean (any double space is not: as specified)."""
+    t = F.col("content")
+    decoded = F.exists(decoded_views(t), lambda v: known_phrases(v) > 0)
+    layers = [
+        _finding(known_phrases(t) > 0, "phrase", 0.9), _finding(decoded & (known_phrases(t) == 0), "encoded_phrase", 0.9), _finding(secret_findings(t) > 0, "secret", 0.8), *heuristics(t), *unicode_tricks(t),
+        _finding(t.rlike(TRAVERSAL), "path_traversal", 0.7), _finding(t.rlike(SOCIAL), "social_engineering", 0.5), _finding(t.rlike(APPROVAL), "false_approval", 0.6),
+    ]
+    if canaries:
+        layers.append(_finding(reduce(lambda a, b: a | b, [t.contains(c) for c in canaries]), "canary", 1.0))
+    out = df.withColumn("threats", F.filter(F.array(*layers), lambda x: x.isNotNull()))
+    high = F.exists("threats", lambda x: x["severity"] >= 0.8)
+    level = F.when(high | (F.size("threats") >= 2), "critical").when(F.size("threats") >= 1, "warning").otherwise("clean")
+    return out.withColumn("level", level).withColumn("clean", F.size("threats") == 0)
+
+
+def injection_confidence(text: Column) -> Column:
+    """O-253: for each pattern .5, .2 more from two matches and .1 more from three; zero-width characters .6; the greatest."""
+    each = []
+    for p in INJECTION:
+        n = F.size(F.regexp_extract_all(text, F.lit(f"({p})"), F.lit(1)))
+        each.append(F.when(n > 0, 0.5 + F.when(n > 1, 0.2).otherwise(0.0) + F.when(n > 2, 0.1).otherwise(0.0)).otherwise(0.0))
+    return F.greatest(*each, F.when(text.rlike(r"[​-‍⁠﻿]"), 0.6).otherwise(0.0), F.when(F.size(F.regexp_extract_all(text, F.lit(r"([！-～])"))) >= 5, 0.55).otherwise(0.0))
+
+
+def url_allowed(url: Column, allowed: list[str] | None = None) -> Column:
+    """O-254: http or https, no metadata, local or link-local host, in the allow-list if there is one."""
+    host = F.lower(F.try_parse_url(url, F.lit("HOST")))
+    ok = url.rlike(r"^https?://") & host.isNotNull() & ~host.isin(FORBIDDEN_HOSTS) & ~host.rlike(r"^(169\.254\.|22[4-9]\.|23[0-9]\.)")
+    return F.coalesce(ok & (host.isin(allowed) if allowed else F.lit(True)), F.lit(False))
+
+
+def tool_aliases(df: DataFrame) -> DataFrame:
+    """O-248: words at a distance of one or two from a tool's name, for words of five letters or more."""
+    words = df.select("id", F.explode(F.array_distinct(F.split(F.lower("content"), r"[^a-z]+"))).alias("word")).where(F.length("word").between(5, 12))
+    name = F.explode(F.array(*[F.lit(n) for n in TOOL_NAMES if len(n) >= 5]))
+    near = words.withColumn("tool", name).where(F.abs(F.length("word") - F.length("tool")) <= 2)
+    return near.withColumn("distance", F.levenshtein("word", "tool", 2)).where("distance BETWEEN 1 AND 2")
