@@ -55,7 +55,7 @@ TURNS = "turns AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, turn, role, te
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as use of providers."""
     return table(spark, sf_dir, "events").selectExpr(
-        "concat('p', user_id % 7) AS provider", "ts", "cast(floor(value) AS bigint) AS tokens", "event_type = 'error' AS is_error", "event_type", "user_id", "event_id", "cast(get_json_object(props, '$.k') AS int) AS k", "value"
+        "concat('p', user_id % 7) AS provider", "cast(ts AS timestamp) AS ts", "cast(floor(value) AS bigint) AS tokens", "event_type = 'error' AS is_error", "event_type", "user_id", "event_id", "cast(get_json_object(props, '$.k') AS int) AS k", "value"
     )
 
 
