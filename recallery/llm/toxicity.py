@@ -17,8 +17,11 @@ from .common import held_out, labelled_sample, mix64, runs, slices, span_hashes
 BITS, WIDTH = 18, 8
 SEGMENT = 8
 #: bounds of the sample that the model is fitted on
-ROWS_PER_CLASS, LONGEST = 2500, 3000
-EPOCHS, BATCH, RATE = 10, 32, 0.15
+ROWS_PER_CLASS, LONGEST = 2000, 3000
+#: passes over the sample, more of them where it is small: at least ``STEPS`` batches
+EPOCHS, STEPS, BATCH, RATE = 10, 300, 32, 0.8
+#: first sum of squared gradients: steps of subwords seen once stay small
+START = 3e-2
 THRESHOLD = 0.7
 
 _LETTER = np.array([chr(c).isalpha() for c in range(0x10000)])
@@ -77,18 +80,19 @@ class SubwordSoftmax:
             share = float(np.mean([r[2] for r in rows])) if rows else 0.0
             return cls(table * 0, weights, float(np.log((share + 1e-3) / (1 - share + 1e-3))))
         bias, grown_b = -5.0, 1e-4
-        grown, grown_w = np.full(1 << BITS, 1e-8, np.float32), np.full(WIDTH, 1e-4)
-        rng.shuffle(rows)
+        grown, grown_w = np.full(1 << BITS, START, np.float32), np.full(WIDTH, 1e-4)
+        rows = [rows[k] for k in rng.permutation(len(rows))]
         batches = []
-        for at in range(0, len(rows), BATCH):
-            part = rows[at : at + BATCH]
+        while rows:  # small types, and what is batched goes: the driver holds one copy
+            part, rows = rows[-BATCH:], rows[:-BATCH]
             flat, back = np.unique(np.concatenate([r[0] for r in part]), return_inverse=True)
-            many = np.array([r[1].max() + 1 for r in part])
-            segment = np.concatenate([r[1] + k for r, k in zip(part, np.cumsum(many) - many, strict=True)])
-            share = 1 / np.bincount(segment)[segment]
-            batches.append((flat, back, segment, share, np.repeat(np.arange(len(part)), many), np.array([r[2] for r in part])))
-        for epoch in range(EPOCHS):
-            rate = RATE * (1 - epoch / EPOCHS)
+            many = np.array([int(r[1].max()) + 1 for r in part])
+            segment = np.concatenate([r[1].astype(np.int32) + k for r, k in zip(part, np.cumsum(many) - many, strict=True)]).astype(np.int32)
+            share = (1 / np.bincount(segment)[segment]).astype(np.float32)
+            batches.append((flat, back.astype(np.int32), segment, share, np.repeat(np.arange(len(part)), many), np.array([r[2] for r in part])))
+        epochs = max(EPOCHS, -(-STEPS // len(batches)))
+        for epoch in range(epochs):
+            rate = RATE * (1 - epoch / epochs)
             for k in rng.permutation(len(batches)):
                 flat, back, segment, share, owner, label = batches[k]
                 rows_, n = table[flat], len(owner)
@@ -128,13 +132,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Su
         for batch in batches:
             pairs = [subwords([t])[:2] for t in batch.column("text").to_pylist()]
             cuts = pa.array(np.cumsum([0] + [len(p[0]) for p in pairs]).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([p[k] for p in pairs]).astype(np.int32))) for k in (0, 1)]
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([p[k] for p in pairs]).astype(t))) for k, t in ((0, np.int32), (1, np.int16))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *lists], ["doc_id", "label", "at", "segment"])
 
     sample = labelled_sample(docs, labels, label, ROWS_PER_CLASS, LONGEST).select("doc_id", "label", "text")
-    rows = sample.mapInArrow(features, "doc_id long, label int, at array<int>, segment array<int>").toArrow().sort_by("doc_id")
+    rows = sample.mapInArrow(features, "doc_id long, label int, at array<int>, segment array<smallint>").toArrow().sort_by("doc_id")
     cells = (rows[c].to_numpy() if c == "label" else [x.values.to_numpy() for x in rows[c]] for c in ("at", "segment", "label"))
-    return SubwordSoftmax.fit([(a.astype(np.int64), g.astype(np.int64), int(y)) for a, g, y in zip(*cells, strict=True)])
+    return SubwordSoftmax.fit([(a, g, int(y)) for a, g, y in zip(*cells, strict=True)])
 
 
 def score_toxicity(docs: DataFrame, model: SubwordSoftmax) -> DataFrame:
