@@ -243,7 +243,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     groups = stored(connected_components(pairs), "groups")
     blocks = groups.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     members = groups.join(blocks, "label").select(F.col("node").alias("doc_id"), F.col("label").alias("grp"), "blocks")
-    texts = plain.join(members, "doc_id").groupBy("doc_id", "grp", "blocks").agg(F.min("text").alias("text"))
+    # members grow with the documents: never broadcast
+    texts = plain.join(members.hint("merge"), "doc_id").groupBy("doc_id", "grp", "blocks").agg(F.min("text").alias("text"))
     texts = stored(texts.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")), "candidates")
     everywhere = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     first = texts.where("doc_id = grp AND blocks > 1").withColumn("home", F.col("block")).withColumn("block", everywhere).where("block <> home").drop("home")
@@ -261,7 +262,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     labels = connected_components(verified.select("a", "b").union(met))
     of_class = classes.join(labels, classes.rep == labels.node, "left").select(*sets, F.coalesce("label", "rep").alias("component"))
     out = sketched.join(of_class, sets, "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
+    component = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )
