@@ -35,6 +35,8 @@ class PrefixForest:
         strings = self._strings(np.column_stack([scaled, rest]))
         self.order = np.argsort(strings, axis=1, kind="stable").astype(np.int32)
         self.strings = np.take_along_axis(strings, self.order, 1)
+        self.flat, self.base = self.order.ravel(), np.arange(TREES, dtype=np.int64) * n
+        self.short = vectors.astype(np.float32)
 
     def _strings(self, points: np.ndarray) -> np.ndarray:
         bits = (points.astype(np.float32) @ self.planes.T) > 0
@@ -43,10 +45,22 @@ class PrefixForest:
 
     def search(self, queries: np.ndarray, k: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Positions and inner products of the k best found for each query; ties to smaller positions."""
-        n = len(self.vectors)
-        lengths = np.sqrt((queries**2).sum(1))
-        strings = self._strings(np.column_stack([queries / lengths[:, None], np.zeros(len(queries))]))
-        low = np.empty((BITS + 1, TREES, len(queries)), np.int32)
+        at, scores = [], []
+        for start in range(0, len(queries), 1024):
+            part = queries[start : start + 1024]
+            lengths = np.sqrt((part**2).sum(1))
+            low, high = self._ranges(self._strings(np.column_stack([part / lengths[:, None], np.zeros(len(part))])))
+            for q, vector in enumerate(part):
+                found = self._ascend(vector.astype(np.float32), lengths[q] * self.longest, low[:, :, q], high[:, :, q], k)
+                exact = np.cumsum(self.vectors[found] * vector, axis=1)[:, -1] if len(found) else np.zeros(0)
+                best = np.lexsort((found, -exact))[:k]
+                at.append(found[best])
+                scores.append(exact[best])
+        return at, scores
+
+    def _ranges(self, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in each sorted array that share each prefix length (0 to all bits) with each string."""
+        low = np.empty((BITS + 1, *strings.shape), np.int32)
         high = np.empty_like(low)
         for level in range(BITS + 1):
             shift = np.uint64(BITS - level)
@@ -54,41 +68,47 @@ class PrefixForest:
             for t in range(TREES):
                 low[level, t] = np.searchsorted(self.strings[t], floor[t], "left")
                 high[level, t] = np.searchsorted(self.strings[t], floor[t] + (np.uint64(1) << shift), "left")
-        base = np.arange(TREES, dtype=np.int64) * n
-        flat = self.order.ravel()
-        at, scores = [], []
-        for q, vector in enumerate(queries):
-            seen = np.zeros(n, bool)
-            found, value = np.zeros(0, np.int64), np.zeros(0)
-            for level in range(BITS, -1, -1):
-                a, b = low[level, :, q], high[level, :, q]
-                if level == 0:
-                    fresh = np.flatnonzero(~seen)
-                else:
-                    many = (b - a).astype(np.int64)
-                    if level == BITS or (many > high[level + 1, :, q] - low[level + 1, :, q]).any():
-                        ends = np.cumsum(many)
-                        place = np.repeat(base + a - ends + many, many) + np.arange(ends[-1])
-                        fresh = np.unique(flat[place])
-                        fresh = fresh[~seen[fresh]]
-                    else:
-                        fresh = found[:0]
-                if len(fresh):
-                    seen[fresh] = True
-                    found, value = np.append(found, fresh), np.append(value, self.vectors[fresh] @ vector)
-                    if len(found) > 4 * k:
-                        best = np.argpartition(-value, 2 * k)[: 2 * k]
-                        found, value = found[best], value[best]
-                if len(found) >= k:
-                    kth = np.partition(value, len(value) - k)[len(value) - k] / (lengths[q] * self.longest)
-                    same = 1 - np.arccos(np.clip(kth, -1, 1)) / np.pi
-                    if 1 - (1 - same**level) ** TREES >= SURE:
-                        break
-            exact = np.cumsum(self.vectors[found] * vector, axis=1)[:, -1] if len(found) else value
-            best = np.lexsort((found, -exact))[:k]
-            at.append(found[best])
-            scores.append(exact[best])
-        return at, scores
+        return low, high
+
+    def _ascend(self, vector: np.ndarray, scale: float, low: np.ndarray, high: np.ndarray, k: int) -> np.ndarray:
+        """Positions that may be among the k best: all trees go up together, adding what each level adds."""
+        n = len(self.vectors)
+        total = (high - low).sum(1)
+        deep = np.flatnonzero(total >= k)
+        level = int(deep[-1]) if len(deep) else 0  # below it no k vectors are met: the longest matches are inside
+        seen = np.zeros(n, bool)
+        a, b = low[level].astype(np.int64), high[level].astype(np.int64)
+        begins, many = self.base + a, b - a
+        found, value = [], []
+        while True:
+            if level == 0:
+                fresh = np.flatnonzero(~seen)
+            else:
+                ends = np.cumsum(many)
+                mark = np.zeros(n, bool)
+                mark[self.flat[np.repeat(begins - ends + many, many) + np.arange(ends[-1])]] = True
+                mark &= ~seen
+                fresh = np.flatnonzero(mark)
+            if len(fresh):
+                seen[fresh] = True
+                found.append(fresh)
+                value.append(self.short[fresh] @ vector)
+            values = np.concatenate(value) if value else np.zeros(0)
+            if level == 0:
+                break
+            if len(values) >= k:
+                kth = np.partition(values, len(values) - k)[len(values) - k] / scale
+                same = 1 - np.arccos(np.clip(kth, -1, 1)) / np.pi
+                if 1 - (1 - same**level) ** TREES >= SURE:
+                    break
+            level -= 1
+            up, down = low[level].astype(np.int64), high[level].astype(np.int64)
+            begins, many = np.concatenate((self.base + up, self.base + b)), np.concatenate((a - up, down - b))
+            a, b = up, down
+        places = np.concatenate(found) if found else np.zeros(0, np.int64)
+        if len(places) > 2 * k:  # single precision orders all but near ties, which the margin holds
+            places = places[np.argpartition(-values, 2 * k)[: 2 * k]]
+        return places
 
 
 def _searcher(k: int, longest: float):
