@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recallery.functions.rounds import settled
+
 #: Entity patterns and the relation that each stands for.
 ENTITY_PATTERNS = [
     ("mention", "mentions", r"(@[\w.-]{2,})"), ("topic", "tags", r"(#[\w-]{2,})"), ("url", "references", r"(https?://[^\s)>\"]+)"),
@@ -109,7 +111,10 @@ def reachable(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     frontier = seen
     for step in range(1, depth + 1):
         found = frontier.join(links, frontier.node == links["at"]).select("seed", F.col("to").alias("node")).distinct()
-        frontier = found.join(seen, ["seed", "node"], "left_anti").withColumn("depth", F.lit(step))
+        # without this each round would hold the plans of all rounds before it twice
+        frontier = settled(found.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(step)))
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen.where("depth > 0")
 

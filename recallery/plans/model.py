@@ -99,3 +99,12 @@ WORDS = r"list_filter(string_split_regex(lower(content), '\s+'), lambda w: w <>
 
 def sql(ctes: list[str], select: str) -> str:
     return f"WITH {', '.join(ctes)} {select}"
+
+
+QUERY = "the and token thing"
+_PART = "ln((n - n{i} + 0.5e0) / (n{i} + 0.5e0) + 1) * f{i} * 2.5e0 / (f{i} + 1.5e0 * (0.25e0 + 0.75e0 * dl / avgdl))"
+BM25_DOCS = [
+    f"counted AS (SELECT id, len({WORDS}) AS dl, " + ", ".join(f"len(list_filter({WORDS}, lambda w: w = '{t}')) AS f{i}, CAST(contains(lower(content), '{t}') AS INT) AS has{i}" for i, t in enumerate(QUERY.split())) + " FROM memories)",
+    "stats AS (SELECT count(*) AS n, avg(dl) AS avgdl, " + ", ".join(f"sum(has{i}) AS n{i}" for i in range(4)) + " FROM counted)",
+    "bm25 AS (SELECT id, " + " + ".join(_PART.format(i=i) for i in range(4)) + " AS score FROM counted, stats)",
+]

@@ -8,16 +8,10 @@ from recallery.functions import metadata as md
 from recallery.functions import text as tx
 from recallery.operators import fusion, lexical, vector
 
-from .model import AS_OF, MEMORIES, VECTORS, WORDS, as_of, memories, sql, vectors
+from .model import AS_OF, BM25_DOCS, MEMORIES, QUERY, VECTORS, WORDS, as_of, memories, sql, vectors
 from .registry import query
 
-QUERY = "the and token thing"
-BM25_PART = "ln((n - n{i} + 0.5e0) / (n{i} + 0.5e0) + 1) * f{i} * 2.5e0 / (f{i} + 1.5e0 * (0.25e0 + 0.75e0 * dl / avgdl))"
-BM25 = f"""counted AS (SELECT id, len({WORDS}) AS dl, """ + ", ".join(
-    f"len(list_filter({WORDS}, lambda w: w = '{t}')) AS f{i}, CAST(contains(lower(content), '{t}') AS INT) AS has{i}" for i, t in enumerate(QUERY.split())
-) + " FROM memories), stats AS (SELECT count(*) AS n, avg(dl) AS avgdl, " + ", ".join(f"sum(has{i}) AS n{i}" for i in range(4)) + " FROM counted), bm25 AS (SELECT id, " + " + ".join(
-    BM25_PART.format(i=i) for i in range(4)
-) + " AS score FROM counted, stats)"
+BM25 = ", ".join(BM25_DOCS)
 
 
 def rounded(df, *names):
