@@ -98,6 +98,21 @@ def _numbered(ids: np.ndarray) -> np.ndarray:
     return np.unique(ids, return_inverse=True)[1]
 
 
+def _packed(keys: np.ndarray) -> bytes:
+    """48-bit keys in ascending order: the high 16 bits first (they compress away), then the low 32."""
+    return (keys >> np.uint64(32)).astype("<u2").tobytes() + keys.astype("<u4").tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    n = len(data) // 6
+    return (np.frombuffer(data, "<u2", n).astype(np.uint64) << np.uint64(32)) | np.frombuffer(data, "<u4", n, 2 * n)
+
+
+def _short(keys: np.ndarray) -> np.ndarray:
+    """48 bits of each minimizer: enough to tell which are shared; a rare false meeting costs work, not truth."""
+    return mix64(keys) >> np.uint64(16)
+
+
 def _by_bucket(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(bucket, kind="stable")
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -116,10 +131,10 @@ def _tell(buckets: int):
         keys, owners = keys[order], owners[order]
         new = np.ones(len(keys), bool)
         new[1:] = (keys[1:] != keys[:-1]) | (owners[1:] != owners[:-1])
-        keys, many = np.unique(keys[new], return_counts=True)
-        order, cuts = _by_bucket((mix64(keys) % np.uint64(buckets)).astype(np.int64), buckets)
+        keys, many = np.unique(_short(keys[new]), return_counts=True)
+        order, cuts = _by_bucket((keys % np.uint64(buckets)).astype(np.int64), buckets)
         keys, many = keys[order], many[order].astype("<u4")
-        rows = [(k, int(key[0].as_py()), keys[a:b].tobytes(), many[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+        rows = [(k, int(key[0].as_py()), _packed(keys[a:b]), many[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
         return _table(rows, _TOLD)
 
     return tell
@@ -142,7 +157,7 @@ def _ddl(schema: dict) -> str:
 
 def _share(key, table):
     """Which minimizers of the bucket have been met in two documents or more, for each block."""
-    keys = [np.frombuffer(x, np.uint64) for x in table["keys"].to_pylist()]
+    keys = [_unpacked(x) for x in table["keys"].to_pylist()]
     many = np.concatenate([np.frombuffer(x, "<u4") for x in table["many"].to_pylist()]).astype(np.int64)
     block = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
     flat = np.concatenate(keys)
@@ -155,7 +170,7 @@ def _share(key, table):
     for k, b in enumerate(table["block"].to_pylist()):
         own = block == k if len(keys) < 2 else slice(*np.searchsorted(block, [k, k + 1]))
         keys_, counts_ = flat[own], counts[own]
-        rows.append((b, keys_[(counts_ > 1) & (counts_ <= HOT)].tobytes(), keys_[counts_ > HOT].tobytes()))
+        rows.append((b, _packed(keys_[(counts_ > 1) & (counts_ <= HOT)]), _packed(keys_[counts_ > HOT])))
     return _table([r for r in rows if r[1] or r[2]], _SHARED)
 
 
@@ -168,15 +183,16 @@ def _send(buckets: int):
     def send(key, table, shared):
         if not table.num_rows:
             return _table([], _SENT)
-        join = lambda name: np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in shared[name].to_pylist())]))
+        join = lambda name: np.unique(np.concatenate([np.zeros(0, np.uint64), *(_unpacked(x) for x in shared[name].to_pylist())]))
         cool, hot = join("keys"), join("hot")
         _, ids, raw = _texts(table)
         out, parts, at = [], [], 0
         for a, codes, ends in _chunks(raw):
             first, last, keys, text, prints = _stretches(codes, ends)
             begins = np.concatenate(([0], ends))
-            is_hot = np.isin(keys, hot)
-            keep = np.flatnonzero(is_hot | np.isin(keys, cool))
+            short = _short(keys)
+            is_hot = np.isin(short, hot)
+            keep = np.flatnonzero(is_hot | np.isin(short, cool))
             first, last, keys, text, prints, is_hot = (x[keep] for x in (first, last, keys, text, prints, is_hot))
             if is_hot.any():  # each string of its own
                 many = np.where(is_hot, last - first + 1, 1)
