@@ -103,11 +103,9 @@ def contextual_boost(query: str, text: Column, title: Column, importance: Column
 def token_budget(df: DataFrame, group: str, order: list, tokens: str, budget: int, keep_first: bool = False) -> DataFrame:
     """O-103, O-139: rows in order while their tokens fit; the first overflow stops each group."""
     w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = df.withColumn("running", F.sum(tokens).over(w))
+    out = df.withColumns({"running": F.sum(tokens).over(w), "_nth": F.row_number().over(Window.partitionBy(group).orderBy(*order))})
     fits = F.col("running") <= budget
-    if keep_first:
-        fits = fits | (F.row_number().over(Window.partitionBy(group).orderBy(*order)) == 1)
-    return out.where(fits)
+    return out.where(fits | (F.col("_nth") == 1) if keep_first else fits).drop("_nth")
 
 
 def classify_context(tokens: Column, text: Column, large: list[str], medium: list[str]) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import more, network, retrieval, upkeep  # noqa: F401
+from . import extra, more, network, retrieval, upkeep  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
