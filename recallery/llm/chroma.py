@@ -131,49 +131,65 @@ def recording_classes(prints: DataFrame) -> DataFrame:
     return keyed.join(least, "key").select("rec_id", "class_id", "codes")
 
 
-def rendered(embeddings: DataFrame, seconds_per_note: float = 0.128) -> DataFrame:
-    """Recordings made from vectors: each component sounds as a note with two overtones.
+class _Instrument:
+    """Sounds each component of a vector as a note with two overtones."""
 
-    The tables at hand hold no audio, so this gives ``rec_id, pcm`` for any table of
-    ``vec_id, embedding``. Null vectors are silent.
-    """
-
-    def render(batches):
+    def __init__(self, seconds_per_note: float = 0.128):
         length = int(seconds_per_note * RATE)
         t = np.arange(length) / RATE
         fade = np.minimum(1, np.minimum(np.arange(length), np.arange(length)[::-1]) / 40)
         notes = np.stack([sum(np.sin(2 * np.pi * 110 * 2 ** (k / 12) * h * t) / h for h in (1, 2, 3)) * fade for k in range(24)])
-        notes = (notes * 9000).astype("<i2")
+        self.notes = (notes * 9000).astype("<i2")
+
+    def play(self, vector: list | None) -> np.ndarray:
+        x = np.nan_to_num(np.array([c or 0.0 for c in vector or []], np.float64))
+        return self.notes[np.floor(np.clip(np.abs(x) * 80, 0, 23)).astype(int)].ravel() if len(x) else np.zeros(0, "<i2")
+
+
+def excerpt(samples: np.ndarray, rec_id: int | None, seconds: float = 3.0, noise: float = 600.0) -> np.ndarray:
+    """A noisy part of a recording, from a place that depends on its id."""
+    seed = int(mix64(np.array([rec_id or 0], np.int64).view(np.uint64))[0])
+    room = max(0, len(samples) - int(seconds * RATE))
+    start = seed % (room // HOP + 1) * HOP
+    part = samples[start : start + int(seconds * RATE)].astype(np.float64)
+    return np.clip(part + np.random.default_rng(seed).normal(0, noise, len(part)), -32768, 32767).astype("<i2")
+
+
+def _vectors(embeddings: DataFrame) -> DataFrame:
+    return embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+
+
+def rendered(embeddings: DataFrame) -> DataFrame:
+    """Recordings made from vectors, ``rec_id, pcm`` from ``vec_id, embedding``: the tables at hand hold no audio.
+
+    Null vectors are silent.
+    """
+
+    def render(batches):
+        instrument = _Instrument()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                pcm = []
-                for v in part.column(1):
-                    x = np.nan_to_num(np.array([c or 0.0 for c in v.as_py() or []], np.float64))
-                    pcm.append(notes[np.floor(np.clip(np.abs(x) * 80, 0, 23)).astype(int)].tobytes() if len(x) else b"")
+                pcm = [instrument.play(v.as_py()).tobytes() for v in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pcm, pa.binary())], ["rec_id", "pcm"])
 
-    plain = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    return plain.mapInArrow(render, "rec_id long, pcm binary")
+    return _vectors(embeddings).mapInArrow(render, "rec_id long, pcm binary")
 
 
-def excerpted(recordings: DataFrame, seconds: float = 3.0, noise: float = 600.0) -> DataFrame:
-    """A noisy part of each recording, from a place that depends on its id."""
+def rendered_fingerprints(embeddings: DataFrame, as_excerpts: bool = False) -> DataFrame:
+    """What ``fingerprints(rendered(..))`` gives, of the whole recordings or of their excerpts, without moving the samples."""
 
-    def cut(batches):
+    def codes(batches):
+        instrument = _Instrument()
         for batch in batches:
-            out = []
-            for rec, pcm in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                samples = np.frombuffer(pcm or b"", "<i2").astype(np.float64)
-                seed = int(mix64(np.array([rec or 0], np.int64).view(np.uint64))[0])
-                room = max(0, len(samples) - int(seconds * RATE))
-                start = seed % (room // HOP + 1) * HOP
-                part = samples[start : start + int(seconds * RATE)]
-                noisy = part + np.random.default_rng(seed).normal(0, noise, len(part))
-                out.append(np.clip(noisy, -32768, 32767).astype("<i2").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["rec_id", "pcm"])
+            for at in range(0, batch.num_rows, 256):
+                part, found = batch.slice(at, 256), []
+                for rec_id, vector in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    samples = instrument.play(vector.as_py())
+                    found.append(fingerprint(excerpt(samples, rec_id) if as_excerpts else samples).view(np.int32))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int32()))], ["rec_id", "codes"])
 
-    return recordings.mapInArrow(cut, "rec_id long, pcm binary")
+    return _vectors(embeddings).mapInArrow(codes, "rec_id long, codes array<int>")
 
 
 def identify(embeddings: DataFrame, every: int = 20) -> DataFrame:
@@ -186,14 +202,14 @@ def identify(embeddings: DataFrame, every: int = 20) -> DataFrame:
     usable = embeddings.where("vec_id IS NOT NULL").dropDuplicates(["vec_id"])
     # a third of the rows may be one vector: each different one is rendered once, by its smallest id
     vectors = usable.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"))
-    prints = stored(recording_classes(fingerprints(rendered(vectors))), "prints")
+    prints = stored(recording_classes(stored(rendered_fingerprints(vectors), "codes")), "prints")
     owner = usable.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "embedding").join(
         vectors.select("embedding", F.col("vec_id").alias("rec_id")), "embedding"
     )
     asked = stored(owner.join(prints.select("rec_id", "class_id"), "rec_id").select("query_id", F.col("class_id").alias("own_class")), "asked")
     classes = prints.where("rec_id = class_id").select("rec_id", "codes")
     sought = vectors.join(asked.select(F.col("own_class").alias("vec_id")).distinct(), "vec_id", "left_semi")
-    excerpts = stored(fingerprints(excerpted(rendered(sought))), "excerpts")
+    excerpts = stored(rendered_fingerprints(sought, as_excerpts=True), "excerpts")
     found = align(excerpts, classes)
     return asked.join(found, asked.own_class == found["query"], "left").select(
         "query_id", "own_class", F.col("rec").alias("found_class"), "offset", "votes", "frames", "bit_errors"

@@ -169,6 +169,9 @@ def test_audio_excerpts_are_found(spark):
     assert all(r.found_class == r.own_class for r in out.values())
     assert out[40].own_class == out[60].own_class == 0
     assert chroma.identify(df.limit(0)).collect() == []
+    some = df.where("vec_id < 5")
+    apart = {r.rec_id: list(r.codes) for r in chroma.fingerprints(chroma.rendered(some)).collect()}
+    assert apart == {r.rec_id: list(r.codes) for r in chroma.rendered_fingerprints(some).collect()}
 
 
 def test_fingerprints_of_odd_recordings(spark):
