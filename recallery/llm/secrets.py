@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +16,20 @@ TREES, DEPTH, LEAST = 40, 9, 3
 FINDINGS = 6000
 
 _RUN = re.compile(r"(?<![A-Za-z0-9_+/=\-])[A-Za-z0-9_+/=\-]{16,}")
-_ASSIGNED = re.compile(r"[=:]>?\s{0,3}[\"'`]?([^\s\"'`,;<>()]{8,200})")
+_ASSIGNS = re.compile(r"[=:]>?\s{0,3}[\"'`]?")
+_VALUE = re.compile(r"[^\s\"'`,;<>()]{8,}")
 _NAMED = re.compile(r"(?i)(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth\w*|credential)s?\w{0,12}[\"'\]]?\s{0,3}$")
-_PRIVATE = re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?")
+#: to the END line, whatever stands between (headers, escaped line ends); where there is none, what may belong to a key
+_PRIVATE = re.compile(
+    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z ]{0,20}PRIVATE KEY-----"
+    r"|(?:(?:\s|\\+[nrt])[A-Za-z][A-Za-z0-9-]*: ?[^\n\\]*|\\+[nrt]|[A-Za-z0-9+/=\s])*)"
+)
 _KNOWN = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}$|gh[pousr]_[A-Za-z0-9]{30,}$|xox[abprs]-[A-Za-z0-9-]{10,}$|sk_live_[A-Za-z0-9]{16,}$|eyJ[A-Za-z0-9_-]{10,}")
+#: the same forms after a separator inside a longer run
+_KNOWN_INSIDE = re.compile(
+    r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|sk_live_[A-Za-z0-9]{16,}+)(?![A-Za-z0-9_])"
+    r"|(?<==)eyJ[A-Za-z0-9_-]{10,}+|(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{10,}+(?=\.)"
+)
 _SECRET_WORD = re.compile(r"(?i)pass|pwd|secret|token|key|auth|credential|bearer")
 _HARMLESS_WORD = re.compile(r"(?i)commit|sha|md5|hash|checksum|digest|revision|uuid|guid|etag|id\b|card|order|phone|isbn|example|sample|placeholder")
 _HARMLESS_PATH = re.compile(r"(?i)test|spec|fixture|example|sample|mock|doc|vendor|lock")
@@ -37,21 +48,37 @@ WORDS = (
 ).split()
 
 
+def _around(a: int, b: int, inside: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """What is left of a span outside those inside it."""
+    edges = [a, *(x for span in inside for x in span), b]
+    return list(zip(edges[::2], edges[1::2], strict=True))
+
+
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """Start, end and rule of what looks like a secret, in order and without overlap."""
     spans = [(m.start(), m.end(), "private_key") for m in _PRIVATE.finditer(text)] if "PRIVATE KEY" in text else []
-    for m in _ASSIGNED.finditer(text):
-        if _NAMED.search(text, max(0, m.start() - 48), m.start()):
-            spans.append((m.start(1), m.end(1), "assigned"))
+    known = [m.span() for m in _KNOWN_INSIDE.finditer(text)]
+    starts = [a for a, _ in known]
+    within = lambda a, b: [k for k in known[bisect_left(starts, a) : bisect_left(starts, b)] if k[1] <= b]
+    at = 0
+    while m := _ASSIGNS.search(text, at):
+        value = _VALUE.match(text, m.end()) if _NAMED.search(text, max(0, m.start() - 48), m.start()) else None
+        at = value.end() if value else m.start() + 1
+        if value:
+            inside = [] if _KNOWN.match(value.group()) else within(*value.span())
+            spans += [(a, b, "assigned") for a, b in _around(*value.span(), inside) if b - a >= 8]
+    spans += [(a, b, "known_form") for a, b in known]
     for m in _RUN.finditer(text):
-        token = m.group()
-        if _KNOWN.match(token):
+        if _KNOWN.match(m.group()):
             spans.append((m.start(), m.end(), "known_form"))
-        elif any(c.isdigit() for c in token) and not token.isdigit():
-            spans.append((m.start(), m.end(), "random_run"))
+            continue
+        for a, b in _around(m.start(), m.end(), within(m.start(), m.end())):
+            token = text[a:b]
+            if b - a >= 16 and any(c.isdigit() for c in token) and not token.isdigit():
+                spans.append((a, b, "random_run"))
     rank = {"private_key": 0, "assigned": 1, "known_form": 2, "random_run": 3}
     out: list[tuple[int, int, str]] = []
-    for a, b, rule in sorted(spans, key=lambda s: (rank[s[2]], s[0])):
+    for a, b, rule in sorted(spans, key=lambda s: (rank[s[2]], s[0], -s[1])):
         if all(b <= c or a >= d for c, d, _ in out):
             out.append((a, b, rule))
     return sorted(out)
