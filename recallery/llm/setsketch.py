@@ -81,10 +81,10 @@ def plausible(sketch: np.ndarray, size: int, others: np.ndarray, sizes: np.ndarr
 class _Group:
     """Documents of one candidate group, with their labels so far (positions)."""
 
-    def __init__(self, sets: list[np.ndarray], percent: int):
+    def __init__(self, sets: list[np.ndarray], percent: int, sketched: bool = True):
         self.sets, self.percent = sets, percent
         self.sizes = np.array([len(s) for s in sets], np.int64)
-        self.sketch = np.stack([registers(s) for s in sets])
+        self.sketch = np.stack([registers(s) for s in sets]) if sketched else None
         self.label = np.arange(len(sets))
         self.index = None
 
@@ -113,12 +113,9 @@ class _Group:
         labels = np.unique(np.append(self.label[others], self.label[x]))
         self.label[np.isin(self.label, labels)] = labels[0]
 
-    def compare(self, x: int, among: np.ndarray | None = None) -> None:
+    def compare(self, x: int) -> None:
         """Link x with every document outside its component that is similar enough."""
-        other = self.label != self.label[x]
-        if among is not None:
-            other &= among
-        other = np.flatnonzero(other)
+        other = np.flatnonzero(self.label != self.label[x])
         size = self.sizes[x]
         other = other[100 * np.minimum(self.sizes[other], size) >= self.percent * np.maximum(self.sizes[other], size)]
         if len(other):
@@ -191,31 +188,114 @@ def _verify(words: int, percent: int):
     return verify
 
 
-def _across(words: int, percent: int):
-    """Links between a block's documents and guests from other blocks of the same group."""
+def _narrow(words: int):
+    """Size and registers of each text, in place of the text."""
 
-    def across(table):
-        out_a, out_b = [], []
-        table = table.sort_by([("grp", "ascending"), ("block", "ascending"), ("guest", "ascending"), ("doc_id", "ascending")])
-        ids, group, block = (table[c].to_numpy() for c in ("doc_id", "grp", "block"))
-        guest = table["guest"].to_numpy(zero_copy_only=False)
-        cuts = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]) | (block[1:] != block[:-1]), [True])))
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            visits, own = guest[a:b], ids[a:b]
-            if not visits.any() or visits.all():
-                continue
-            found = _Group(shingle_sets(table["text"].slice(a, b - a).to_pylist(), words), percent)
-            _, seen = np.unique(table["home"].to_numpy()[a:b], return_inverse=True)
-            found.label = seen  # what a block has joined before counts as one
-            for x in np.flatnonzero(visits).tolist():
-                found.compare(x, ~visits)
-            least = np.full(b - a, np.iinfo(np.int64).max)
-            np.minimum.at(least, found.label, own)
-            out_a.append(own), out_b.append(least[found.label])
-        join = lambda x: pa.array(np.concatenate(x) if x else [], pa.int64())
-        return pa.table({"a": join(out_a), "b": join(out_b)})
+    def narrow(batches):
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for a, b in slices([len(t or "") for t in texts], 1_000_000):
+                sets = shingle_sets(texts[a:b], words)
+                rest = batch.slice(a, b - a)
+                keep = [rest.column(c) for c in ("doc_id", "grp", "blocks", "block")]
+                sizes = pa.array([len(s) for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [*keep, sizes, pa.array([registers(s).tobytes() for s in sets], pa.binary())], ["doc_id", "grp", "blocks", "block", "size", "sketch"]
+                )
 
-    return across
+    return narrow
+
+
+def _meetings(narrow: DataFrame) -> DataFrame:
+    """Rows of ``narrow`` dealt to meetings ``grp, block, party``: one block with one party of guests.
+
+    Guests are the documents outside the component of their group's first one (``label <> grp``), cut
+    into parties of about BLOCK; each party visits all blocks but those its guests are from.
+    """
+    outside = narrow.where("label <> grp")
+    parties = outside.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parties"))
+    # both sides grow with the documents: never broadcast
+    every = narrow.join(parties.hint("merge"), "grp")
+    resident = every.withColumn("party", F.explode(F.sequence(F.lit(0), F.col("parties") - 1))).withColumn("guest", F.lit(False))
+    guest = every.where("label <> grp").withColumn("party", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("parties")).cast("int"))
+    guest = guest.withColumn("home", F.col("block")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    guest = guest.where("block <> home").withColumn("guest", F.lit(True))
+    columns = ["grp", "block", "party", "doc_id", "label", "size", "sketch", "guest"]
+    return resident.select(columns).unionByName(guest.select(columns))
+
+
+def _plausible_pairs(percent: int, best_only: bool):
+    """Of a meeting, each document that has to be compared on its full set, guests with their partners.
+
+    With ``best_only`` one pair for each two components: that with the most equal registers.
+    """
+
+    def pairs(table):
+        table = table.sort_by([("guest", "ascending"), ("doc_id", "ascending")])
+        ids, label, size = (table[c].to_numpy() for c in ("doc_id", "label", "size"))
+        root = table["grp"][0].as_py()
+        guests = table["guest"].to_numpy(zero_copy_only=False)
+        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        partners: dict[int, list[int]] = {}
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for x in np.flatnonzero(guests).tolist():
+            # two guests of different blocks meet in both; once is enough
+            other = np.flatnonzero(~guests & (label != label[x]) & ((label == root) | (ids > ids[x])))
+            other = other[100 * np.minimum(size[other], size[x]) >= percent * np.maximum(size[other], size[x])]
+            if len(other):
+                other = other[plausible(sketch[x], size[x], sketch[other], size[other], percent / 100)]
+            if not len(other):
+                continue
+            if not best_only:
+                partners[x] = other.tolist()
+                continue
+            equal = (sketch[other] == sketch[x]).sum(axis=1)
+            order = np.argsort(-equal, kind="stable")
+            of, first = np.unique(label[other[order]], return_index=True)
+            for y_label, k in zip(of.tolist(), order[first].tolist(), strict=True):
+                key = (int(label[x]), y_label)
+                best[key] = max(best.get(key, (-1, 0, 0)), (int(equal[k]), x, int(other[k])))
+        for _, x, y in best.values():
+            partners.setdefault(x, []).append(y)
+        at = sorted({*partners, *(y for found in partners.values() for y in found)})
+        n = len(at)
+        columns = [pa.array(np.full(n, table[c][0].as_py()), t) for c, t in (("grp", pa.int64()), ("block", pa.int32()), ("party", pa.int32()))]
+        columns += [pa.array(v[at], pa.int64()) for v in (ids, label)]
+        columns.append(pa.array([ids[partners.get(x, [])].tolist() for x in at], pa.list_(pa.int64())))
+        return pa.Table.from_arrays(columns, ["grp", "block", "party", "doc_id", "label", "partners"])
+
+    return pairs
+
+
+def _confirm(words: int, percent: int):
+    """Links among the plausible pairs of a meeting, on full sets."""
+
+    def confirm(table):
+        ids = table["doc_id"].to_numpy()
+        found = _Group(shingle_sets(table["text"].to_pylist(), words), percent, sketched=False)
+        _, found.label = np.unique(table["label"].to_numpy(), return_inverse=True)  # what is joined already counts as one
+        order = np.argsort(ids)
+        for x, partners in enumerate(table["partners"]):
+            others = order[np.searchsorted(ids[order], np.array(partners.as_py(), np.int64))]
+            others = others[found.label[others] != found.label[x]]
+            if len(others):
+                hit = others[found.linked(found.common(x, others), x, others)]
+                if len(hit):
+                    found.join(x, hit)
+        least = np.full(len(ids), np.iinfo(np.int64).max)
+        np.minimum.at(least, found.label, ids)
+        return pa.table({"a": pa.array(ids, pa.int64()), "b": pa.array(least[found.label], pa.int64())})
+
+    return confirm
+
+
+def _across(narrow: DataFrame, texts: DataFrame, words: int, percent: int, best_only: bool) -> DataFrame:
+    """Links ``a, b`` between documents of different blocks; only those of plausible pairs move texts."""
+    schema = "grp long, block int, party int, doc_id long, label long, partners array<long>"
+    chosen = _meetings(narrow).groupBy("grp", "block", "party").applyInArrow(_plausible_pairs(percent, best_only), schema)
+    chosen = stored(chosen, "plausible")
+    full = texts.select("doc_id", "text").join(chosen.hint("merge"), "doc_id")
+    return stored(full.groupBy("grp", "block", "party").applyInArrow(_confirm(words, percent), "a long, b long"), "across")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -225,8 +305,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     equal sets are one class, found by grouping. The classes' sketches are cut into bands; those that
     meet in a band (at the threshold all but one of ten million pairs do) form candidate groups, in
     which likelihood estimates choose what is compared on full sets. Groups are cut into blocks
-    of about 1024: each block is solved with the group's first document as a guest, and whatever
-    that one's component does not hold then visits the other blocks, so no link is lost.
+    of about 1024: each block is solved with the group's first document as a guest. Whatever that
+    one's component does not hold then visits the other blocks in parties of about 1024, as sketches;
+    of each two components the likeliest pair is compared on full sets first, then every plausible pair
+    of documents that are still apart, so no link is lost and a task holds two blocks at most.
 
     Null, empty and blank texts have no shingles and are linked with nothing. Rows without an id
     stay, with a null component. Rows that repeat an id count as one document. Extra columns go.
@@ -251,15 +333,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     pack = F.pmod(F.xxhash64("grp", "block"), F.lit(4 * shuffle_width(docs.sparkSession)))
     verified = texts.unionByName(first).withColumn("pack", pack).groupBy("pack").applyInArrow(_verify(words, percent), "a long, b long, near boolean")
     verified = stored(verified, "verified")
+    links = verified.select("a", "b")
+    labels = stored(connected_components(links), "labels")
     large = texts.where("blocks > 1")
-    home = verified.where("NOT near").select(F.col("a").alias("doc_id"), F.col("b").alias("home"))
-    roots = verified.where("near").select(F.col("a").alias("doc_id")).distinct()
-    settled = large.join(home, "doc_id", "left").withColumn("home", F.coalesce("home", "grp"))
-    settled = stored(settled.join(roots.withColumn("rooted", F.lit(True)), "doc_id", "left"), "settled")
-    guests = settled.where("rooted IS NULL").withColumn("from", F.col("block")).withColumn("block", everywhere).where("block <> from").drop("from")
-    meet = settled.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True)))
-    met = meet.withColumn("pack", pack).groupBy("pack").applyInArrow(_across(words, percent), "a long, b long")
-    labels = connected_components(verified.select("a", "b").union(met))
+    narrow = stored(large.mapInArrow(_narrow(words), "doc_id long, grp long, blocks int, block int, size long, sketch binary"), "narrow")
+    for best_only in (True, False):
+        labelled = narrow.join(labels.hint("merge"), narrow.doc_id == labels.node, "left").withColumn("label", F.coalesce("label", "doc_id")).drop("node")
+        labelled = stored(labelled, "labelled")
+        if labelled.where("label <> grp").isEmpty():
+            break
+        links = links.union(_across(labelled, large, words, percent, best_only))
+        labels = stored(connected_components(links), "labels")
     of_class = classes.join(labels, classes.rep == labels.node, "left").select(*sets, F.coalesce("label", "rep").alias("component"))
     out = sketched.join(of_class, sets, "left")
     component = F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("component")).otherwise(F.col("doc_id"))
