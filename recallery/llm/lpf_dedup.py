@@ -12,12 +12,13 @@ minimizers, and successive positions mostly share theirs, so they travel as one
 2. A minimizer met in one document only cannot repeat; the others are returned to their blocks.
 3. Blocks send the stretches of those minimizers, each different one once: a later document of the
    block with the same stretch loses it at once.
-4. Where a minimizer's stretches meet, positions are put in suffix order, and the previous and next
-   positions of smaller documents there give the match.
+4. Where a minimizer's stretches meet, their positions are put in suffix order with the common
+   prefixes of neighbours; the previous and next places of smaller documents there give the longest previous factor.
 5. Blocks cut what was found out of their texts.
 
 Minimizers of more than ``HOT`` documents (a notice in a third of all texts, with as many
-different neighbourhoods) are dealt by whole ``SPAN``-byte strings instead.
+different neighbourhoods) are dealt by whole ``SPAN``-byte strings instead. Blocks and buckets are as many as
+the bytes of the input need, so that each holds about ``BLOCK_BYTES`` at every size.
 """
 
 from __future__ import annotations
@@ -30,10 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import mix64, powers, runs, shuffle_width, slices
+from .common import mix64, powers, runs, slices
 
 SPAN, GRAM, HOT = 50, 20, 4096
+#: bytes of text in one block
+BLOCK_BYTES = 8_000_000
 _CHUNK = 1_000_000
+#: offsets of the eight-byte words that the first SPAN bytes are compared by
+_WORDS = (*range(8, SPAN - 8, 8), SPAN - 8)
 _TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x8CB92BA72F3D8DD7))
 
 
@@ -179,6 +184,17 @@ def _pieces(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return codes[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
 
 
+def _equal(codes: np.ndarray, a: np.ndarray, a_lengths: np.ndarray, b: np.ndarray, b_lengths: np.ndarray) -> np.ndarray:
+    """Which pieces of ``codes`` are the same, byte by byte."""
+    same = a_lengths == b_lengths
+    at = np.flatnonzero(same)
+    for i, j in slices(b_lengths[at].tolist(), _CHUNK):
+        x = at[i:j]
+        differ = _pieces(codes, a[x], b_lengths[x]) != _pieces(codes, b[x], b_lengths[x])
+        same[x] = np.add.reduceat(differ, np.cumsum(b_lengths[x]) - b_lengths[x], dtype=np.int64) == 0
+    return same
+
+
 def _send(buckets: int):
     def send(key, table, shared):
         if not table.num_rows:
@@ -213,10 +229,12 @@ def _send(buckets: int):
         order = np.lexsort((docs, prints))
         new = np.ones(len(order), bool)
         new[1:] = prints[order][1:] != prints[order][:-1]
-        least = np.empty(len(order), np.int64)
+        first = np.empty(len(order), np.int64)
         if len(order):
-            least[order] = np.repeat(docs[order][new], np.diff(np.append(np.flatnonzero(new), len(order))))
-        later = docs > least
+            first[order] = np.repeat(order[new], np.diff(np.append(np.flatnonzero(new), len(order))))
+        later = docs > docs[first]
+        asked = np.flatnonzero(later)
+        later[asked[~_equal(codes, place[first[asked]], lengths[first[asked]], place[asked], lengths[asked])]] = False
         gone = np.stack([rows[later], starts[later], (starts + lengths)[later]]).astype("<i8")
         asks = np.flatnonzero(~later)
         order, cuts = _by_bucket((mix64(keys[asks]) % np.uint64(buckets)).astype(np.int64), buckets)
@@ -232,37 +250,101 @@ def _send(buckets: int):
     return send
 
 
-def previous_factors(codes: np.ndarray, lengths: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Starts (positions in ``codes``) whose ``SPAN`` bytes also start in a smaller document.
+def _ranks(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An ascending order of the values and, for each value, the place of its first equal there."""
+    order = np.argsort(values)
+    ordered = values[order]
+    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(values) else np.zeros(0, np.int64)
+    rank = np.empty(len(values), np.int64)
+    rank[order] = np.repeat(first, np.diff(np.append(first, len(values))))
+    return order, rank
+
 
-    ``codes`` joins stretches of these lengths and documents. Positions are sorted by their
-    ``SPAN`` bytes (by fingerprint, which serves as any fixed order of strings does; equal neighbours are compared byte by
-    byte), then by document. Within a run of equal strings the common prefix is SPAN
-    or more and elsewhere less, so the previous position of a smaller document, if it is in the
-    run, is the match; the next one cannot be, as documents ascend.
+def suffix_order(codes: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes that begin at ``starts``, by their first SPAN bytes, then by ``owner``.
+
+    Also the common prefix of each with the one before it, at most SPAN. All suffixes must have SPAN bytes. Every round
+    refines groups of equal prefixes by the rank of the next eight bytes; suffixes alone in their group are done.
     """
-    ends = np.cumsum(lengths)
-    counts = lengths - SPAN + 1
+    n = len(starts)
+    common = np.zeros(n, np.int64)
+    if not n:
+        return np.zeros(0, np.int64), common
+    words = np.zeros(len(codes), np.uint64)
+    for k in range(8):
+        words[: len(codes) - k] |= codes[k:].astype(np.uint64) << np.uint64(56 - 8 * k)
+    _, ranked = _ranks(words)
+    ranked = ranked.astype(np.uint64)
+
+    def split(place: np.ndarray, shift: int) -> None:
+        """Common prefixes at places where a group falls apart: the first byte that differs in these words."""
+        differ = words[starts[order[place]] + shift] ^ words[starts[order[place - 1]] + shift]
+        common[place] = shift + sum((differ < np.uint64(1 << bits)).astype(np.int64) for bits in range(8, 64, 8))
+
+    order, rank = _ranks(ranked[starts])
+    new = np.concatenate(([False], rank[order][1:] != rank[order][:-1]))
+    split(np.flatnonzero(new), 0)
+    for shift in (*_WORDS, None):
+        grouped = rank[order]
+        same = np.concatenate(([False], grouped[1:] == grouped[:-1]))
+        slots = np.flatnonzero(same | np.append(same[1:], False))
+        if not len(slots):
+            break
+        inside = order[slots]
+        nextly = owner[inside].astype(np.uint64) if shift is None else ranked[starts[inside] + shift]
+        by = np.argsort((rank[inside].astype(np.uint64) << np.uint64(32)) | nextly)
+        order[slots] = inside[by]
+        if shift is None:
+            common[slots[same[slots]]] = SPAN
+            break
+        nextly, heads = nextly[by], ~same[slots]
+        apart = heads.copy()
+        apart[1:] |= nextly[1:] != nextly[:-1]
+        split(slots[apart & ~heads], shift)
+        rank[order[slots]] = slots[np.maximum.accumulate(np.where(apart, np.arange(len(slots)), 0))]
+    return order, common
+
+
+def _nearest_smaller(values: np.ndarray, common: np.ndarray, floor: int) -> np.ndarray:
+    """For each place the least of ``common`` on the way back to the previous smaller value; 0 if under ``floor``.
+
+    Places point to the one before and, while that is not smaller, take over where it points to.
+    """
+    n = len(values)
+    at, least = np.arange(-1, n - 1), common.copy()
+    todo = np.arange(n)
+    while len(todo := todo[(at[todo] >= 0) & (least[todo] >= floor)]):
+        todo = todo[values[at[todo]] >= values[todo]]
+        before = at[todo]
+        least[todo] = np.minimum(least[todo], least[before])
+        at[todo] = at[before]
+    least[(at < 0) | (least < floor)] = 0
+    return least
+
+
+def longest_previous_factors(codes: np.ndarray, lengths: np.ndarray, docs: np.ndarray, floor: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Starts (positions in ``codes`` with SPAN bytes left) and their longest previous factors, at most SPAN.
+
+    ``codes`` joins stretches of these lengths and documents; the factor is the longest string that begins
+    at the start and also begins at one of a smaller document. Factors under ``floor`` are given as 0.
+    """
+    ends, counts = np.cumsum(lengths), lengths - SPAN + 1
     starts = np.repeat(ends - lengths - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-    owner = np.repeat(docs, counts)
-    names = np.empty(len(starts), np.uint64)
-    at = 0
-    for a, b in slices(lengths.tolist(), _CHUNK):
-        begin, n = ends[a] - lengths[a], int(counts[a:b].sum())
-        names[at : at + n] = _grams(_sums(codes[begin : ends[b - 1]]), SPAN)[starts[at : at + n] - begin]
-        at += n
-    order = np.lexsort((owner, names))
-    names, owner, starts = names[order], owner[order], starts[order]
-    same = np.zeros(len(order), bool)
-    same[1:] = names[1:] == names[:-1]
-    where = np.flatnonzero(same)
-    words = np.lib.stride_tricks.as_strided(codes.view(), shape=(max(0, len(codes) - 7), 8), strides=(1, 1))
-    for shift in (*range(0, SPAN - 8, 8), SPAN - 8):
-        differ = (words[starts[where] + shift] != words[starts[where - 1] + shift]).any(axis=1)
-        same[where[differ]] = False
-    run = np.flatnonzero(~same)
-    least = np.repeat(owner[run], np.diff(np.append(run, len(owner)))) if len(run) else owner
-    return starts[owner > least]
+    number = np.unique(docs, return_inverse=True)[1]
+    owner = np.repeat(number, counts)
+    order, common = suffix_order(codes, starts, owner)
+    owner = owner[order]
+    back = _nearest_smaller(owner, common, floor)
+    ahead = _nearest_smaller(owner[::-1], np.append(common[1:], 0)[::-1], floor)[::-1]
+    factors = np.empty(len(starts), np.int64)
+    factors[order] = np.maximum(back, ahead)
+    return starts, factors
+
+
+def previous_factors(codes: np.ndarray, lengths: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Starts whose SPAN bytes also start in a smaller document."""
+    starts, factors = longest_previous_factors(codes, lengths, docs, SPAN)
+    return starts[factors >= SPAN]
 
 
 def _factors(key, table):
@@ -314,12 +396,15 @@ def _cut(with_text: bool):
 
 
 def _blocked(docs: DataFrame, rest: list[str]) -> tuple[DataFrame, int]:
-    width = 2 * shuffle_width(docs.sparkSession)
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
     if rest:
         columns.append(F.struct(*(docs[c] for c in rest)).alias("rest"))
     plain = docs.select(*columns)
-    return plain.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(width)).cast("int")), width
+    total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0]
+    width = max(1, -(-(total or 0) // BLOCK_BYTES))
+    # rows without an id never remove each other's text and may be many: dealt by their text
+    by = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+    return plain.withColumn("block", F.pmod(by, F.lit(width)).cast("int")), width
 
 
 def _removed(plain: DataFrame, width: int, with_text: bool) -> DataFrame:
@@ -337,15 +422,22 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``.
 
     Null texts count as empty; texts under ``SPAN`` bytes keep everything; rows that repeat an id
-    never remove each other's text; rows without an id come after all others. Extra columns are
+    never remove each other's text; rows without an id come after all others. Very long texts are read in
+    stretches; a task holds a block of about ``BLOCK_BYTES`` or one longer text. Extra columns are
     left behind. An empty table gives no rows.
     """
     return _removed(*_blocked(docs, []), False)
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
-    """The rows and columns of ``docs`` with the repeated passages cut out of ``text``."""
+    """The rows and columns of ``docs`` with the repeated passages cut out of ``text``.
+
+    Edge cases as in ``remove_repeats``; other columns, whatever their names, come through unchanged. A cut that leaves
+    part of a character takes the rest of it too.
+    """
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    plain, width = _blocked(docs.withColumn("_", F.lit(0)), [*rest, "_"])
+    numbered = [f"c{k}" for k in range(len(rest))]
+    columns = [F.col(f"`{c}`").alias(n) for c, n in zip(rest, numbered, strict=True)]
+    plain, width = _blocked(docs.select("doc_id", "text", *columns, F.lit(0).alias("none")), [*numbered, "none"])
     cut = _removed(plain, width, True)
-    return cut.select("doc_id", "text", *(F.col("rest").getField(c).alias(c) for c in rest)).select(docs.columns)
+    return cut.select("doc_id", "text", *(F.col("rest").getField(n).alias(c) for c, n in zip(rest, numbered, strict=True))).select([F.col(f"`{c}`") for c in docs.columns])

@@ -165,3 +165,54 @@ def test_one_hash_clash_is_no_match():
     assert lpf_dedup.previous_factors(codes, np.array([60, 60]), np.array([1, 2])).tolist() == []
     same = np.frombuffer(b"a" * 120, np.uint8)
     assert sorted(lpf_dedup.previous_factors(same, np.array([60, 60]), np.array([1, 2])).tolist()) == list(range(60, 71))
+
+
+def brute_factors(codes, lengths, docs, n=50):
+    raw, at, places = codes.tobytes(), 0, []
+    for length, doc in zip(lengths, docs, strict=True):
+        places += [(p, doc) for p in range(at, at + length - n + 1)]
+        at += length
+    same = lambda p, q: next((k for k in range(n) if raw[p + k] != raw[q + k]), n)
+    return {p: max((same(p, q) for q, e in places if e < d), default=0) for p, d in places}
+
+
+def test_longest_previous_factors_of_stretches():
+    rng = random.Random(8)
+    for alphabet in (b"a", b"ab", b"abcdefgh"):
+        for _ in range(8):
+            base = bytes(rng.choice(alphabet) for _ in range(150))
+            parts = []
+            for _ in range(rng.randint(1, 6)):
+                k, at = rng.randint(50, 90), rng.randint(0, 60)
+                parts.append(base[at : at + k] if rng.random() < 0.6 else bytes(rng.choice(alphabet) for _ in range(k)))
+            codes, lengths = np.frombuffer(b"".join(parts), np.uint8), np.array([len(p) for p in parts])
+            docs = np.array([rng.randint(0, 4) for _ in parts])
+            want = brute_factors(codes, lengths, docs)
+            starts, found = lpf_dedup.longest_previous_factors(codes, lengths, docs)
+            assert dict(zip(starts.tolist(), found.tolist(), strict=True)) == want
+            assert sorted(lpf_dedup.previous_factors(codes, lengths, docs).tolist()) == sorted(p for p, f in want.items() if f >= 50)
+
+
+def test_stretches_of_equal_fingerprints_are_compared():
+    codes = np.frombuffer(b"a" * 60 + b"a" * 60 + b"b" * 60 + b"a" * 59, np.uint8)
+    at = np.array([60, 120, 180])
+    assert lpf_dedup._equal(codes, np.zeros(3, int), np.full(3, 60), at, np.array([60, 60, 59])).tolist() == [True, False, False]
+
+
+def test_repeats_in_many_blocks_long_texts_and_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(lpf_dedup, "BLOCK_BYTES", 20_000)
+    rng = random.Random(4)
+    junk = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    long = junk(200_000)
+    texts = [(1, long), (2, junk(300) + long[1000:150_000]), (3, long[-70:]), *((i, long[i * 100 : i * 100 + 120]) for i in range(4, 60))]
+    df = spark.createDataFrame([(i, t, 7, "b", "r") for i, t in texts], "doc_id long, text string, `_` int, `rest` string, `a.b` string")
+    assert {r[0]: tuple(r[1:]) for r in lpf_dedup.remove_repeats(df).collect()} == brute_repeats(texts)
+    cut = lpf_dedup.cut_repeats(df)
+    assert cut.columns == df.columns
+    assert {hashlib.sha256(r.text.encode()).hexdigest() for r in cut.collect()} == {v[3] for v in brute_repeats(texts).values()}
+    assert {(r["_"], r["rest"], r["a.b"]) for r in cut.collect()} == {(7, "b", "r")}
+
+
+def test_repeats_without_ids_are_dealt_out(spark):
+    df = spark.createDataFrame([(None, "the very same passage of more than fifty bytes, without ids")] * 3 + [(None, None)], "doc_id long, text string")
+    assert sorted(r.n_removed for r in lpf_dedup.remove_repeats(df).collect()) == [0, 0, 0, 0]
