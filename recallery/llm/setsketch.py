@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, shuffle_width, slices, stored
-from .components import connected_components
+from .common import mix64, slices, stored
+from .components import connected_components, join_key_values
 from .shingles import shingle_sets
 
 #: Registers hold floor(1 - log_BASE(x)) of the least of exponential values with rate RATE.
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
-#: documents verified in one block; larger candidate groups are cut into several
-BLOCK = 1024
+#: documents and shingles verified in one block; larger candidate groups are cut into several
+BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
+#: bytes of text whose blocks are verified together
+PACK_BYTES = 4_000_000
 #: a pair goes if the threshold is this much less likely (in nats) than its best similarity
 SURE = 14.0
 
@@ -147,15 +151,15 @@ class _Group:
 
 
 def sketch_documents(docs: DataFrame, words: int) -> DataFrame:
-    """Per document: size of its shingle set, two hashes of the whole set, and its band keys."""
+    """Per document: size of its shingle set, the two halves of a cryptographic digest of the whole set, and its band keys."""
 
     def sketch(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in slices([len(t or "") for t in texts], 1_000_000):
                 sets = shingle_sets(texts[a:b], words)
-                sums = [(int(mix64(s).sum()), int(mix64(s * np.uint64(5) + np.uint64(1)).sum())) for s in sets]
-                keys = np.array(sums, np.uint64).view(np.int64)
+                # the sets are sorted: equal digests are equal sets
+                keys = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
                 bands = [band_keys(registers(s)) if len(s) else np.zeros(0, np.int64) for s in sets]
                 ends = np.cumsum([0] + [len(x) for x in bands]).astype(np.int32)
                 arrays = [batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1])]
@@ -212,10 +216,9 @@ def _meetings(narrow: DataFrame) -> DataFrame:
     Guests are the documents outside the component of their group's first one (``label <> grp``), cut
     into parties of about BLOCK; each party visits all blocks but those its guests are from.
     """
-    outside = narrow.where("label <> grp")
-    parties = outside.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parties"))
-    # both sides grow with the documents: never broadcast
-    every = narrow.join(parties.hint("merge"), "grp")
+    marked = narrow.withColumn("outside", F.when(F.col("label") != F.col("grp"), F.col("doc_id")))
+    every = join_key_values(marked, "grp", "doc_id", guests=("count", "outside")).where("guests > 0")
+    every = every.withColumn("parties", F.ceil(F.col("guests") / BLOCK).cast("int")).drop("guests", "outside")
     resident = every.withColumn("party", F.explode(F.sequence(F.lit(0), F.col("parties") - 1))).withColumn("guest", F.lit(False))
     guest = every.where("label <> grp").withColumn("party", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("parties")).cast("int"))
     guest = guest.withColumn("home", F.col("block")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -302,7 +305,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """Components of documents whose shingle sets have a Jaccard similarity of ``percent`` or more.
 
     Returns ``doc_id, n_shingles, component_id, kept``, a row for each row of ``docs``. Documents of
-    equal sets are one class, found by grouping. The classes' sketches are cut into bands; those that
+    equal sets (by a 128-bit digest of the whole set) are one class, found by grouping. The classes' sketches are cut into bands; those that
     meet in a band (at the threshold all but one of ten million pairs do) form candidate groups, in
     which likelihood estimates choose what is compared on full sets. Groups are cut into blocks
     of about 1024: each block is solved with the group's first document as a guest. Whatever that
@@ -320,17 +323,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         sketched.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes"
     )
     banded = classes.select("rep", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    pairs = banded.join(shared, "band").where("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b"))
-    groups = stored(connected_components(pairs), "groups")
-    blocks = groups.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = groups.join(blocks, "label").select(F.col("node").alias("doc_id"), F.col("label").alias("grp"), "blocks")
+    shared = join_key_values(banded, "band", "rep", low=("min", "rep")).where("rep <> low")
+    groups = stored(connected_components(shared.select(F.col("rep").alias("a"), F.col("low").alias("b"))), "groups")
+    sized = groups.join(classes.select(F.col("rep").alias("node"), "n_shingles").hint("merge"), "node")
+    counted = join_key_values(sized, "label", "node", members=("count", "node"), shingles=("sum", "n_shingles"))
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    members = counted.select(F.col("node").alias("doc_id"), F.col("label").alias("grp"), blocks.alias("blocks"))
     # members grow with the documents: never broadcast
     texts = plain.join(members.hint("merge"), "doc_id").groupBy("doc_id", "grp", "blocks").agg(F.min("text").alias("text"))
     texts = stored(texts.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")), "candidates")
     everywhere = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     first = texts.where("doc_id = grp AND blocks > 1").withColumn("home", F.col("block")).withColumn("block", everywhere).where("block <> home").drop("home")
-    pack = F.pmod(F.xxhash64("grp", "block"), F.lit(4 * shuffle_width(docs.sparkSession)))
+    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    pack = F.pmod(F.xxhash64("grp", "block"), F.lit(-(-total // PACK_BYTES) + 1))
     verified = texts.unionByName(first).withColumn("pack", pack).groupBy("pack").applyInArrow(_verify(words, percent), "a long, b long, near boolean")
     verified = stored(verified, "verified")
     links = verified.select("a", "b")
