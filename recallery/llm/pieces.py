@@ -172,7 +172,8 @@ def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
 def piece_digests(docs: DataFrame, model: str) -> DataFrame:
     """Count and SHA-256 of each text's ids and SHA-256 of what they decode to.
 
-    Null and empty texts have the end id alone; repeated rows each give a row; extra columns go.
+    Null and empty texts have the end id alone; repeated rows each give a row; extra columns go; an
+    empty table gives no rows. Long texts are read whole, a few at a time; the time of a long word grows with n log n.
     """
 
     def digest(batches):

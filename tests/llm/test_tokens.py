@@ -1,13 +1,15 @@
 """Tokenizers, packing and token files against the libraries."""
 
+import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
 
-from recallery.llm import packing, pieces, queries, token_files
+from recallery.llm import merges, packing, pieces, queries, token_files
 from recallery.llm.encoders import TextEncoder
 from recallery.llm.merges import MergeTable, merge_rounds
 
@@ -136,3 +138,77 @@ def test_exchange_never_takes_more_bins(spark):
     alone = placed(packing.pack_pieces(df, items_per_task=200, exchanges=0).collect())
     pooled = packing.pack_pieces(df, items_per_task=200, exchanges=3).collect()
     assert len(pooled) == 3000 and placed(pooled) <= alone
+
+
+def long_words():
+    rng = random.Random(6)
+    word = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    return [word(4000, "etaoinshrdlu"), "x" * 5000, "ab" * 2500, word(3000, "日本語のabc"), "▁" * 4000, f"{word(2500, 'etaoin')} a {word(2000, 'aab')} b", *(word(60, "aab") for _ in range(50))]
+
+
+@pytest.mark.parametrize("long", [2000, 10**9])
+def test_long_words_equal_the_library(monkeypatch, long):
+    """By the heap, and by rounds that take many pairs of a word at once."""
+    import sentencepiece
+
+    monkeypatch.setattr(merges, "LONG", long)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    codec, library = pieces.PieceCodec(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    for w, ids in zip(long_words(), codec.encode_batch(long_words()), strict=True):
+        assert ids.tolist() == [*library.encode(w), 2]
+
+
+def test_a_word_of_60000_letters_takes_no_square_of_time():
+    codec, rng = pieces.PieceCodec(public_tokenizers.path("piece_bpe_32k.model")), random.Random(1)
+    codec.encode_batch(["x" * 3000])
+    took = []
+    for n in (15_000, 60_000):
+        word, began = "".join(rng.choice("etaoinshrdlucmfwyp") for _ in range(n)), time.process_time()
+        codec.encode_batch([word])
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 0.2
+
+
+def test_op7_on_table(spark, sf):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    found = queries.op7_piece_codec(spark, sf).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        ids = [*library.encode(texts[r.doc_id]), 2]
+        want = (len(ids), *(hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(str, ids)), library.decode(ids))))
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == want
+
+
+def test_piece_digests_edge_cases(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rows = pieces.piece_digests(edge_rows(spark), path).collect()
+    assert len(rows) == 6 and [r.n_tokens for r in rows if r.doc_id in (1, 3)] == [1, 1]
+    assert sum(r.doc_id is None for r in rows) == 1 and max(r.n_tokens for r in rows) > 3000
+    assert pieces.piece_digests(edge_rows(spark).limit(0), path).collect() == []
+
+
+def test_op6_on_table(spark, sf):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rows = sorted(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
+    found, start = {r.doc_id: r for r in queries.op6_token_files(spark, sf).collect()}, 0
+    assert len(found) == len(rows)
+    for doc_id, text in rows:
+        ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        assert (found[doc_id].start, found[doc_id].n_tokens, found[doc_id].ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
+def test_op4_ids_equal_the_library(spark, sf):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {r.doc_id: np.array([*library.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    found = queries.op4_best_fit_packing(spark, sf).collect()
+    for r in found:
+        assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes())
+    assert sum(r.length for r in found) == sum(map(len, ids.values()))
