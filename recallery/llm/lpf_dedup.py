@@ -37,8 +37,6 @@ SPAN, GRAM, HOT = 50, 20, 4096
 #: bytes of text in one block
 BLOCK_BYTES = 8_000_000
 _CHUNK = 1_000_000
-#: offsets of the eight-byte words that the first SPAN bytes are compared by
-_WORDS = (*range(8, SPAN - 8, 8), SPAN - 8)
 _TABLE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x8CB92BA72F3D8DD7))
 
 
@@ -86,6 +84,16 @@ def _stretches(codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     return first, last, least[first], text, print_
 
 
+def _prints(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Fingerprints of pieces that follow each other in ``codes``."""
+    out = np.empty(len(starts), np.uint64)
+    for a, b in slices(lengths.tolist(), _CHUNK):
+        at = starts[a:b] - starts[a]
+        sums = _sums(codes[starts[a] : starts[b - 1] + lengths[b - 1]])
+        out[a:b] = mix64((sums[at + lengths[a:b]] - sums[at]) * powers(len(sums))[1][at] + lengths[a:b].astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+    return out
+
+
 def _texts(table: pa.Table) -> tuple[pa.Table, np.ndarray, list[bytes]]:
     """The block's rows in a fixed order, their ids, and their bytes; rows without an id are last."""
     table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
@@ -195,6 +203,20 @@ def _equal(codes: np.ndarray, a: np.ndarray, a_lengths: np.ndarray, b: np.ndarra
     return same
 
 
+def _later(codes: np.ndarray, place: np.ndarray, lengths: np.ndarray, docs: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """Which stretches of ``codes`` a smaller document has as a whole: found by fingerprint, compared byte by byte."""
+    if not len(prints):
+        return np.zeros(0, bool)
+    order = np.lexsort((docs, prints))
+    new = np.flatnonzero(np.concatenate(([True], prints[order][1:] != prints[order][:-1])))
+    first = np.empty(len(order), np.int64)
+    first[order] = np.repeat(order[new], np.diff(np.append(new, len(order))))
+    later = docs > docs[first]
+    asked = np.flatnonzero(later)
+    later[asked[~_equal(codes, place[first[asked]], lengths[first[asked]], place[asked], lengths[asked])]] = False
+    return later
+
+
 def _send(buckets: int):
     def send(key, table, shared):
         if not table.num_rows:
@@ -226,15 +248,7 @@ def _send(buckets: int):
         codes = np.concatenate(parts)
         docs = ids[rows]
         # of equal stretches only those of the first document ask; the others' are gone
-        order = np.lexsort((docs, prints))
-        new = np.ones(len(order), bool)
-        new[1:] = prints[order][1:] != prints[order][:-1]
-        first = np.empty(len(order), np.int64)
-        if len(order):
-            first[order] = np.repeat(order[new], np.diff(np.append(np.flatnonzero(new), len(order))))
-        later = docs > docs[first]
-        asked = np.flatnonzero(later)
-        later[asked[~_equal(codes, place[first[asked]], lengths[first[asked]], place[asked], lengths[asked])]] = False
+        later = _later(codes, place, lengths, docs, prints)
         gone = np.stack([rows[later], starts[later], (starts + lengths)[later]]).astype("<i8")
         asks = np.flatnonzero(~later)
         order, cuts = _by_bucket((mix64(keys[asks]) % np.uint64(buckets)).astype(np.int64), buckets)
@@ -250,57 +264,53 @@ def _send(buckets: int):
     return send
 
 
-def _ranks(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An ascending order of the values and, for each value, the place of its first equal there."""
-    order = np.argsort(values)
-    ordered = values[order]
-    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(values) else np.zeros(0, np.int64)
-    rank = np.empty(len(values), np.int64)
-    rank[order] = np.repeat(first, np.diff(np.append(first, len(values))))
-    return order, rank
-
-
 def suffix_order(codes: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes that begin at ``starts``, by their first SPAN bytes, then by ``owner``.
 
-    Also the common prefix of each with the one before it, at most SPAN. All suffixes must have SPAN bytes. Every round
-    refines groups of equal prefixes by the rank of the next eight bytes; suffixes alone in their group are done.
+    Also the common prefix of each with the one before it, at most SPAN. All suffixes must have SPAN bytes. The first
+    round sorts by eight bytes; each further one refines the groups that are still equal by the next few
+    bytes, as many as fit into a key behind the group's place; suffixes alone in their group are done.
     """
     n = len(starts)
     common = np.zeros(n, np.int64)
     if not n:
         return np.zeros(0, np.int64), common
-    words = np.zeros(len(codes), np.uint64)
-    for k in range(8):
-        words[: len(codes) - k] |= codes[k:].astype(np.uint64) << np.uint64(56 - 8 * k)
-    _, ranked = _ranks(words)
-    ranked = ranked.astype(np.uint64)
-
-    def split(place: np.ndarray, shift: int) -> None:
-        """Common prefixes at places where a group falls apart: the first byte that differs in these words."""
-        differ = words[starts[order[place]] + shift] ^ words[starts[order[place - 1]] + shift]
-        common[place] = shift + sum((differ < np.uint64(1 << bits)).astype(np.int64) for bits in range(8, 64, 8))
-
-    order, rank = _ranks(ranked[starts])
-    new = np.concatenate(([False], rank[order][1:] != rank[order][:-1]))
-    split(np.flatnonzero(new), 0)
-    for shift in (*_WORDS, None):
-        grouped = rank[order]
+    words = np.ndarray((len(codes) - 7,), ">u8", np.ascontiguousarray(codes).data, strides=(1,))
+    step = 5 if n < 1 << 24 else 4
+    low = np.uint64((1 << 8 * step) - 1)
+
+    def split(place: np.ndarray, at: int) -> None:
+        """Common prefixes at places where a group falls apart: up to the first byte that differs from ``at`` on."""
+        differ = words[starts[order[place]] + at].astype(np.uint64) ^ words[starts[order[place - 1]] + at].astype(np.uint64)
+        common[place] = at + sum((differ < np.uint64(1 << bits)).astype(np.int64) for bits in range(8, 64, 8))
+
+    first = words[starts].astype(np.uint64)
+    order = np.argsort(first)
+    first = first[order]
+    new = np.concatenate(([True], first[1:] != first[:-1]))
+    split(np.flatnonzero(new)[1:], 0)
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    slots = np.arange(n)
+    for at in (*range(8, SPAN - step, step), SPAN - step, None):
+        grouped = rank[order[slots]]
         same = np.concatenate(([False], grouped[1:] == grouped[:-1]))
-        slots = np.flatnonzero(same | np.append(same[1:], False))
+        open_ = same | np.append(same[1:], False)
+        slots, same, grouped = slots[open_], same[open_], grouped[open_]
         if not len(slots):
             break
         inside = order[slots]
-        nextly = owner[inside].astype(np.uint64) if shift is None else ranked[starts[inside] + shift]
-        by = np.argsort((rank[inside].astype(np.uint64) << np.uint64(32)) | nextly)
-        order[slots] = inside[by]
-        if shift is None:
-            common[slots[same[slots]]] = SPAN
+        if at is None:
+            by = np.argsort((grouped.astype(np.uint64) << np.uint64(32)) | owner[inside].astype(np.uint64))
+            order[slots] = inside[by]
+            common[slots[same]] = SPAN
             break
-        nextly, heads = nextly[by], ~same[slots]
-        apart = heads.copy()
-        apart[1:] |= nextly[1:] != nextly[:-1]
-        split(slots[apart & ~heads], shift)
+        key = (grouped.astype(np.uint64) << np.uint64(8 * step)) | (words[starts[inside] + (at + step - 8)].astype(np.uint64) & low)
+        by = np.argsort(key)
+        key = key[by]
+        order[slots] = inside[by]
+        apart = np.concatenate(([True], key[1:] != key[:-1]))
+        split(slots[apart & same], at + step - 8)
         rank[order[slots]] = slots[np.maximum.accumulate(np.where(apart, np.arange(len(slots)), 0))]
     return order, common
 
@@ -355,16 +365,22 @@ def _factors(key, table):
     block = np.repeat(table["block"].to_numpy(), [len(x) // 4 for x in table["lengths"].to_pylist()])
     out = [(b, g) for b, g in zip(table["block"].to_pylist(), table["gone"].to_pylist(), strict=True) if g]
     if len(lengths):
-        hit = np.zeros(len(codes) + 1, bool)
-        hit[previous_factors(codes, lengths, docs)] = True
+        ends = np.cumsum(lengths)
+        later = _later(codes, ends - lengths, lengths, docs, _prints(codes, ends - lengths, lengths))
+        rest = np.flatnonzero(~later)
+        some = _pieces(codes, (ends - lengths)[rest], lengths[rest])
+        hit = np.zeros(len(some) + 1, bool)
+        hit[previous_factors(some, lengths[rest], docs[rest])] = True
         # starts of one stretch never run on into the next: its last SPAN - 1 bytes start nothing
         first, stop = runs(hit)
-        ends = np.cumsum(lengths)
+        ends = np.cumsum(lengths[rest])
         of = np.searchsorted(ends, first, "right")
-        begin = first - (ends[of] - lengths[of]) + starts[of]
-        found = np.stack([rows[of], begin, begin + (stop - first) + SPAN - 1])
-        for b in np.unique(block[of]).tolist():
-            out.append((b, found[:, block[of] == b].astype("<i8").tobytes()))
+        begin = first - (ends - lengths[rest])[of] + starts[rest[of]]
+        of = rest[of]
+        gone = np.stack([np.append(rows[of], rows[later]), np.append(begin, starts[later]), np.append(begin + (stop - first) + SPAN - 1, (starts + lengths)[later])])
+        whose = np.append(block[of], block[later])
+        for b in np.unique(whose).tolist():
+            out.append((b, gone[:, whose == b].astype("<i8").tobytes()))
     return _table(out, _FOUND)
 
 
