@@ -19,10 +19,11 @@ _RUN = re.compile(r"(?<![A-Za-z0-9_+/=\-])[A-Za-z0-9_+/=\-]{16,}")
 _ASSIGNS = re.compile(r"[=:]>?\s{0,3}[\"'`]?")
 _VALUE = re.compile(r"[^\s\"'`,;<>()]{8,}")
 _NAMED = re.compile(r"(?i)(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth\w*|credential)s?\w{0,12}[\"'\]]?\s{0,3}$")
-#: to the END line, whatever stands between (headers, escaped line ends); where there is none, what may belong to a key
+#: to the END line, whatever stands between (headers, escaped line ends); where there is none, headers and lines of a key's
+#: alphabet: long ones, then maybe a short last one that fills its line
 _PRIVATE = re.compile(
     r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z ]{0,20}PRIVATE KEY-----"
-    r"|(?:(?:\s|\\+[nrt])[A-Za-z][A-Za-z0-9-]*: ?[^\n\\]*|\\+[nrt]|[A-Za-z0-9+/=\s])*)"
+    r"|(?:(?:\s|\\+[nrt])+(?:[A-Z][A-Za-z]*-[A-Za-z-]+: ?[^\n\\]*|[A-Za-z0-9+/]{32,}={0,2}))*(?:(?<=[A-Za-z0-9+/]{32})(?:\s|\\+[nrt])+[A-Za-z0-9+/]{1,31}={0,2}(?=\s*(?:\n|\Z|\\+n)))?)"
 )
 _KNOWN = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}$|gh[pousr]_[A-Za-z0-9]{30,}$|xox[abprs]-[A-Za-z0-9-]{10,}$|sk_live_[A-Za-z0-9]{16,}$|eyJ[A-Za-z0-9_-]{10,}")
 #: the same forms after a separator inside a longer run
@@ -78,8 +79,10 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
                 spans.append((a, b, "random_run"))
     rank = {"private_key": 0, "assigned": 1, "known_form": 2, "random_run": 3}
     out: list[tuple[int, int, str]] = []
+    taken = bytearray(len(text) if len(spans) > 1 else 0)
     for a, b, rule in sorted(spans, key=lambda s: (rank[s[2]], s[0], -s[1])):
-        if all(b <= c or a >= d for c, d, _ in out):
+        if taken.find(1, a, b) < 0:
+            taken[a:b] = b"\1" * (b - a)
             out.append((a, b, rule))
     return sorted(out)
 
@@ -193,13 +196,15 @@ def labelled_findings(n: int = FINDINGS, seed: int = 17) -> list[tuple[str, str,
         quote = pick(['"', "'", ""])
         secret = bool(rng.integers(2))
         if secret:
-            kind = rng.integers(7)
+            kind = rng.integers(10)
             value = [
                 lambda: draw(hexes, int(pick([32, 40, 48, 64]))), lambda: draw(mixed, int(rng.integers(20, 48))), lambda: draw(mixed + "+/", int(rng.integers(24, 64))),
                 lambda: "AKIA" + draw("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), lambda: pick(["ghp_", "gho_"]) + draw(mixed, 36),
                 lambda: "sk_live_" + draw(mixed, 24), lambda: draw(mixed + "!@#$%^&*", int(rng.integers(10, 20))),
+                lambda: draw(mixed + "-_", int(rng.integers(64, 400))), lambda: ".".join(["eyJ" + draw(mixed, 30), draw(mixed + "-_", 80), draw(mixed + "-_", 43)]),
+                lambda: f"-----BEGIN {pick(['', 'RSA ', 'EC '])}PRIVATE KEY-----\n" + "\n".join(draw(mixed + "+/", 64) for _ in range(rng.integers(0, 20))),
             ][kind]()
-            bare = kind in (3, 4, 5) and rng.random() < 0.5
+            bare = kind == 9 or (kind in (3, 4, 5, 8) and rng.random() < 0.5)
             before = words(3) + (" " if bare else f" {pick(names)}{pick([' = ', '=', ': ', ' := '])}{quote}")
         else:
             kind = rng.integers(9)
@@ -242,7 +247,8 @@ def scan_secrets(docs: DataFrame, forest: Forest, path: str = "source") -> DataF
     """A row for each candidate: ``doc_id, start, length, rule, score, secret, value_sha256``.
 
     Starts and lengths count characters of the whole text. Null and empty texts have none; repeated
-    rows are each scanned; ``path`` names the column that tells where a text is from (null: unknown).
+    rows are each scanned; long texts take time in proportion; an empty table gives no rows and extra columns are left behind.
+    ``path`` names the column that tells where a text is from (null, or no such column: unknown).
     """
     import hashlib
 
@@ -260,22 +266,28 @@ def scan_secrets(docs: DataFrame, forest: Forest, path: str = "source") -> DataF
             arrays = [pa.array(list(c), t) for c, t in zip(columns, schema.values(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *arrays], ["doc_id", *schema])
 
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(path).cast("string").alias("path"))
+    where = F.col(path) if path in docs.columns else F.lit(None)
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), where.cast("string").alias("path"))
     found = plain.mapInArrow(scan, "doc_id long, start long, length long, rule string, score double, value_sha256 string")
     return found.withColumn("secret", F.col("score") >= 0.5)
 
 
 def mask_secrets(docs: DataFrame, forest: Forest, path: str = "source") -> DataFrame:
-    """The same rows and columns with the confirmed secrets of ``text`` replaced by a mask."""
+    """The same rows and columns with the confirmed secrets of ``text`` replaced by a mask; edge cases as in ``scan_secrets``."""
     shared, schema, names = docs.sparkSession.sparkContext.broadcast(forest), docs.schema, docs.columns
 
     def mask(batches):
         for batch in batches:
             texts = batch.column(names.index("text")).to_pylist()
-            for i, (text, where) in enumerate(zip(texts, batch.column(names.index(path)).to_pylist(), strict=True)):
-                for a, b, _, p in reversed(judge(shared.value, text or "", where or "")):
+            paths = batch.column(names.index(path)).to_pylist() if path in names else [None] * len(texts)
+            for i, (text, where) in enumerate(zip(texts, paths, strict=True)):
+                last, parts = 0, []
+                for a, b, _, p in judge(shared.value, text or "", where or ""):
                     if p >= 0.5:
-                        texts[i] = texts[i][:a] + MASK + texts[i][b:]
+                        parts += [text[last:a], MASK]
+                        last = b
+                if parts:
+                    texts[i] = "".join([*parts, text[last:]])
             columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(k) for k, n in enumerate(names)]
             yield pa.RecordBatch.from_arrays(columns, names)
 

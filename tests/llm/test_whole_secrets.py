@@ -1,6 +1,7 @@
 """Secrets are found and masked to their ends, however long, inside runs and with headers or escaped line ends."""
 
 import random
+import time
 
 import pytest
 
@@ -69,3 +70,30 @@ def test_masking_leaves_no_end_of_a_long_secret(spark, forest):
     assert secrets.mask_secrets(df, forest).first().text == f"x token = {secrets.MASK} y"
     row = secrets.scan_secrets(df, forest).first()
     assert (row.start, row.length) == (10, 300)
+
+
+def test_a_key_without_its_end_leaves_the_prose(forest):
+    lines = [drawn(64, k, MIXED + "+/") for k in range(3)]
+    prose = "and then the prose goes on without any mark at all for a while"
+    for begin in ("-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----"):
+        assert found(forest, f"{begin}\n{prose}") == [(begin, "private_key")]
+        key = "\n".join([begin, *lines, "Ab3="])
+        assert found(forest, f"x {key}\n{prose}") == [(key, "private_key")]
+
+
+def test_masked_texts_hold_nothing_of_a_secret(spark, forest):
+    values = [drawn(n, n) for n in (320, 5000)]
+    rows = [(k, f"the token = {v} and api_key='{v[::-1]}' end", "src") for k, v in enumerate(values)]
+    out = secrets.mask_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string"), forest).collect()
+    assert [r.text for r in out] == [f"the token = {secrets.MASK} and api_key='{secrets.MASK}' end"] * 2
+    bare = spark.createDataFrame([(1, f"token = {values[0]}"), (None, None)], "doc_id long, text string")
+    assert {r.text for r in secrets.mask_secrets(bare, forest).collect()} == {f"token = {secrets.MASK}", None}
+
+
+def test_many_runs_take_no_square_of_time():
+    took = []
+    for n in (2500, 10_000):
+        text, began = " ".join(f"a{k:031x}" for k in range(n)), time.process_time()
+        assert len(secrets.candidates(text)) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 0.1
