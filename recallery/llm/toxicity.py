@@ -2,7 +2,8 @@
 
 The embeddings of a segment's words and character n-grams are averaged into a softmax; a few hostile words
 would be lost in the average of a whole text, so texts are read in segments of ``SEGMENT`` words and are
-toxic if any segment is (the probabilities of clean segments multiply). All learn jointly.
+toxic if any segment is (the probabilities of clean segments multiply). Equal segments of a text count once,
+so that repetition alone never adds up. All learn jointly.
 """
 
 from __future__ import annotations
@@ -15,9 +16,9 @@ from pyspark.sql import functions as F
 from .common import held_out, labelled_sample, mix64, runs, slices, span_hashes
 
 BITS, WIDTH = 18, 8
-SEGMENT = 8
+SEGMENT = 3
 #: bounds of the sample that the model is fitted on
-ROWS_PER_CLASS, LONGEST = 2000, 3000
+ROWS_PER_CLASS, LONGEST = 2000, 8000
 #: passes over the sample, more of them where it is small: at least ``STEPS`` batches
 EPOCHS, STEPS, BATCH, RATE = 10, 300, 32, 0.8
 #: first sum of squared gradients: steps of subwords seen once stay small
@@ -32,7 +33,7 @@ _STEP = np.uint64(0xE7037ED1A0B428DB)
 def subwords(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of words and 3- to 5-character n-grams, their segment numbers, and each segment's text.
 
-    Lower-case; whatever is no letter parts words; n-grams may hold the mark before or after a word.
+    Of the segments of a text with the same words only the first is given. Lower-case; whatever is no letter parts words; n-grams may hold the mark before or after a word.
     """
     lower = [(t or "").lower() for t in texts]
     codes = np.minimum(np.frombuffer(("\n".join(lower) + "\n\n").encode("utf-32-le", "surrogatepass"), "<u4"), 0xFFFF)
@@ -45,11 +46,18 @@ def subwords(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     text = np.searchsorted(ends, starts - 1, "right")
     nth = np.arange(len(starts)) - np.searchsorted(text, text)
     first = nth % SEGMENT == 0
-    segment_of_word = np.cumsum(first) - 1
+    hashes = span_hashes(codes, starts, stops)
+    opening = np.flatnonzero(first)
+    owner, said = text[first], np.add.reduceat(mix64(hashes), opening)
+    order = np.lexsort((said, owner))
+    again = np.zeros(len(order), bool)
+    again[order[1:]] = (said[order[1:]] == said[order[:-1]]) & (owner[order[1:]] == owner[order[:-1]])
+    segment_of_word = np.where(again, -1, np.cumsum(~again) - 1)[np.cumsum(first) - 1]
     begins = np.zeros(len(codes), np.int64)
     begins[starts] = 1
     word = np.cumsum(begins) - 1
-    segments, found = [segment_of_word], [span_hashes(codes, starts, stops)]
+    segments, found = [segment_of_word], [hashes]
+    letter = letter & np.concatenate((segment_of_word >= 0, [True]))[word]  # no n-grams of segments that are left out
     each = np.where(letter, _CODE[codes], _CODE[0])
     gram, ok = each[:-1] * _STEP + each[1:], None
     for n in (3, 4, 5):
@@ -58,8 +66,9 @@ def subwords(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
         at = np.flatnonzero(ok[: len(gram)])
         segments.append(segment_of_word[word[at + 1]])
         found.append(mix64(gram[at] + np.uint64(n)))
-    bucket = (np.concatenate(found) >> np.uint64(64 - BITS)).astype(np.int64)
-    return bucket, np.concatenate(segments), text[first]
+    bucket, segment = (np.concatenate(found) >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(segments)
+    kept = segment >= 0
+    return bucket[kept], segment[kept], owner[~again]
 
 
 class SubwordSoftmax:
