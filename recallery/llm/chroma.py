@@ -19,6 +19,10 @@ RATE, FRAME, HOP = 4000, 1024, 256
 SMOOTH = 3
 #: share of differing bits up to which two recordings are the same
 ERROR = 0.2
+#: share of the shorter one of two recordings that an alignment has to cover
+OVERLAP = 0.5
+#: parts that the places of one code are dealt to
+SALTS = 64
 #: Sixteen filters by rule: every kind of contrast at four pitch positions, wider in time from one to the next
 FILTERS = [(kind, 3 * k, 3 if kind != 2 else 4, (4, 8, 12, 16)[(k + kind) % 4]) for kind in range(4) for k in range(4)]
 LEVELS = (-0.12, 0.0, 0.12)
@@ -96,31 +100,42 @@ def fingerprints(recordings: DataFrame) -> DataFrame:
     return plain.mapInArrow(codes, "rec_id long, codes array<int>")
 
 
-def align(excerpts: DataFrame, recordings: DataFrame, error: float = ERROR) -> DataFrame:
+def _places(df: DataFrame, name: str) -> DataFrame:
+    """``name, code, <name>_at``: every place of each code."""
+    return df.select(F.col("rec_id").alias(name), F.posexplode("codes").alias(f"{name}_at", "code"))
+
+
+def align(excerpts: DataFrame, recordings: DataFrame, error: float = ERROR, overlap: float = OVERLAP) -> DataFrame:
     """For each excerpt the recording and the offset (in frames) with the fewest differing bits.
 
-    Both have ``rec_id, codes``. Pairs meet by equal integers, of which each recording's distinct
-    ones count; a histogram of offsets gives each pair's best, and pairs under ``error`` stay. Ties go to
-    more votes, then the smaller id. Excerpts without a match have no row. Equal
-    recordings should be collapsed first (``recording_classes``).
+    Both have ``rec_id, codes``. Each different integer of an excerpt, at its first place, meets all places of the
+    recordings that have it; a histogram of offsets counts those that agree, and every offset of a pair that has as many as any of that pair, or at
+    least half as many, is verified on all its frames: at least ``overlap`` of the excerpt's must be covered (or of the
+    recording's, if that is shorter), with no more than ``error`` of the bits differing. Ties go to more votes, then the
+    smaller id, then the smaller offset. Excerpts without a match have no row. Equal recordings should be
+    collapsed first (``recording_classes``). Long recordings meet by their codes alone; their frames move once for each
+    offset that is verified.
+
+    Codes are dealt to ``SALTS`` parts by recording and each excerpt's place goes to the parts that have its code,
+    so that a code which most recordings have lands in no single task.
     """
-    place = lambda df, name: df.select(F.col("rec_id").alias(name), F.posexplode("codes").alias(f"{name}_at", "code")).groupBy(name, "code").agg(
-        F.min(f"{name}_at").alias(f"{name}_at")
-    )
-    met = place(excerpts, "query").join(place(recordings, "rec"), "code")
+    salted = _places(recordings, "rec").withColumn("salt", F.pmod(F.xxhash64("rec"), F.lit(SALTS)).cast("int"))
+    sought = _places(excerpts, "query").groupBy("query", "code").agg(F.min("query_at").alias("query_at"))
+    parts = salted.join(sought.select("code").distinct().hint("merge"), "code", "left_semi").groupBy("code", "salt").count().groupBy("code").agg(F.collect_list("salt").alias("salt"))
+    met = sought.join(parts.hint("merge"), "code").withColumn("salt", F.explode("salt")).join(salted.hint("merge"), ["code", "salt"])
     votes = met.groupBy("query", "rec", (F.col("rec_at") - F.col("query_at")).alias("offset")).agg(F.count("*").alias("votes"))
-    best = votes.groupBy("query", "rec").agg(F.max(F.struct("votes", -F.abs("offset"), "offset")).alias("top"))
-    pairs = best.select("query", "rec", "top.offset", "top.votes")
-    both = pairs.join(excerpts.select(F.col("rec_id").alias("query"), F.col("codes").alias("sought")), "query").join(
-        recordings.select(F.col("rec_id").alias("rec"), "codes"), "rec"
+    most = Window.partitionBy("query", "rec")
+    pairs = votes.withColumn("most", F.max("votes").over(most)).where(2 * F.col("votes") >= F.col("most")).drop("most")
+    both = pairs.join(excerpts.select(F.col("rec_id").alias("query"), F.col("codes").alias("sought")).hint("merge"), "query").join(
+        recordings.select(F.col("rec_id").alias("rec"), "codes").hint("merge"), "rec"
     )
     first, start = F.greatest(F.lit(0), -F.col("offset")), F.greatest(F.lit(0), F.col("offset"))
     n = F.least(F.size("sought") - first, F.size("codes") - start)
     part = lambda c, at: F.slice(c, at + 1, n)
     differ = F.aggregate(F.zip_with(part("sought", first), part("codes", start), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, x: s + x)
-    judged = both.where(n > 0).withColumns({"frames": n, "bit_errors": differ})
+    judged = both.where((n > 0) & (n >= overlap * F.least(F.size("sought"), F.size("codes")))).withColumns({"frames": n, "bit_errors": differ})
     judged = judged.select("query", "rec", "offset", "votes", "frames", "bit_errors").where(F.col("bit_errors") <= error * 32 * F.col("frames"))
-    order = Window.partitionBy("query").orderBy(F.col("bit_errors") / F.col("frames"), F.desc("votes"), "rec")
+    order = Window.partitionBy("query").orderBy(F.col("bit_errors") / F.col("frames"), F.desc("votes"), "rec", "offset")
     return judged.withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
 
 

@@ -174,6 +174,26 @@ def test_audio_excerpts_are_found(spark):
     assert apart == {r.rec_id: list(r.codes) for r in chroma.rendered_fingerprints(some).collect()}
 
 
+def test_alignment_of_repeated_parts_and_short_overlaps(spark):
+    rng = np.random.default_rng(5)
+    part = lambda n: rng.integers(-(2**31), 2**31, n).tolist()
+    a, b, c, common = part(30), part(25), part(10), part(1)
+    whole, other = a + b + a + c, part(60) + common
+    noisy = [x ^ 1 for x in a[:10]] + a[10:] + c  # of the second a, with c behind it
+    recordings = spark.createDataFrame([(1, whole), (2, other), (3, common * 50)], "rec_id long, codes array<int>")
+    excerpts = spark.createDataFrame([(10, noisy), (11, common + part(40)), (12, []), (13, None)], "rec_id long, codes array<int>")
+    out = chroma.align(excerpts, recordings).collect()
+    assert [(r["query"], r.rec, r.offset, r.frames, r.bit_errors) for r in out] == [(10, 1, 55, 40, 10)]
+
+
+def test_a_code_that_all_recordings_have_is_dealt_out(spark):
+    rng = np.random.default_rng(6)
+    codes = {i: [7] * 5 + rng.integers(-(2**31), 2**31, 40).tolist() for i in range(300)}
+    recordings = spark.createDataFrame(list(codes.items()), "rec_id long, codes array<int>")
+    excerpts = recordings.where("rec_id % 50 = 0").selectExpr("rec_id", "slice(codes, 3, 30) AS codes")
+    assert {(r["query"], r.rec, r.offset) for r in chroma.align(excerpts, recordings).collect()} == {(i, i, 2) for i in range(0, 300, 50)}
+
+
 def test_fingerprints_of_odd_recordings(spark):
     df = spark.createDataFrame([(1, None), (2, b""), (3, b"\x01"), (4, bytes(60001)), (5, b"\x10\x20" * 30000)], "rec_id long, pcm binary")
     assert {r.rec_id: len(r.codes) for r in chroma.fingerprints(df).collect()}[3] == 0
