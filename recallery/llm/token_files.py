@@ -49,10 +49,10 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
 def write_token_files(docs: DataFrame, path: str, tokenizer: str) -> None:
     """Write ``doc_id, n_tokens, ids``, each file a range of document ids in ascending order.
 
-    Null ids come first; repeated ids stay together in one file.
+    Null ids come first; repeated ids stay together in one file, in the order of their texts.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = plain.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id")
+    ordered = plain.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
     encode_documents(ordered, tokenizer).write.options(**LAYOUT).parquet(path)
 
 
