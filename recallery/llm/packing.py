@@ -132,18 +132,19 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, items_per_task: int
     """Place each piece: ``sequence_id`` and ``offset`` join the columns of ``token_pieces``.
 
     Each partition packs best-fit decreasing and is certified if its count equals its lower bound.
-    The others keep their full bins and pool the documents of the open ones, dealt anew over fewer
-    partitions, where they are packed again; a pooled packing is taken only if it has fewer bins.
-    Repeated rows are packed as often as they occur; an empty table gives an empty result.
+    The others keep their full bins and pool the documents of the open ones, whole bins dealt anew over fewer
+    partitions, where they are packed again; a pooled packing is taken only if it has fewer bins. A gap that is
+    left after ``exchanges`` rounds stays uncertified. Ties of length go by document and piece. Repeated rows are packed as often as they occur; an empty table gives an empty result.
     """
     pieces = stored(pieces, "pieces")
-    place = F.xxhash64("doc_id", "piece")
     rows = pieces.withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")})
     n, done, parts = pieces.count(), [], None
     for turn in range(exchanges + 1):
         fewest = max(1, -(-n // items_per_task))
         parts = fewest if parts is None else max(1, min(fewest, parts // 2))
-        dealt = rows.withColumn("part", F.pmod(F.xxhash64(place, F.lit(turn)), F.lit(parts)))
+        # a bin's pieces stay together once they are placed, so that a packing is kept or replaced as a whole
+        place = F.xxhash64("sequence_id", F.lit(turn)) if turn else F.xxhash64("doc_id", "piece")
+        dealt = rows.withColumn("part", F.pmod(place, F.lit(parts)))
         packed = stored(dealt.groupBy("part").applyInArrow(_packer(turn, capacity), _PACKED), f"packed{turn}")
         left = packed.where("NOT final")
         n = left.count()
@@ -162,6 +163,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) ->
     """Tokenize and pack whole documents.
 
     Null texts count as empty (one end id), null ids are packed like others, extra columns are left
-    behind, very long texts give many full pieces.
+    behind, very long texts give many full pieces; of equal lengths the smaller document is placed first.
     """
     return pack_pieces(token_pieces(docs, tokenizer, capacity), capacity)
