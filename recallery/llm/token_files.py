@@ -69,8 +69,8 @@ def read_tokens(spark: SparkSession, path: str, first: int | None = None, last:
 def token_index(spark: SparkSession, path: str) -> DataFrame:
     """Per document, from the files: start among all ids, count, and crc32 of the ids.
 
-    The starts come from a manifest with a row for each file, and a running sum within each file;
-    repeated ids follow each other by count and crc32.
+    The starts come from a manifest with a row for each file, and a running sum over the rows of each file in
+    their order.
     """
 
     def checksums(batches):
@@ -79,12 +79,12 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
             values, offsets = lists.values.to_numpy(zero_copy_only=False).astype("<u4"), lists.offsets.to_numpy()
             crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             counts = np.diff(offsets).astype(np.int64)
-            arrays = [batch.column(0), batch.column(1), pa.array(counts), pa.array(crc, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, ["file", "doc_id", "n_tokens", "ids_crc32"])
+            arrays = [batch.column(0), batch.column(1), batch.column(3), pa.array(counts), pa.array(crc, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["file", "doc_id", "row", "n_tokens", "ids_crc32"])
 
     files = spark.read.parquet(path)
-    rows = files.select(F.col("_metadata.file_name").alias("file"), "doc_id", "ids").mapInArrow(
-        checksums, "file string, doc_id long, n_tokens long, ids_crc32 long"
+    rows = files.select(F.col("_metadata.file_name").alias("file"), "doc_id", "ids", F.col("_metadata.row_index").alias("row")).mapInArrow(
+        checksums, "file string, doc_id long, row long, n_tokens long, ids_crc32 long"
     )
     manifest = (
         files.select(F.col("_metadata.file_name").alias("file"), "doc_id", "n_tokens")
@@ -93,7 +93,7 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     )
     order = Window.orderBy(F.col("nulls").desc(), F.col("least").asc_nulls_first(), "file").rowsBetween(Window.unboundedPreceding, -1)
     begins = manifest.select("file", F.coalesce(F.sum("total").over(order), F.lit(0)).alias("begin"))
-    inside = Window.partitionBy("file").orderBy(F.col("doc_id").asc_nulls_first(), "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     return (
         rows.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
         .join(F.broadcast(begins), "file")  # a row for each file

@@ -68,6 +68,20 @@ def test_token_files_edge_cases(spark):
     assert token_files.tokens_round_trip(edge_rows(spark).limit(0), path).collect() == []
 
 
+def test_starts_are_places_in_the_files(spark, tmp_path):
+    path = str(tmp_path / "tokens")
+    rows = [(5, t) for t in ("b b b", "a", "c c", "a", None, "d d d d d")] + [(None, "x y"), (None, "x")] + [(k, "word " * (k % 7)) for k in range(40)]
+    token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), path, public_tokenizers.path("word_bpe_49k.json"))
+    import pyarrow.parquet as pq
+
+    ids, crcs = [], {}
+    for file in sorted((tmp_path / "tokens").glob("*.parquet")):
+        for doc in pq.read_table(file)["ids"].to_pylist():
+            crcs[len(ids)] = zlib.crc32(np.array(doc, "<u4").tobytes())
+            ids += doc
+    assert {r.start: r.ids_crc32 for r in token_files.token_index(spark, path).collect()} == crcs
+
+
 def test_token_files_layout(spark, sf, tmp_path):
     import pyarrow.parquet as pq
 
@@ -131,6 +145,14 @@ def test_bounds_hold_and_certify():
     assert packing.lower_bound(np.array([], np.int64)) == 0
 
 
+def test_exchanges_over_many_partitions_leave_no_holes(spark):
+    rng = np.random.default_rng(9)
+    lengths = [*([1000] * 400), *([500] * 40), *rng.integers(300, 700, 2000).tolist()]
+    df = spark.createDataFrame([(i, 0, 0, int(n), 0) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    rows = packing.pack_pieces(df, items_per_task=100, exchanges=4).collect()
+    assert len(rows) == len(lengths) and placed(rows) >= -(-sum(lengths) // 1024)
+
+
 def test_exchange_never_takes_more_bins(spark):
     rng = np.random.default_rng(4)
     rows = [(i, 0, 0, int(n), 0) for i, n in enumerate(rng.integers(200, 700, 3000))]
