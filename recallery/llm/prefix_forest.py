@@ -43,15 +43,15 @@ class PrefixForest:
         weights = np.left_shift(np.uint64(1), np.arange(BITS - 1, -1, -1, dtype=np.uint64))
         return (bits.reshape(len(points), TREES, BITS) @ weights).T.copy()
 
-    def search(self, queries: np.ndarray, k: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Positions and inner products of the k best found for each query; ties to smaller positions."""
+    def search(self, queries: np.ndarray, k: int, sure: float = SURE) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Positions and inner products of the k best found for each query; ties to smaller positions; all with ``sure=1``."""
         at, scores = [], []
         for start in range(0, len(queries), 1024):
             part = queries[start : start + 1024]
             lengths = np.sqrt((part**2).sum(1))
             low, high = self._ranges(self._strings(np.column_stack([part / lengths[:, None], np.zeros(len(part))])))
             for q, vector in enumerate(part):
-                found = self._ascend(vector.astype(np.float32), lengths[q] * self.longest, low[:, :, q], high[:, :, q], k)
+                found = self._ascend(vector.astype(np.float32), lengths[q] * self.longest, low[:, :, q], high[:, :, q], k, sure)
                 exact = np.cumsum(self.vectors[found] * vector, axis=1)[:, -1] if len(found) else np.zeros(0)
                 best = np.lexsort((found, -exact))[:k]
                 at.append(found[best])
@@ -70,7 +70,7 @@ class PrefixForest:
                 high[level, t] = np.searchsorted(self.strings[t], floor[t] + (np.uint64(1) << shift), "left")
         return low, high
 
-    def _ascend(self, vector: np.ndarray, scale: float, low: np.ndarray, high: np.ndarray, k: int) -> np.ndarray:
+    def _ascend(self, vector: np.ndarray, scale: float, low: np.ndarray, high: np.ndarray, k: int, sure: float) -> np.ndarray:
         """Positions that may be among the k best: all trees go up together, adding what each level adds."""
         n = len(self.vectors)
         total = (high - low).sum(1)
@@ -96,53 +96,55 @@ class PrefixForest:
             values = np.concatenate(value) if value else np.zeros(0)
             if level == 0:
                 break
-            if len(values) >= k:
+            if len(values) >= k and sure < 1:
                 kth = np.partition(values, len(values) - k)[len(values) - k] / scale
                 same = 1 - np.arccos(np.clip(kth, -1, 1)) / np.pi
-                if 1 - (1 - same**level) ** TREES >= SURE:
+                if 1 - (1 - same**level) ** TREES >= sure:
                     break
             level -= 1
             up, down = low[level].astype(np.int64), high[level].astype(np.int64)
             begins, many = np.concatenate((self.base + up, self.base + b)), np.concatenate((a - up, down - b))
             a, b = up, down
         places = np.concatenate(found) if found else np.zeros(0, np.int64)
-        if len(places) > 2 * k:  # single precision orders all but near ties, which the margin holds
-            places = places[np.argpartition(-values, 2 * k)[: 2 * k]]
+        if len(places) > k:  # all that single precision may have ordered wrongly stay for double precision
+            error = 2 * (len(vector) + 2) * float(np.finfo(np.float32).eps) * scale
+            places = places[values >= np.partition(values, len(values) - k)[len(values) - k] - error]
         return places
 
 
-def _searcher(k: int, longest: float):
+def _searcher(k: int, longest: float, sure: float):
     def search(key, index, queries):
         schema = {"query_rep": pa.int64(), "members": pa.list_(pa.int64()), "score": pa.float64()}
         if not index.num_rows or not queries.num_rows:
             return pa.table({c: pa.array([], t) for c, t in schema.items()})
         index, queries = index.sort_by("rep"), queries.sort_by("asked")
         matrix = lambda c: c.combine_chunks().flatten().to_numpy().reshape(len(c), -1)
-        at, scores = PrefixForest(matrix(index["vector"]), longest).search(matrix(queries["sought"]), k)
+        at, scores = PrefixForest(matrix(index["vector"]), longest).search(matrix(queries["sought"]), k, sure)
         rep = np.repeat(queries["asked"].to_numpy(), [len(a) for a in at])
         return pa.table({"query_rep": pa.array(rep), "members": index["members"].take(pa.array(np.concatenate(at))), "score": pa.array(np.concatenate(scores))})
 
     return search
 
 
-def nearest_neighbours(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, k: int = 20, every: int = 20, sure: float = SURE) -> DataFrame:
     """For each row whose ``vec_id`` is divisible by ``every``: the k other rows of largest inner product.
 
-    Returns ``query_id, rank, vec_id, score``. Rows without an id, and vectors that are null, zero, of
-    another dimension than most, or hold null or non-finite components take no part; repeated rows
-    count once. Equal vectors are searched once: of each only the k + 1 smallest ids can be
+    Returns ``query_id, rank, vec_id, score``. Rows without an id, and vectors that are null, zero or hold null
+    or non-finite components take no part; vectors meet only those of their own dimension; repeated rows
+    count once, and of an id's different vectors the smallest (component by component) counts. With ``sure=1`` every
+    vector is read and the result is exact. An empty table gives no rows; extra columns are left behind. The
+    query set grows with the table and meets every block of vectors, so work grows with the product. Equal vectors are searched once: of each only the k + 1 smallest ids can be
     in a result, so just these are kept, and queries of equal vectors share their search.
     """
     wide = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     valid = wide.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & finite & F.exists("vector", lambda x: x != 0))
-    size = valid.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").limit(1)
-    valid = valid.join(F.broadcast(size.select("size")), F.size("vector") == F.col("size")).drop("size")  # one row
+    valid = valid.groupBy("vec_id").agg(F.min("vector").alias("vector"))
     ordered = Window.partitionBy("vector").orderBy("vec_id")
-    least = valid.distinct().withColumn("nth", F.row_number().over(ordered)).where(F.col("nth") <= k + 1)
+    least = valid.withColumn("nth", F.row_number().over(ordered)).where(F.col("nth") <= k + 1)
     index = least.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("members")).withColumn("rep", F.col("members")[0])
     index = stored(index.withColumn("norm", F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))), "vectors")
-    queries = valid.where(F.col("vec_id") % every == 0).distinct()
+    queries = valid.where(F.col("vec_id") % every == 0)
     asked = stored(queries.join(index.select("vector", "rep"), "vector").select(F.col("vec_id").alias("query_id"), "rep"), "queries")
     asked_reps = asked.select("rep").distinct()
     n, longest = index.agg(F.count("*"), F.max("norm")).first()
@@ -150,12 +152,13 @@ def nearest_neighbours(vectors: DataFrame, k: int = 20, every: int = 20) -> Data
     blocks, parts = max(1, -(-n // BLOCK)), max(1, -(-n_queries // QUERIES))
     deal = lambda n: F.pmod(F.xxhash64("rep"), F.lit(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = index.select("rep", "vector", "members", deal(blocks).alias("block")).withColumn("part", all_of(parts))
-    right = index.join(asked_reps, "rep", "left_semi").select(F.col("rep").alias("asked"), F.col("vector").alias("sought"), deal(parts).alias("part")).withColumn("block", all_of(blocks))
+    wide = F.size("vector").alias("wide")
+    left = index.select("rep", "vector", "members", wide, deal(blocks).alias("block")).withColumn("part", all_of(parts))
+    right = index.join(asked_reps, "rep", "left_semi").select(F.col("rep").alias("asked"), F.col("vector").alias("sought"), wide, deal(parts).alias("part")).withColumn("block", all_of(blocks))
     found = (
-        left.groupBy("block", "part")
-        .cogroup(right.groupBy("block", "part"))
-        .applyInArrow(_searcher(k + 1, float(longest or 1.0)), "query_rep long, members array<long>, score double")
+        left.groupBy("wide", "block", "part")
+        .cogroup(right.groupBy("wide", "block", "part"))
+        .applyInArrow(_searcher(k + 1, float(longest or 1.0), sure), "query_rep long, members array<long>, score double")
     )
     best = Window.partitionBy("query_rep").orderBy(F.desc("score"), "vec_id")
     near = found.select("query_rep", "score", F.explode("members").alias("vec_id")).withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k + 1)
