@@ -104,6 +104,11 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
+def optional(docs: DataFrame, name: str, kind: str):
+    """A column cast to ``kind``, null where the table has none of that name."""
+    return (F.col(name) if name in docs.columns else F.lit(None)).cast(kind).alias(name)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, longest: int) -> DataFrame:
     """``doc_id, text, n_chars, label`` of at most ``rows`` labelled documents of each class.
 
@@ -116,5 +121,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, l
     for value in (0, 1):
         some = usable.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
         chosen = some if chosen is None else chosen.unionByName(some)
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("n_chars").cast("long").alias("n_chars"))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), optional(docs, "n_chars", "long"))
     return plain.where(F.octet_length("text") <= longest).join(F.broadcast(chosen), "doc_id")  # at most 2 * rows ids

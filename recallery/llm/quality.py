@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, mix64, runs, slices, span_hashes
+from .common import held_out, labelled_sample, mix64, optional, runs, slices, span_hashes
 
 BITS, RANK = 17, 8
 BINS = 24
@@ -167,7 +167,7 @@ def score_quality(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
             z = np.clip(np.concatenate(out) if out else np.zeros(0), -30, 30)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-z)))], ["doc_id", "score"])
 
-    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("n_chars").cast("long").alias("n_chars")]
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), optional(docs, "n_chars", "long")]
     scored = docs.select(*columns).mapInArrow(score, "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -175,7 +175,8 @@ def score_quality(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Fit on labels that are not held out and score all documents.
 
-    Ids, labels, languages and sources are never inputs. A null length counts as 0; with labels of one class only,
-    scores follow its share. Repeated rows each get a row; extra columns go; an empty table gives no rows.
+    Ids, labels, languages and sources are never inputs. A null or absent ``n_chars`` counts as 0; with labels of one class only,
+    scores follow its share. Repeated rows each get a row; extra columns go; long texts are scored whole, in
+    time that grows with them; an empty table gives no rows.
     """
     return score_quality(docs, fit_quality(docs, labels))

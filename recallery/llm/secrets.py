@@ -158,7 +158,7 @@ class Forest:
                     impurity = np.where(cut, k * a * (1 - a) + (len(rows) - k) * b * (1 - b), np.inf)
                     at = int(impurity.argmin())
                     if impurity[at] < best[0]:
-                        best = (impurity[at], f, (value[at] + value[at + 1]) / 2)
+                        best = (impurity[at], f, min((value[at] + value[at + 1]) / 2, np.nextafter(value[at + 1], value[at])))
             if best[1] >= 0:
                 nodes[me][:2] = best[1], best[2]
                 left = x[rows, best[1]] <= best[2]

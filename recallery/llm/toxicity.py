@@ -172,7 +172,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Fit on labels that are not held out and score all documents.
 
     Ids and labels are never inputs. With labels of one class only, all scores are alike. Repeated
-    rows each get a row; extra columns are left behind; an empty table gives no rows.
+    rows each get a row; extra columns are left behind; long texts are scored whole; an empty table gives no rows.
     """
     return score_toxicity(docs, fit_toxicity(docs, labels))
 

@@ -63,6 +63,29 @@ def test_classifier_edge_cases(spark, tables, run, threshold):
     assert len(run(df, labels.limit(0)).collect()) == 6  # no labels: scores without information
 
 
+@pytest.mark.parametrize(("query", "column", "accuracy", "recall", "precision"), [("op1_factorisation_quality", "quality", 0.97, 0.97, 0.97), ("op5_subword_toxicity", "toxic", 0.97, 0.85, 0.9)])
+def test_held_out_labels_of_the_tables(spark, query, column, accuracy, recall, precision):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", column)
+    rows = [(r.predicted, r[column]) for r in queries.QUERIES[query](spark, sf).where("held_out").join(labels, "doc_id").collect()]
+    predicted, truth = np.array([p for p, _ in rows]), np.array([t for _, t in rows])
+    assert len(rows) > 1000 and (predicted == truth).mean() >= accuracy
+    assert predicted[truth == 1].mean() >= recall and truth[predicted == 1].mean() >= precision
+
+
+def test_repetition_is_no_cue(tables):
+    docs, labels = tables
+    model = toxicity.fit_toxicity(docs, labels)
+    text = "badef coude fago bicadu"
+    one, many = (model.scores(*toxicity.subwords([t]), 1)[0] for t in (text + " " + text, (text + " ") * 30_000))
+    assert many < 0.5 and abs(many - one) < 0.2
+
+
+def test_classifiers_without_a_recorded_length(tables):
+    docs, labels = tables
+    assert quality.quality(docs.drop("n_chars"), labels).count() == toxicity.toxicity(docs.drop("n_chars"), labels).count() == 700
+
+
 def test_sum_of_squares_identity():
     rng = np.random.default_rng(0)
     machine = quality.FactorisationMachine(0.3, rng.normal(size=50), rng.normal(size=(50, 4)))
@@ -254,3 +277,19 @@ def test_pipeline_stage_by_stage(spark, sf):
             assert {r.doc_id for r in now} == set(before)
             assert sum(r.length for r in now) == sum(r.length for r in packing.token_pieces(state, queries.public_tokenizers.path("byte_bpe_50k.json")).collect())
         state = after
+
+
+def test_pipeline_stages_on_edge_tables(spark, sf):
+    """Null ids, repeated rows, null and long texts, an extra column of a clashing name, an empty table."""
+    text = "a passage of well over fifty bytes that more than one of these documents has"
+    rows = [(None, text, None, None, None, "x"), (None, None, "en", "s", 0, "x"), (1, text, "en", "s", 5, "x"), (1, text, "en", "s", 5, "x"), (2, "", "en", None, 0, None), (3, "word " * 40_000, "en", "s", 1, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, block string")
+    for state in (df, df.limit(0)):
+        n = state.count()
+        for name, stage in corpus_pipeline.STAGES:
+            after = common.stored(stage(spark, state, sf), name)
+            if name == "best_fit_packing":
+                assert {r.doc_id for r in after.collect()} == {r.doc_id for r in state.collect()}
+            else:
+                assert after.columns == df.columns and after.count() == n
+            state = after
