@@ -7,24 +7,25 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: parts that the rows of one key are dealt to
-SALTS = 256
+#: a key is a hub if it has more than one of so many parts of all rows: there are fewer hubs than that
+HUBS = 1000
+#: rows of one key that are never too many for a task
+FEW = 1000
 
 
-def join_key_values(rows: DataFrame, key: str, spread: str, **values: tuple[str, str]) -> DataFrame:
-    """``rows`` with aggregates over their ``key``, however many rows share one: no task holds all rows of a key.
+def join_key_values(rows: DataFrame, key: str, total: int, **values: tuple[str, str]) -> DataFrame:
+    """``rows`` with aggregates over their ``key``, however many rows share one: no task holds the rows of a hub.
 
-    ``values`` maps new columns to ``(function, column)``, of ``min``, ``sum`` and ``count``. Rows are dealt by
-    the key and a salt made of ``spread``; the values of each key go to the salts that it has, so at most as
-    many copies of them are made as there are rows.
+    ``values`` maps new columns to ``(function, column)``, of ``min``, ``sum`` and ``count``; ``total`` is the number of
+    rows. The values of hubs, fewer than ``HUBS`` rows at every size, are broadcast; all other keys meet by a merge join.
     """
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
     call = {"min": F.min, "sum": F.sum, "count": F.count}
-    parts = salted.groupBy(key, "salt").agg(*(call[f](c).alias(n) for n, (f, c) in values.items()))
-    again = {"min": F.min, "sum": F.sum, "count": F.sum}
-    whole = parts.groupBy(key).agg(*(again[f](n).alias(n) for n, (f, _) in values.items()), F.collect_list("salt").alias("salt"))  # at most SALTS
+    whole = rows.groupBy(key).agg(*(call[f](c).alias(n) for n, (f, c) in values.items()), F.count("*").alias("of_key"))
+    hubs = whole.where(F.col("of_key") > max(FEW, total // HUBS)).drop("of_key")
+    at_hubs = rows.join(F.broadcast(hubs), key)
+    others = rows.join(F.broadcast(hubs.select(key)), key, "left_anti")
     # both sides grow with the rows: never broadcast
-    return salted.join(whole.withColumn("salt", F.explode("salt")).hint("merge"), [key, "salt"]).drop("salt")
+    return at_hubs.unionByName(others.join(whole.drop("of_key").hint("merge"), key))
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -44,7 +45,7 @@ def connected_components(links: DataFrame) -> DataFrame:
             break
         mark = now
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select("lo", "hi"))
-        least = join_key_values(both, "u", "v", m=("min", "v"))  # the root of a large component has all its nodes
+        least = join_key_values(both, "u", 2 * now[0], m=("min", "v"))  # the root of a large component has all its nodes
         large = least.where("v > u").select(F.col("v").alias("hi"), F.least("u", "m").alias("lo")).distinct()
         low = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(low, "hi").select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e"))

@@ -18,9 +18,9 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
 #: documents and shingles verified in one block; larger candidate groups are cut into several
-BLOCK, BLOCK_SHINGLES = 1024, 2_000_000
-#: bytes of text whose blocks are verified together
-PACK_BYTES = 4_000_000
+BLOCK, BLOCK_SHINGLES = 512, 2_000_000
+#: bytes of text and documents whose blocks are verified together
+PACK_BYTES, PACK = 4_000_000, 256
 #: a pair goes if the threshold is this much less likely (in nats) than its best similarity
 SURE = 14.0
 
@@ -217,7 +217,7 @@ def _meetings(narrow: DataFrame) -> DataFrame:
     into parties of about BLOCK; each party visits all blocks but those its guests are from.
     """
     marked = narrow.withColumn("outside", F.when(F.col("label") != F.col("grp"), F.col("doc_id")))
-    every = join_key_values(marked, "grp", "doc_id", guests=("count", "outside")).where("guests > 0")
+    every = join_key_values(marked, "grp", narrow.count(), guests=("count", "outside")).where("guests > 0")
     every = every.withColumn("parties", F.ceil(F.col("guests") / BLOCK).cast("int")).drop("guests", "outside")
     resident = every.withColumn("party", F.explode(F.sequence(F.lit(0), F.col("parties") - 1))).withColumn("guest", F.lit(False))
     guest = every.where("label <> grp").withColumn("party", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("parties")).cast("int"))
@@ -308,8 +308,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     equal sets (by a 128-bit digest of the whole set) are one class, found by grouping. The classes' sketches are cut into bands; those that
     meet in a band (at the threshold all but one of ten million pairs do) form candidate groups, in
     which likelihood estimates choose what is compared on full sets. Groups are cut into blocks
-    of about 1024: each block is solved with the group's first document as a guest. Whatever that
-    one's component does not hold then visits the other blocks in parties of about 1024, as sketches;
+    of about 512: each block is solved with the group's first document as a guest. Whatever that
+    one's component does not hold then visits the other blocks in parties of about 512, as sketches;
     of each two components the likeliest pair is compared on full sets first, then every plausible pair
     of documents that are still apart, so no link is lost and a task holds two blocks at most.
 
@@ -323,10 +323,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         sketched.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes"
     )
     banded = classes.select("rep", F.explode("bands").alias("band"))
-    shared = join_key_values(banded, "band", "rep", low=("min", "rep")).where("rep <> low")
+    shared = join_key_values(banded, "band", BANDS * classes.count(), low=("min", "rep")).where("rep <> low")
     groups = stored(connected_components(shared.select(F.col("rep").alias("a"), F.col("low").alias("b"))), "groups")
     sized = groups.join(classes.select(F.col("rep").alias("node"), "n_shingles").hint("merge"), "node")
-    counted = join_key_values(sized, "label", "node", members=("count", "node"), shingles=("sum", "n_shingles"))
+    counted = join_key_values(sized, "label", groups.count(), members=("count", "node"), shingles=("sum", "n_shingles"))
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     members = counted.select(F.col("node").alias("doc_id"), F.col("label").alias("grp"), blocks.alias("blocks"))
     # members grow with the documents: never broadcast
@@ -334,8 +334,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     texts = stored(texts.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")), "candidates")
     everywhere = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     first = texts.where("doc_id = grp AND blocks > 1").withColumn("home", F.col("block")).withColumn("block", everywhere).where("block <> home").drop("home")
-    total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    pack = F.pmod(F.xxhash64("grp", "block"), F.lit(-(-total // PACK_BYTES) + 1))
+    size, many = texts.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    pack = F.pmod(F.xxhash64("grp", "block"), F.lit(max((size or 0) // PACK_BYTES, many // PACK) + 1))
     verified = texts.unionByName(first).withColumn("pack", pack).groupBy("pack").applyInArrow(_verify(words, percent), "a long, b long, near boolean")
     verified = stored(verified, "verified")
     links = verified.select("a", "b")
