@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -32,24 +32,23 @@ def connected_components(links: DataFrame) -> DataFrame:
     """``node, label`` (smallest node reachable) of rows ``a, b``; nodes without links are absent.
 
     Alternates the two star steps: every node's larger neighbours, then its smaller ones, are linked
-    to the smallest neighbour, until nothing changes. Rounds grow with the logarithm of the longest
-    chain; each is written to the shared folder. Loops and repeated links do no harm.
+    to the smallest neighbour, until no link moves. Each link gives one link in each step; repeated ones are
+    dropped in every other round. Rounds grow with the logarithm of the longest chain; each is written to the shared folder.
+    Loops and repeated links do no harm.
     """
     edges = stored(
         links.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "links"
     )
-    mark = None
-    while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if now == mark or not now[0]:
-            break
-        mark = now
+    total, turn, moved = edges.count(), 0, True
+    while total and moved:
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select("lo", "hi"))
-        least = join_key_values(both, "u", 2 * now[0], m=("min", "v"))  # the root of a large component has all its nodes
-        large = least.where("v > u").select(F.col("v").alias("hi"), F.least("u", "m").alias("lo")).distinct()
-        low = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(low, "hi").select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e"))
-        edges = stored(small.select("e.*").where("hi <> lo").distinct(), "links")
+        least = join_key_values(both, "u", 2 * total, m=("min", "v"))  # the root of a large component has all its nodes
+        large = least.where("v > u").select(F.col("v").alias("hi"), F.least("u", "m").alias("lo"), (F.col("m") < F.col("u")).alias("moved"))
+        small = large.withColumn("m", F.min("lo").over(Window.partitionBy("hi")))
+        is_least = F.col("lo") == F.col("m")
+        turned = small.select(F.when(is_least, F.col("hi")).otherwise(F.col("lo")).alias("hi"), F.col("m").alias("lo"), (F.col("moved") | ~is_least).alias("moved"))
+        edges = stored(turned.groupBy("hi", "lo").agg(F.max("moved").alias("moved")) if turn % 2 == 0 else turned, "links")
+        turn, (total, moved) = turn + 1, edges.agg(F.count("*"), F.max("moved")).first()
     labels = edges.groupBy("hi").agg(F.min("lo").alias("label")).select(F.col("hi").alias("node"), "label")
     roots = edges.select(F.col("lo").alias("node"), F.col("lo").alias("label")).distinct()
     return labels.union(roots)

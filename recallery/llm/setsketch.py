@@ -18,7 +18,7 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
 #: documents and shingles verified in one block; larger candidate groups are cut into several
-BLOCK, BLOCK_SHINGLES = 512, 2_000_000
+BLOCK, BLOCK_SHINGLES = 1024, 6_000_000
 #: bytes of text and documents whose blocks are verified together
 PACK_BYTES, PACK = 4_000_000, 256
 #: a pair goes if the threshold is this much less likely (in nats) than its best similarity
@@ -308,8 +308,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     equal sets (by a 128-bit digest of the whole set) are one class, found by grouping. The classes' sketches are cut into bands; those that
     meet in a band (at the threshold all but one of ten million pairs do) form candidate groups, in
     which likelihood estimates choose what is compared on full sets. Groups are cut into blocks
-    of about 512: each block is solved with the group's first document as a guest. Whatever that
-    one's component does not hold then visits the other blocks in parties of about 512, as sketches;
+    of about 1024: each block is solved with the group's first document as a guest. Whatever that
+    one's component does not hold then visits the other blocks in parties of about 1024, as sketches;
     of each two components the likeliest pair is compared on full sets first, then every plausible pair
     of documents that are still apart, so no link is lost and a task holds two blocks at most.
 
