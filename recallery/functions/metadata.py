@@ -90,3 +90,10 @@ def filter_records(df: DataFrame, needle: str, project: str | None = None) -> Da
 def primary_memories(df: DataFrame) -> DataFrame:
     """O-25: rows that are not derived from another."""
     return df.where(F.get_json_object("metadata", "$.source_path").isNull())
+
+
+def merge_maps(mine: Column, other: Column) -> Column:
+    """O-235: the entries of ``other`` whose keys ``mine`` lacks are added; null counts as empty."""
+    empty = F.create_map().cast("map<string,string>")
+    mine, other = F.coalesce(mine, empty), F.coalesce(other, empty)
+    return F.map_concat(mine, F.map_filter(other, lambda k, _: ~F.map_contains_key(mine, k)))

@@ -1,4 +1,4 @@
-"""Cutting the lineage between the rounds of an iteration."""
+"""Cutting the lineage between the rounds of an iteration; dealing out small scans."""
 
 from __future__ import annotations
 
@@ -17,3 +17,9 @@ def settled(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A scan whose files give fewer splits than there are cores is dealt out by ``key``; any other is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

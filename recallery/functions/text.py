@@ -14,7 +14,7 @@ SEARCH_TOKEN = r"[A-Za-z0-9][A-Za-z0-9._:/#-]{1,}"
 
 def words(text: Column) -> Column:
     """O-200: lower-case words between white space."""
-    return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), r"\s+"), "")
 
 
 def alnum(text: Column) -> Column:
@@ -30,7 +30,7 @@ def tokens3(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """O-203: trimmed sentences that are not empty."""
     parts = F.transform(F.split(text, SENTENCE_BREAKS), lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""))
-    return F.filter(parts, lambda s: s != "")
+    return F.array_remove(parts, "")
 
 
 def keywords(text: Column, longer_than: int = 3, most: int = 50) -> Column:

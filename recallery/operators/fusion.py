@@ -71,26 +71,33 @@ def gated_layers(lists: list[DataFrame], threshold: float, most: int = 20, weigh
 
 
 #: Fixed values of query expansion: stop words and synonyms.
-QUERY_STOP = {"a", "an", "and", "are", "at", "did", "do", "does", "for", "from", "how", "in", "is", "of", "on", "or", "the", "to", "was", "what", "when", "where", "with"}
-SYNONYMS = {"bug": "error", "error": "bug", "fix": "solution", "doc": "documentation", "config": "configuration", "auth": "authentication", "db": "database", "api": "interface"}
+QUERY_STOP = {"when", "what", "where", "which", "who", "how", "why", "did", "does", "was", "were", "the", "and", "for", "with", "about", "into", "from", "that", "this", "your", "have", "had"}
+SYNONYMS = {
+    "bug": ["issue", "error", "failure", "defect"], "cache": ["caching", "memoization", "store"], "fast": ["quick", "speed", "latency"], "memory": ["context", "retrieval", "knowledge"],
+    "search": ["lookup", "find", "retrieve"], "vector": ["embedding", "semantic", "dense"], "query": ["question", "request", "prompt"], "reasoning": ["multi-hop", "inference", "analysis"],
+}
+EXPANSIONS = 4
 
 
-def query_variants(query: str, most: int = 5) -> list[tuple[str, float]]:
-    """O-97: the query, its tokens without stop words, and variants with a synonym, with their weights."""
-    tokens = [t for t in query.lower().split() if t not in QUERY_STOP]
-    out = {query.lower(): 1.0}
-    for i, t in enumerate(tokens):
-        if t in SYNONYMS:
-            out.setdefault(" ".join([*tokens[:i], SYNONYMS[t], *tokens[i + 1 :]]), 0.85)
-    if tokens:
-        out.setdefault(" ".join(tokens), 0.8)
-    return list(out.items())[:most]
+def normalized_query(query: str) -> str:
+    """O-97: lower-case letters and digits of each word, without stop words."""
+    tokens = ["".join(c for c in w if c.isalnum()).lower() for w in query.split()]
+    return " ".join(t for t in tokens if t and t not in QUERY_STOP)
 
 
-def optimized_search(search: Callable[[str, int], DataFrame], query: str, limit: int) -> DataFrame:
-    """O-98: all variants of a query in one job, summed by weight over rank. ``search`` gives ``id, score``."""
-    lists = [ranked(search(q, max(limit, 3)), f"v{i}", w, max(limit, 3)) for i, (q, w) in enumerate(query_variants(query))]
-    return top(rrf(lists), limit)
+def query_variants(query: str, most: int = 5) -> list[tuple[str, float]]:
+    """O-97: the normalised query, then it with two synonyms of each of its first words, or else with its own words again."""
+    base = normalized_query(query)
+    out = {base: 1.0}
+    for token in base.split()[:EXPANSIONS]:
+        for synonym in SYNONYMS.get(token, [])[:2]:
+            out.setdefault(f"{base} {synonym}".strip(), 0.85)
+    if len(out) == 1:
+        for word in query.split()[:EXPANSIONS]:
+            token = "".join(c for c in word if c.isalnum()).lower()
+            if len(token) >= 3 and token != base:
+                out.setdefault(f"{base} {token}", 0.8)
+    return list(out.items())[:most]
 
 
 def contextual_boost(query: str, text: Column, title: Column, importance: Column, age_days: Column, weight: float = 1.0) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +14,19 @@ ENTITY_PATTERNS = [
     ("mention", "mentions", r"(@[\w.-]{2,})"), ("topic", "tags", r"(#[\w-]{2,})"), ("url", "references", r"(https?://[^\s)>\"]+)"),
     ("date", "dated_on", r"\b(\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{1,2},\s+\d{4})\b"),
 ]
-RELATION_PATTERNS = [("works_at", 0.95, r"(?i)\b([a-z]+) works at ([a-z]+)\b"), ("knows", 0.9, r"(?i)\b([a-z]+) knows ([a-z]+)\b"), ("uses", 0.85, r"(?i)\b([a-z]+) uses ([a-z]+)\b"), ("is_a", 0.8, r"(?i)\b([a-z]+) is an? ([a-z]+)\b"), ("part_of", 0.9, r"(?i)\b([a-z]+) is part of ([a-z]+)\b"), ("located_in", 0.9, r"(?i)\b([a-z]+) is located in ([a-z]+)\b"), ("related_to", 0.7, r"(?i)\b([a-z]+) is related to ([a-z]+)\b")]
+#: The sides of a relation, and what stands between them. Without regard to case, so any words are a side, as specified.
+SIDE = r"([A-Z][\w-]*(?:\s+[A-Z][\w-]*)*)"
+RELATION_PATTERNS = [
+    ("works_at", 0.95, rf"(?i)\b{SIDE}\s+works?\s+at\s+{SIDE}"), ("knows", 0.9, rf"(?i)\b{SIDE}\s+knows?\s+{SIDE}"), ("uses", 0.85, rf"(?i)\b{SIDE}\s+uses?\s+{SIDE}"), ("is_a", 0.8, rf"(?i)\b{SIDE}\s+is\s+a[n]?\s+{SIDE}"),
+    ("part_of", 0.9, rf"(?i)\b{SIDE}\s+part\s+of\s+{SIDE}"), ("located_in", 0.9, rf"(?i)\b{SIDE}\s+located\s+in\s+{SIDE}"), ("related_to", 0.7, rf"(?i)\b{SIDE}\s+related\s+to\s+{SIDE}"),
+]
+#: Named entities: candidates, words that are none, and marks of organisations, places and products.
+CANDIDATE = r"\b(?:[A-Z]{2,}(?:[A-Z0-9_-]*[A-Z0-9])?|[A-Z][a-z0-9]+(?:[A-Z][A-Za-z0-9_-]*)+(?:\s+[A-Z][A-Za-z0-9_-]*)*|[A-Z][a-z0-9]+(?:\s+[A-Z][a-z0-9]+)*|[A-Za-z]+[0-9]+[A-Za-z0-9_-]*)\b"
+EMAIL, URL = r"[\w.+-]+@[\w-]+\.[\w.-]+", r"https?://[^\s]+"
+COMMON = ["the", "this", "that", "these", "those", "and", "or", "but", "for", "with", "from", "into", "onto", "your", "our", "their", "his", "her", "its", "in", "on", "at", "by", "to", "of"]
+ORGANISATIONS = [" inc", " corp", " llc", " ltd", " company", " co", " labs", " lab", " systems", " studio", " platform", " foundation", " university", " institute", " agency", " team"]
+LOCATIONS = [" city", " town", " village", " province", " state", " country", " park", " valley", " mountain", " river", " lake", " bay", " beach", " street", " avenue"]
+PRODUCTS = ["model", "platform", "engine", "sdk", "api"]
 
 
 def extract_entities(df: DataFrame) -> DataFrame:
@@ -38,6 +52,30 @@ def extract_relations(df: DataFrame) -> DataFrame:
     return df.select("id", F.explode(F.concat(*parts)).alias("r")).select("id", "r.*")
 
 
+def named_entities(df: DataFrame) -> DataFrame:
+    """O-166: ``id, name, entity_type``: addresses, links and capitalised or numbered names, typed by their marks.
+
+    A name that is a side of a relation (O-167) is a person on its left and, if it looks like one, a place or an
+    organisation on its right. Names are distinct by type without regard to case and marks, in the first spelling.
+    """
+    spans = lambda p: F.regexp_extract_all("content", F.lit(f"({p})"), F.lit(1))
+    kinds = F.concat(
+        F.transform(spans(EMAIL), lambda v: F.struct(v.alias("name"), F.lit("concept").alias("fixed"))), F.transform(spans(URL), lambda v: F.struct(v.alias("name"), F.lit("product").alias("fixed"))),
+        F.transform(spans(CANDIDATE), lambda v: F.struct(F.regexp_replace(v, r"^[,.;:\"'()\[\]]+|[,.;:\"'()\[\]]+$", "").alias("name"), F.lit(None).cast("string").alias("fixed"))),
+    )
+    each = df.select("id", F.posexplode(kinds).alias("at", "e")).select("id", "at", "e.*").where(F.col("fixed").isNotNull() | ~F.lower("name").isin(COMMON)).withColumn("key", normalize_name(F.col("name")))
+    told = extract_relations(df)
+    people = told.select("id", normalize_name(F.col("source")).alias("key"), F.lit(True).alias("person")).distinct()
+    low, name = F.col("key"), F.col("name")
+    marked = lambda text, marks: reduce(lambda a, b: a | b, [text.contains(m) for m in marks])
+    organisation = name.rlike("^[A-Z0-9_-]+$") | marked(F.lower(name), ORGANISATIONS)
+    words = F.split(name, r"\s+")
+    person = ((F.size(words) <= 3) & F.forall(words, lambda w: w.rlike("^[A-Z]"))) | (F.octet_length(name) <= 8)
+    kind = F.coalesce("fixed", F.when(F.col("person"), "person").when(marked(low, LOCATIONS), "location").when(organisation, "organization").when(F.lower(name).rlike("[0-9]") | marked(F.lower(name), PRODUCTS), "product").when(person, "person").otherwise("concept"))
+    typed = each.join(people, ["id", "key"], "left").withColumn("entity_type", kind)
+    return typed.groupBy("id", "key", "entity_type").agg(F.min_by("name", "at").alias("name")).select("id", "name", "entity_type")
+
+
 def normalize_name(name: Column) -> Column:
     """O-169: lower-case letters and digits with single spaces."""
     return F.trim(F.regexp_replace(F.lower(name), r"[^a-z0-9]+", " "))
@@ -140,8 +178,22 @@ def all_paths(edges: DataFrame, start: str, goal: str, depth: int) -> DataFrame:
 
 
 def shortest_path(edges: DataFrame, start: str, goal: str, depth: int) -> DataFrame:
-    """O-179: fewest edges, ties by the path's text."""
-    return all_paths(edges, start, goal, depth).orderBy("edges", "path").limit(1)
+    """O-179: fewest edges, ties by the path's text: ``path, edges``.
+
+    Rounds of a frontier in which every node keeps only its least path: of paths of equal length to a node that with the smaller text
+    stays the smaller one however it goes on, so nothing but one row a node is carried.
+    """
+    links = edges.select(F.col("source").alias("at"), F.col("target").alias("to")).distinct()
+    frontier = edges.sparkSession.createDataFrame([(start, start)], "node string, path string")
+    seen = frontier.select("node")
+    for step in range(1, depth + 1):
+        found = frontier.join(links, F.col("node") == F.col("at")).select(F.col("to").alias("node"), F.concat("path", F.lit(">"), "to").alias("path"))
+        frontier = settled(found.groupBy("node").agg(F.min("path").alias("path")).join(seen, "node", "left_anti"))
+        hit = frontier.where(F.col("node") == goal)
+        if not hit.isEmpty() or frontier.isEmpty():
+            return hit.select("path", F.lit(step).alias("edges"))
+        seen = seen.unionByName(frontier.select("node"))
+    return frontier.where(F.lit(False)).select("path", F.lit(0).alias("edges"))
 
 
 def best_confidence(edges: DataFrame, start: str, depth: int) -> DataFrame:
@@ -150,7 +202,8 @@ def best_confidence(edges: DataFrame, start: str, depth: int) -> DataFrame:
     cost = edges.sparkSession.createDataFrame([(start, 0.0)], "node string, cost double")
     for _ in range(depth):
         further = cost.join(links, F.col("node") == F.col("at")).select(F.col("to").alias("node"), (F.col("cost") + F.col("step")).alias("cost"))
-        cost = cost.unionByName(further).groupBy("node").agg(F.min("cost").alias("cost"))
+        # used twice in the next round: without this the plan doubles each time
+        cost = settled(cost.unionByName(further).groupBy("node").agg(F.min("cost").alias("cost")))
     return cost.where(F.col("node") != start)
 
 
@@ -193,5 +246,7 @@ def works_at(text: Column) -> Column:
 
 
 def symbol_id(project: Column, path: Column, name: Column, kind: Column, line: Column) -> Column:
-    """O-191: SHA-256 over the parts."""
-    return F.sha2(F.concat_ws("|", project, path, name, kind, line.cast("string")), 256)
+    """O-191: SHA-256 over the parts and the line as four bytes, the lowest first."""
+    high_first = F.lpad(F.hex(line.cast("long")), 8, "0")
+    low_first = F.concat(*[F.substring(high_first, k, 2) for k in (7, 5, 3, 1)])
+    return F.sha2(F.concat(F.concat_ws("|", project, path, name, kind, F.lit("")).cast("binary"), F.unhex(low_first)), 256)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recallery.functions import text as tx
+from recallery.functions.rounds import settled
 
 K1, B = 1.5, 0.75
 
@@ -17,14 +18,15 @@ def _total(columns: list[Column]) -> Column:
 
 
 def _term_count(tokens: Column, term: str) -> Column:
-    return F.size(F.filter(tokens, lambda w: w == term))
+    """How many of the tokens are the term; an array function, so the tokens of a row are cut once for all terms."""
+    return F.size(tokens) - F.size(F.array_remove(tokens, term))
 
 
 def bm25_documents(df: DataFrame, query: str) -> DataFrame:
     """O-60: ``id, score``. A term's document frequency counts substrings, its frequency whole tokens; repeated terms count twice.
 
-    The terms are the query's, so one pass finds all their counts and one aggregate row the statistics; no postings
-    are shuffled.
+    The terms are the query's: one pass over the texts writes the counts of each document, numbers only, and the
+    statistics (one row) and the scores are taken from these. No postings are shuffled.
     """
     terms = query.lower().split()
     if not terms:
@@ -34,6 +36,7 @@ def bm25_documents(df: DataFrame, query: str) -> DataFrame:
     counted = df.select(
         "id", F.size(tokens).alias("dl"), *[_term_count(tokens, t).alias(f"f{i}") for i, t in enumerate(distinct)], *[lower.contains(t).cast("int").alias(f"has{i}") for i, t in enumerate(distinct)]
     )
+    counted = settled(counted)
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum(f"has{i}").alias(f"n{i}") for i in range(len(distinct))])
     narrow = counted.select("id", "dl", *[f"f{i}" for i in range(len(distinct))])
     part = []
@@ -87,25 +90,63 @@ def fts_search(df: DataFrame, query: str) -> DataFrame:
     return df.select("id", hits.alias("score")).where("score > 0")
 
 
-#: Fixed values of the heuristic score: weights of content, path and phrase.
-CONTENT_HIT, PATH_HIT, PHRASE = 1.0, 2.0, 6.0
+#: Fixed values of the heuristic score: weights of path hits and of the phrase, signals of query and content with their bonus,
+#: bonuses by kind and evidence, and factors by category.
+PATH_HIT, PHRASE, EXACT = 2.0, 6.0, 18.0
+SIGNALS = [
+    ("sunrise", "sunrise", 12.0), ("support", "support group", 12.0), ("charity", "charity race", 12.0), ("camping", "camping", 12.0), ("identity", "transgender", 10.0),
+    ("relationship", "single", 10.0), ("research", "adoption agenc", 8.0), ("field", "counsel", 8.0), ("pursue", "counsel", 8.0), ("what", "what", 2.0), ("who", "who", 3.0),
+    ("how", "how", 2.0), ("why", "why", 2.0), ("which", "which", 2.0),
+]
+FACT_KINDS, SOURCE_KINDS, TASK_KINDS = ["fact_atom", "entity_state", "temporal_event", "summary_fact"], ["repo", "file", "symbol", "url"], ["decision", "task", "fact"]
+CATEGORY_FACTORS = {"session_summary": 0.2, "conversation": 1.2, "observation": 0.8}
 
 
-def lexical_score(query: str, content: Column, path: Column, bonus: list[tuple[Column, float]] = ()) -> Column:
-    """O-67: substring hits in content and path, the square of the matched terms, the phrase, and given bonuses."""
-    terms = list(dict.fromkeys(query.lower().split()))
+def lexical_score(query: str, content: Column, path: Column, meta: dict[str, Column] | None = None) -> Column:
+    """O-67: substring hits in content and path, the square of the matched terms, the phrase, signals, kind, evidence, exact values, category.
+
+    ``query`` is normalised (lower case, single spaces). ``meta`` may have ``memory_kind, kind, evidence_kind,
+    category, normalized_value`` and ``exact``, an array of provenance and namespace values.
+    """
+    query, meta = query.lower(), meta or {}
+    terms = query.split()
+    if not terms:
+        return F.lit(0.0)
     c, p = F.lower(content), F.lower(path)
     hit = [(c.contains(t) | p.contains(t)).cast("double") for t in terms]
-    score = _total([tx.occurrences(c, t) * CONTENT_HIT + tx.occurrences(p, t) * PATH_HIT for t in terms])
-    score = score + _total(hit) * _total(hit)
+    score = _total([tx.occurrences(c, t) + tx.occurrences(p, t) * PATH_HIT for t in terms]) + _total(hit) * _total(hit)
+    bonus = lambda test, n: F.when(test, float(n)).otherwise(0.0)
     if len(terms) > 1:
-        score = score + F.when(c.contains(query.lower()), PHRASE).otherwise(0.0)
-    return reduce(lambda s, b: s + F.when(b[0], b[1]).otherwise(0.0), bonus, score)
+        score = score + bonus(c.contains(query), PHRASE)
+    for asked, told, n in SIGNALS:
+        if asked in query:
+            score = score + bonus(c.contains(told), n)
+    if "memory_kind" in meta:
+        score = score + bonus(meta["memory_kind"].isin(FACT_KINDS), 5)
+    if "kind" in meta:
+        score = score + bonus(meta["kind"].isin(SOURCE_KINDS), 5)
+        if len(terms) > 1:
+            score = score + bonus(meta["kind"].isin(TASK_KINDS), 3)
+    if "evidence_kind" in meta:
+        e = meta["evidence_kind"]
+        score = score + bonus(e == "source_turn", 6) + bonus(e.isin("fact_atom", "entity_state"), 8) + bonus((e == "temporal_event") & F.lit("when" in query), 10)
+        score = F.when(e == "session_summary", score * 0.5).otherwise(score)
+    if "exact" in meta:
+        named = F.filter(meta["exact"], lambda x: (x != "") & F.lit(query).contains(F.lower(x)))
+        score = score + EXACT * F.coalesce(F.greatest(F.size(named), F.lit(0)), F.lit(0))
+    if "normalized_value" in meta:
+        score = score + bonus(meta["normalized_value"].isNotNull(), 2)
+    if "category" in meta:
+        factor = reduce(lambda r, kv: r.when(meta["category"] == kv[0], kv[1]), CATEGORY_FACTORS.items(), F.when(F.lit(False), 1.0))
+        score = score * F.coalesce(factor, F.lit(1.0))
+    return score
 
 
 def keyword_search(df: DataFrame, query: str, limit: int) -> DataFrame:
-    """O-69: best heuristic scores, ties by path."""
-    scored = df.select("id", "path", lexical_score(query, F.col("content"), F.col("path")).alias("score"))
+    """O-69: best heuristic scores, ties by path; ``kind`` and the other columns of O-67 count where the table has them."""
+    names = ["memory_kind", "kind", "evidence_kind", "category", "normalized_value", "exact"]
+    meta = {n: F.col(n) for n in names if n in df.columns}
+    scored = df.select("id", "path", lexical_score(query, F.col("content"), F.col("path"), meta).alias("score"))
     return scored.where("score > 0").orderBy(F.desc("score"), "path").limit(limit)
 
 
@@ -155,6 +196,23 @@ def entity_layer_score(query: str, name: Column, description: Column) -> Column:
     return 0.5 * F.when(n == q, 1.0).when(n.contains(q) | F.lit(q).contains(n), 0.7).when(d.contains(q), 0.4 + terms).otherwise(0.0)
 
 
+def document_tokens(df: DataFrame) -> DataFrame:
+    """O-64 over whole documents: ``id, at, token``, distinct without regard to case, the first spelling kept.
+
+    By grouping, as comparing each token with all others of its text takes a square of its length.
+    """
+    each = df.select("id", F.posexplode(F.regexp_extract_all("content", F.lit(f"({tx.SEARCH_TOKEN})"))).alias("at", "token"))
+    first = each.groupBy("id", F.lower("token").alias("key")).agg(F.min(F.struct("at", "token")).alias("first"))
+    return first.select("id", "first.at", "first.token")
+
+
+def document_code_tokens(df: DataFrame) -> DataFrame:
+    """O-65 over whole documents: ``id, token``: parts of the distinct tokens between marks and at camel-case humps."""
+    humps = F.regexp_replace("token", r"([a-z])([A-Z])", "$1 $2")
+    parts = document_tokens(df).select("id", F.explode(F.split(F.lower(humps), r"[^a-z0-9]+")).alias("token"))
+    return parts.where(F.length("token") > 1).distinct()
+
+
 def match_score(saved: Column, found: Column) -> Column:
     """O-74: is a saved text found again: exact 1; lengths under half 0; same beginning .9 or .7; else .3."""
     ratio = F.least(F.octet_length(saved), F.octet_length(found)) / F.greatest(F.octet_length(saved), F.octet_length(found), F.lit(1))
@@ -164,7 +222,7 @@ def match_score(saved: Column, found: Column) -> Column:
 
 def character_jaccard(left: Column, right: Column) -> Column:
     """O-75: of the sets of letters and digits."""
-    letters = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), ""), lambda x: x.rlike(r"^[\p{L}\p{N}]$")))
+    letters = lambda c: F.array_remove(F.array_distinct(F.split(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", ""), "")), "")
     return tx.jaccard(letters(left), letters(right))
 
 

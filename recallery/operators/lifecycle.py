@@ -97,13 +97,25 @@ def similarity(left: str, right: str, cosine: Column) -> Column:
 
 
 def merge_documents(df: DataFrame) -> DataFrame:
-    """O-155: per ``cluster``: the best document's id, and the distinct sentences of all, in order of quality."""
+    """O-155: per ``cluster`` the best document's id and a row for each distinct sentence of all, in the order ``q, from_id, at``.
+
+    Rows, not one text: a cluster of any size stays spread.
+    """
     each = df.select("cluster", "id", "quality", F.posexplode(tx.sentences(F.col("content"))).alias("at", "sentence"))
     normal = F.array_join(tx.words(F.col("sentence")), " ")
     first = each.groupBy("cluster", normal.alias("key")).agg(F.min(F.struct((-F.col("quality")).alias("q"), "id", "at", "sentence")).alias("s"))
-    merged = first.groupBy("cluster").agg(F.array_sort(F.collect_list("s")).alias("all"))
     best = df.groupBy("cluster").agg(F.min(F.struct((-F.col("quality")).alias("q"), "id")).alias("b"))
-    return merged.join(best, "cluster").select("cluster", F.col("b.id").alias("id"), F.array_join(F.transform("all", lambda s: s["sentence"]), ". ").alias("content"))
+    return first.join(best, "cluster").select("cluster", F.col("b.id").alias("id"), "s.q", F.col("s.id").alias("from_id"), "s.at", "s.sentence")
+
+
+def promoted(importance: Column) -> Column:
+    """O-152: a fifth more, at most 1."""
+    return F.least(F.lit(1.0), importance * 1.2)
+
+
+def demoted(importance: Column) -> Column:
+    """O-152: a fifth less."""
+    return importance * 0.8
 
 
 NEGATIONS = ["not", "no", "never", "neither", "none", "doesn't", "isn't", "wasn't"]

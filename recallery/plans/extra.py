@@ -45,10 +45,9 @@ def o40_hits_with_records(spark, sf):
     return memories(spark, sf).select("id", "lang").join(hits, "id")
 
 
-@query(sql([MEMORIES, "t AS (SELECT id, unnest(regexp_extract_all(substr(content, 1, 200), '[A-Za-z0-9][A-Za-z0-9._:/#-]+')) AS t FROM memories)"], "SELECT id, count(DISTINCT lower(t)) AS tokens FROM t GROUP BY id"))
+@query(sql([MEMORIES, "t AS (SELECT id, unnest(regexp_extract_all(content, '[A-Za-z0-9][A-Za-z0-9._:/#-]+')) AS t FROM memories)"], "SELECT id, count(DISTINCT lower(t)) AS tokens FROM t GROUP BY id"))
 def o64_search_tokens(spark, sf):
-    m = memories(spark, sf).select("id", F.size(tx.search_tokens(F.substring("content", 1, 200))).cast("long").alias("tokens"))
-    return m.where("tokens > 0")
+    return lexical.document_tokens(memories(spark, sf)).groupBy("id").agg(F.count("*").alias("tokens"))
 
 
 @query(sql([MEMORIES, *BM25_DOCS, "k AS (SELECT id, access_count * 1.0e0 AS score FROM memories)", "a AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT * FROM bm25 WHERE score > 0 ORDER BY score DESC, id LIMIT 20))", "b AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT * FROM k ORDER BY score DESC, id LIMIT 20))"], "SELECT id, round(sum(s), 9) AS score FROM (SELECT id, 0.7e0 / (60 + rank) AS s FROM a UNION ALL SELECT id, 0.3e0 / (60 + rank) FROM b) GROUP BY id"))
@@ -85,10 +84,10 @@ def o151_auto_manage(spark, sf):
     return kept.join(lc.evict_low_quality(kept).select("id"), "id", "left_anti").groupBy("priority").agg(F.count("*").alias("kept"))
 
 
-@query(sql([MEMORIES], "SELECT id, round(least(1.0e0, 0.9e0 * 1.2e0), 6) AS promoted, round(0.9e0 * 0.8e0, 6) AS demoted FROM memories"))
+@query(sql([MEMORIES], "SELECT id, round(least(1.0e0, (access_count / 12.0e0) * 1.2e0), 6) AS promoted, round((access_count / 12.0e0) * 0.8e0, 6) AS demoted FROM memories"))
 def o152_promote_demote(spark, sf):
-    r = F.lit(0.9)
-    return memories(spark, sf).select("id", F.round(F.least(F.lit(1.0), r * 1.2), 6).alias("promoted"), F.round(r * 0.8, 6).alias("demoted"))
+    r = F.col("access_count") / 12.0
+    return memories(spark, sf).select("id", F.round(lc.promoted(r), 6).alias("promoted"), F.round(lc.demoted(r), 6).alias("demoted"))
 
 
 @query("SELECT trim(regexp_replace(lower(p_name || ' & ' || p_brand), '[^a-z0-9]+', ' ', 'g')) AS name, count(*) AS n FROM part GROUP BY ALL")
@@ -102,11 +101,11 @@ def o182_paths_to_memories(spark, sf):
     return e.where("provenance <> 'm0'").distinct()
 
 
-@query(sql([MEMORIES], f"SELECT id, array_to_string(list_slice(list_sort(list_distinct(list_filter(list_transform({WORDS}, lambda w: regexp_replace(w, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')), lambda w: strlen(w) > 3 AND regexp_matches(w, '^[a-z]+$')))), 1, 50), ' ') AS keywords FROM memories WHERE lang = 'en'"))
+@query(sql([MEMORIES, "a AS (SELECT id, regexp_replace(content, '\\S*[^\\x00-\\x7F]\\S*', '', 'g') AS content FROM memories WHERE lang = 'en')"], f"SELECT id, array_to_string(list_slice(list_sort(list_distinct(list_filter(list_transform({WORDS}, lambda w: regexp_replace(w, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')), lambda w: strlen(w) > 3))), 1, 50), ' ') AS keywords FROM a"))
 def o204_keywords(spark, sf):
-    cleaned = F.transform(tx.words(F.col("content")), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
-    kept = F.slice(F.array_sort(F.array_distinct(F.filter(cleaned, lambda w: (F.octet_length(w) > 3) & w.rlike("^[a-z]+$")))), 1, 50)
-    return memories(spark, sf).where("lang = 'en'").select("id", F.array_join(kept, " ").alias("keywords"))
+    # both engines sort ASCII alike
+    ascii_ = memories(spark, sf).where("lang = 'en'").select("id", F.regexp_replace("content", r"\S*[^\x00-\x7F]\S*", "").alias("content"))
+    return ascii_.select("id", F.array_join(tx.keywords(F.col("content")), " ").alias("keywords"))
 
 
 @query("SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN TIMESTAMP '2024-01-05 10:20:30' WHEN 1 THEN TIMESTAMP '2024-01-05' END AS t FROM events")
@@ -126,12 +125,6 @@ def o233_bigrams(spark, sf):
     return b.select("session_id", "turn", F.size("b").cast("long").alias("n"), F.try_element_at("b", F.lit(1)).alias("first_pair"))
 
 
-@query(sql([MEMORIES], "SELECT id, regexp_matches(content, '[A-Za-z][\\x{0400}-\\x{04FF}]|[\\x{0400}-\\x{04FF}][A-Za-z]') AS mixed, regexp_matches(content, '[\\x{200B}-\\x{200D}\\x{2060}\\x{FEFF}]') AS hidden FROM memories"))
-def o245_unicode_tricks(spark, sf):
-    t = scan.unicode_tricks(F.col("content"))
-    return memories(spark, sf).select("id", t[0].isNotNull().alias("mixed"), t[2].isNotNull().alias("hidden"))
-
-
 @query(sql([USAGE], f"SELECT event_id FROM usage WHERE epoch(ts) > epoch(TIMESTAMP '{AS_OF}') - 3 * 86400"))
 def o265_ttl(spark, sf):
     return usage(spark, sf).where(F.col("ts").cast("double") > as_of().cast("double") - 3 * 86400).select("event_id")
@@ -147,3 +140,23 @@ def o282_code_find(spark, sf):
 def o283_code_context(spark, sf):
     t = parts(spark, sf).select("kind", "id", tx.estimate_tokens(F.col("name")).alias("tokens"))
     return fusion.token_budget(t, "kind", ["id"], "tokens", 10, keep_first=True).select("kind", "id")
+
+
+@query(
+    """SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN time_bucket(INTERVAL 15 MINUTE, ts) + INTERVAL 15 MINUTE WHEN 1 THEN CASE WHEN ts < date_trunc('day', ts) + INTERVAL 9 HOUR THEN date_trunc('day', ts) + INTERVAL 9 HOUR ELSE date_trunc('day', ts) + INTERVAL 33 HOUR END
+     WHEN 2 THEN date_trunc('month', ts) + INTERVAL 1 MONTH + INTERVAL 30 SECOND END AS next_run FROM (SELECT event_id, date_trunc('second', ts) AS ts FROM events) WHERE NOT (event_id % 4 = 2 AND ts < date_trunc('month', ts) + INTERVAL 30 SECOND)"""
+)
+def o225_next_runs(spark, sf):
+    from recallery.functions import time as tm
+
+    schedule = F.expr("CASE event_id % 4 WHEN 0 THEN '0 */15 * * * *' WHEN 1 THEN '0 0 9 * * *' WHEN 2 THEN '30 0 0 1 * *' ELSE 'whenever' END")
+    jobs = usage(spark, sf).select("event_id", F.date_trunc("second", "ts").alias("last_run"), schedule.alias("schedule"))
+    early = (F.col("event_id") % 4 == 2) & (F.col("last_run") < F.date_trunc("month", "last_run") + F.expr("INTERVAL 30 SECONDS"))
+    return tm.with_next_run(jobs.where(~early)).select(F.col("event_id").alias("id"), "next_run")
+
+
+@query("SELECT event_id AS id, event_type AS mode, CAST(user_id AS VARCHAR) AS owner, CASE WHEN event_id % 2 = 0 THEN 'x' ELSE 'y' END AS level FROM events")
+def o235_merge_maps(spark, sf):
+    e = table(spark, sf, "events").select("event_id", F.create_map(F.lit("mode"), "event_type").alias("a"), F.create_map(F.lit("mode"), F.lit("z"), F.lit("owner"), F.col("user_id").cast("string")).alias("b"), F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("level"), F.lit("x"))).alias("c"))
+    merged = md.merge_maps(md.merge_maps(md.merge_maps(F.col("a"), F.col("b")), F.col("c")), F.create_map(F.lit("level"), F.lit("y")))
+    return e.select(F.col("event_id").alias("id"), *[merged[k].alias(k) for k in ("mode", "owner", "level")])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recallery.functions.rounds import spread
+
 AS_OF = "2024-02-01 00:00:00"
 
 
@@ -19,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as memory rows; kinds, priorities, levels and times are derived from the id."""
     start = "timestamp'2024-01-01 00:00:00'"
-    return table(spark, sf_dir, "documents").selectExpr(
+    return spread(table(spark, sf_dir, "documents"), "doc_id").selectExpr(
         "doc_id AS id", "source AS workspace_id", "concat(source, '/', doc_id) AS path", "text AS content", "lang",
         f"{start} + make_interval(0, 0, 0, 0, 0, cast(doc_id AS int), 0) AS created_at",
         "element_at(array('critical', 'high', 'medium', 'low', 'ephemeral'), cast(doc_id % 5 AS int) + 1) AS priority",

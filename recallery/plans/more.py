@@ -49,40 +49,41 @@ def o46_terms_to_entities(spark, sf):
     return cu.terms_to_entities(n, ["nation_1", "nation_2", "zz"], 3)
 
 
-@query(sql(["src AS (SELECT p_partkey AS id, p_name || '(' || p_brand || ')' AS body, 'f' || (p_partkey % 40) AS name FROM part)", "c AS (SELECT id, unnest(regexp_extract_all('f' || (id % 7) || '(x) ' || body, '(\\w+)\\(', 1)) AS callee FROM src)"], "SELECT DISTINCT c.id AS caller, s.id AS callee FROM c JOIN src s ON s.name = c.callee WHERE c.id <> s.id AND c.id < 100"))
+@query(sql(["src AS (SELECT p_partkey AS id, p_name || '(' || p_brand || ')' AS body, 'f' || (p_partkey % 40) AS name FROM part)", "c AS (SELECT id, unnest(regexp_extract_all('f' || (id % 7) || '(x) ' || body, '(\\w+)\\(', 1)) AS callee FROM src)"], "SELECT DISTINCT c.id AS caller, s.id AS callee FROM c JOIN src s ON s.name = c.callee WHERE c.id <> s.id"))
 def o48_call_edges(spark, sf):
     s = table(spark, sf, "part").selectExpr("p_partkey AS id", "concat('f', p_partkey % 7, '(x) ', p_name, '(', p_brand, ')') AS body", "concat('f', p_partkey % 40) AS name")
-    return cu.call_edges(s).where("caller < 100")
+    return cu.call_edges(s)
 
 
-@query(sql([MEMORIES, f"w AS (SELECT id, path, list_distinct(list_filter(string_split_regex(lower(content), '[^\\p{{L}}\\p{{N}}]+'), lambda w: strlen(w) >= 3)) AS w FROM memories)"], "SELECT a.id, round(0.4e0 * CASE WHEN len(a.w) = 0 OR len(b.w) = 0 THEN 0 ELSE len(list_intersect(a.w, b.w)) / CAST(len(list_distinct(list_concat(a.w, b.w))) AS DOUBLE) END, 6) AS similarity FROM w a JOIN w b ON b.id = a.id + 1 WHERE a.id < 300"))
+@query(sql([MEMORIES, f"w AS (SELECT id, path, list_distinct(list_filter(string_split_regex(lower(content), '[^\\p{{L}}\\p{{N}}]+'), lambda w: strlen(w) >= 3)) AS w FROM memories)"], "SELECT a.id, round(0.4e0 * CASE WHEN len(a.w) = 0 OR len(b.w) = 0 THEN 0 ELSE len(list_intersect(a.w, b.w)) / CAST(len(list_distinct(list_concat(a.w, b.w))) AS DOUBLE) END, 6) AS similarity FROM w a JOIN w b ON b.id = a.id + 1"))
 def o153_similarity(spark, sf):
     from recallery.operators import lifecycle as lc
 
     m = memories(spark, sf).select("id", "path", "content")
     other = m.select((F.col("id") - 1).alias("id"), F.col("path").alias("right_path"), F.col("content").alias("right_content"))
-    both = m.where("id < 300").withColumnsRenamed({"path": "left_path", "content": "left_content"}).join(other, "id")
+    both = m.withColumnsRenamed({"path": "left_path", "content": "left_content"}).join(other, "id")
     return both.select("id", r6(lc.similarity("left_", "right_", F.lit(0.0)), "similarity"))
 
 
-@query(sql([MEMORIES, "s AS (SELECT id, lang AS cluster, id % 7 AS quality, unnest(list_transform(string_split_regex(substr(content, 1, 300), '[.\\n!?]'), lambda s: trim(s, ' \n\t\r'))) AS sentence FROM memories WHERE id < 60)", "k AS (SELECT DISTINCT cluster, array_to_string(list_filter(string_split_regex(lower(sentence), '\\s+'), lambda w: w <> ''), ' ') AS key FROM s WHERE sentence <> '')", "b AS (SELECT DISTINCT ON (lang) lang AS cluster, id FROM memories WHERE id < 60 ORDER BY lang, id % 7 DESC, id)"], "SELECT cluster, any_value(b.id) AS id, count(*) AS sentences FROM k JOIN b USING (cluster) GROUP BY cluster"))
+@query(sql([MEMORIES, "s AS (SELECT id, id // 8 AS cluster, id % 7 AS quality, unnest(list_transform(string_split_regex(content, '[.\\n!?]'), lambda s: trim(s, ' \n\t\r'))) AS sentence FROM memories)", "k AS (SELECT DISTINCT cluster, array_to_string(list_filter(string_split_regex(lower(sentence), '\\s+'), lambda w: w <> ''), ' ') AS key FROM s WHERE sentence <> '')", "b AS (SELECT DISTINCT ON (id // 8) id // 8 AS cluster, id FROM memories ORDER BY id // 8, id % 7 DESC, id)"], "SELECT cluster, any_value(b.id) AS id, count(*) AS sentences FROM k JOIN b USING (cluster) GROUP BY cluster"))
 def o155_merge_documents(spark, sf):
     from recallery.operators import lifecycle as lc
 
-    m = memories(spark, sf).where("id < 60").select("id", F.col("lang").alias("cluster"), (F.col("id") % 7).alias("quality"), F.substring("content", 1, 300).alias("content"))
-    return lc.merge_documents(m).select("cluster", "id", F.size(F.split("content", r"\. ")).cast("long").alias("sentences"))
+    m = memories(spark, sf).select("id", F.floor(F.col("id") / 8).alias("cluster"), (F.col("id") % 7).alias("quality"), "content")
+    return lc.merge_documents(m).groupBy("cluster").agg(F.min("id").alias("id"), F.count("*").alias("sentences"))
 
 
-@query(sql([MEMORIES], "SELECT id, array_to_string(list_distinct(list_filter(list_reduce(list_transform(regexp_extract_all(substr(content, 1, 200), '[A-Za-z0-9][A-Za-z0-9._:/#-]+'), lambda t: string_split_regex(lower(regexp_replace(t, '([a-z])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+')), lambda a, b: list_concat(a, b), ['']), lambda p: length(p) > 1)).list_sort(), ' ') AS tokens FROM memories WHERE id < 200"))
+@query(sql([MEMORIES, "t AS (SELECT id, unnest(ts) AS t, generate_subscripts(ts, 1) AS nth FROM (SELECT id, regexp_extract_all(content, '[A-Za-z0-9][A-Za-z0-9._:/#-]+') AS ts FROM memories))", "f AS (SELECT id, min_by(t, nth) AS t FROM t GROUP BY id, lower(t))", "p AS (SELECT DISTINCT id, unnest(string_split_regex(lower(regexp_replace(t, '([a-z])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+')) AS p FROM f)"], "SELECT id, count(*) AS tokens, md5(string_agg(p, ' ' ORDER BY p)) AS digest FROM p WHERE length(p) > 1 GROUP BY id"))
 def o65_code_tokens(spark, sf):
-    return memories(spark, sf).where("id < 200").select("id", F.array_join(F.array_sort(tx.code_tokens(F.substring("content", 1, 200))), " ").alias("tokens"))
+    t = lexical.document_code_tokens(memories(spark, sf))
+    return t.groupBy("id").agg(F.count("*").alias("tokens"), F.md5(F.array_join(F.array_sort(F.collect_list("token")), " ")).alias("digest"))
 
 
-@query(sql([MEMORIES, "l AS (SELECT id, list_distinct(list_filter(string_split(lower(substr(content, 1, 80)), ''), lambda c: regexp_matches(c, '^[\\p{L}\\p{N}]$'))) AS c FROM memories)"], "SELECT a.id, round(CASE WHEN len(a.c) = 0 OR len(b.c) = 0 THEN 0 ELSE len(list_intersect(a.c, b.c)) / CAST(len(list_distinct(list_concat(a.c, b.c))) AS DOUBLE) END, 6) AS jaccard FROM l a JOIN l b ON b.id = a.id + 1 WHERE a.id < 400"))
+@query(sql([MEMORIES, "l AS (SELECT id, list_distinct(list_filter(string_split(lower(content), ''), lambda c: regexp_matches(c, '^[\\p{L}\\p{N}]$'))) AS c FROM memories)"], "SELECT a.id, round(CASE WHEN len(a.c) = 0 OR len(b.c) = 0 THEN 0 ELSE len(list_intersect(a.c, b.c)) / CAST(len(list_distinct(list_concat(a.c, b.c))) AS DOUBLE) END, 6) AS jaccard FROM l a JOIN l b ON b.id = a.id + 1"))
 def o75_character_jaccard(spark, sf):
-    m = memories(spark, sf).select("id", F.substring("content", 1, 80).alias("c"))
+    m = memories(spark, sf).select("id", F.col("content").alias("c"))
     other = m.select((F.col("id") - 1).alias("id"), F.col("c").alias("d"))
-    return m.join(other, "id").where("id < 400").select("id", r6(lexical.character_jaccard(F.col("c"), F.col("d")), "jaccard"))
+    return m.join(other, "id").select("id", r6(lexical.character_jaccard(F.col("c"), F.col("d")), "jaccard"))
 
 
 @query(sql([USAGE], "SELECT event_type, count(*) AS n, round(least(1.0e0, 0.3e0 + 0.3e0 * log2(1.0e0 + count(*))), 6) AS trust, round(1 - 0.7e0 * pow(0.8e0, least(count(*), 30)), 6) AS confirmed FROM usage GROUP BY event_type"))
@@ -165,37 +166,6 @@ def o290_keyword_lines(spark, sf):
     return cu.keyword_lines(memories(spark, sf), ["thing", "that"], 5).select("id", F.col("at").alias("line_no"))
 
 
-@query(sql([MEMORIES], "SELECT id, nullif(regexp_extract(lower(replace(content, ' the ', ' because ')), '\\b(?:because|since) ([^.!?\\n]+)', 1), '') AS reason FROM memories WHERE lang = 'en'"))
-def o303_reason_answer(spark, sf):
-    from recallery.operators import dialogue as dg
-
-    m = memories(spark, sf).where("lang = 'en'")
-    return m.select("id", dg.reason_answer(F.replace("content", F.lit(" the "), F.lit(" because "))).alias("reason"))
-
-
-@query(sql([MEMORIES], "SELECT lang, array_to_string(list_slice(list_sort(list(DISTINCT scope)), 1, 3), ';') AS answer FROM memories GROUP BY lang"))
-def o306_description_answer(spark, sf):
-    m = memories(spark, sf).selectExpr("lang", "concat('S', id % 3) AS value")
-    ranked = m.distinct().withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("value"))).where("n <= 3")
-    return ranked.groupBy("lang").agg(F.array_join(F.array_sort(F.collect_list("value")), ";").alias("answer"))
-
-
-@query(sql([MEMORIES], "SELECT id, len(regexp_extract_all(content, '[A-Za-z0-9/+=]{8,}')) AS runs FROM memories"))
-def o243_entropy_runs(spark, sf):
-    return memories(spark, sf).select("id", F.size(F.regexp_extract_all("content", F.lit("([A-Za-z0-9/+=]{8,})"))).cast("long").alias("runs"))
-
-
-@query(sql([MEMORIES], "SELECT id, regexp_matches(content, '(\\.\\./|\\.\\.\\\\|%2e%2e(%2f|/)|/etc/passwd)') AS traversal, regexp_matches(content, '(?i)(urgent(ly)?|immediately|trust me|this is an emergency)') AS social FROM memories"))
-def o247_traversal_and_social(spark, sf):
-    c = F.col("content")
-    return memories(spark, sf).select("id", c.rlike(scan.TRAVERSAL).alias("traversal"), c.rlike(r"(?i)(urgent(ly)?|immediately|trust me|this is an emergency)").alias("social"))
-
-
-@query(sql([USAGE, "s AS (SELECT user_id, k, ts, lag(k) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM usage)"], "SELECT user_id, count(*) AS changes FROM s WHERE before IS NOT NULL AND before <> k GROUP BY user_id"))
-def o250_config_drift(spark, sf):
-    return cu.drift(usage(spark, sf), "user_id", ["ts", "event_id"], "k").groupBy("user_id").agg(F.count("*").alias("changes"))
-
-
 @query(sql([USAGE], "SELECT event_type, arg_max(event_id, ts) AS newest, round(epoch(max(ts)) - epoch(TIMESTAMP '2024-01-01'), 0) AS lag, CASE WHEN epoch(max(ts)) - epoch(TIMESTAMP '2024-01-01') < 86400 THEN 'ok' ELSE 'late' END AS status FROM usage GROUP BY event_type"))
 def o129_sync_lag(spark, sf):
     u = usage(spark, sf)
@@ -213,26 +183,6 @@ def o95_context_fusion(spark, sf):
     return fusion.rrf([first, second]).select("id", F.round("score", 9).alias("score"), "sources")
 
 
-@query(sql([MEMORIES, *BM25_DOCS, "top1 AS (SELECT id FROM bm25 ORDER BY score DESC, id LIMIT 3)"], "SELECT lang AS topic, count(*) AS n FROM memories WHERE id IN (SELECT id FROM top1) GROUP BY lang"))
-def o102_topics_of_top(spark, sf):
-    m = memories(spark, sf)
-    top = lexical.bm25_documents(m, QUERY).orderBy(F.desc("score"), "id").limit(3)
-    return m.join(F.broadcast(top.select("id")), "id").groupBy(F.col("lang").alias("topic")).agg(F.count("*").alias("n"))  # three rows
-
-
-@query(sql([VECTORS], "SELECT a.id FROM vectors a WHERE a.label = (SELECT label FROM vectors WHERE id = 7)"))
-def o192_page_in(spark, sf):
-    v = vectors(spark, sf).select("id", "label")
-    return v.join(F.broadcast(v.where("id = 7").select("label")), "label").select("id")  # one row
-
-
-@query()
-def o97_query_variants(spark, sf):
-    from recallery.operators import fusion
-
-    return spark.createDataFrame([(v, w) for q in ("fix the db bug", "what is the config") for v, w in fusion.query_variants(q)], "variant string, weight double")
-
-
 @query()
 def o154_greedy_clusters(spark, sf):
     v = vectors(spark, sf).withColumns({"batch": F.floor(F.col("id") / 32), "quality": (F.col("id") % 9) / 9.0})
@@ -249,4 +199,3 @@ def o188_call_chain(spark, sf):
 def o190_parse_symbols(spark, sf):
     files = spark.createDataFrame([("a.py", "class A:\n    def f(self, x):\n        if x and x > 1:\n            return 1\n\n\ndef g():\n    pass\n")], "path string, content string")
     return cu.parse_symbols(files)
-

@@ -135,11 +135,11 @@ def o184_belief_confidence(spark, sf):
     return _beliefs(spark, sf).select("id", F.round(gr.belief_confidence(kind, F.length("source")), 6).alias("confidence"))
 
 
-@query(sql([BELIEFS], "SELECT DISTINCT ON (m.id) m.id, b.id AS edge_id FROM (SELECT 'm' || doc_id AS id FROM documents WHERE doc_id < 17) m JOIN beliefs b ON b.provenance = m.id ORDER BY m.id, b.created_at, b.id"))
+@query(sql([BELIEFS], "SELECT DISTINCT ON (m.id) m.id, b.id AS edge_id FROM (SELECT 'm' || doc_id AS id FROM documents) m JOIN beliefs b ON b.provenance = m.id ORDER BY m.id, b.created_at, b.id"))
 def o42_edges_of_memories(spark, sf):
     from pyspark.sql import Window
 
-    m = memories(spark, sf).where("id < 17").select(F.concat(F.lit("m"), "id").alias("provenance"))
+    m = memories(spark, sf).select(F.concat(F.lit("m"), "id").alias("provenance"))
     w = Window.partitionBy("provenance").orderBy("created_at", "id")
     return _beliefs(spark, sf).join(m, "provenance").withColumn("n", F.row_number().over(w)).where("n = 1").select(F.col("provenance").alias("id"), F.col("id").alias("edge_id"))
 
@@ -160,7 +160,7 @@ def o112_code_index_stats(spark, sf):
     return parts(spark, sf).agg(F.count("*").alias("symbols"), F.countDistinct("kind").alias("kinds"), F.countDistinct("name").alias("names"))
 
 
-@query(sql([PARTS], "SELECT node, sha256('repo|src|' || name || '|' || kind || '|' || id) AS symbol_id FROM parts"))
+@query(sql([PARTS], "SELECT node, sha256(CAST('repo|src|' || name || '|' || kind || '|' AS BLOB) || unhex(substr(lpad(hex(id), 8, '0'), 7, 2) || substr(lpad(hex(id), 8, '0'), 5, 2) || substr(lpad(hex(id), 8, '0'), 3, 2) || substr(lpad(hex(id), 8, '0'), 1, 2))) AS symbol_id FROM parts"))
 def o191_symbol_id(spark, sf):
     return parts(spark, sf).select("node", gr.symbol_id(F.lit("repo"), F.lit("src"), F.col("name"), F.col("kind"), F.col("id")).alias("symbol_id"))
 
@@ -197,23 +197,6 @@ def _any(column, words):
     return " OR ".join(f"contains(lower({column}), '{w}')" for w in words)
 
 
-@query(sql([MEMORIES], f"SELECT id, {' + '.join(f'CAST(contains(lower(content), {chr(39)}{p}{chr(39)}) AS INT)' for p in sc.PHRASES)} AS phrases, {' + '.join(f'len(regexp_extract_all(content, {chr(39)}{p.replace(chr(39), chr(39) * 2)}{chr(39)}))' for p in sc.SECRET_PATTERNS)} AS secrets FROM memories"))
-def o242_secret_patterns(spark, sf):
-    c = F.col("content")
-    return memories(spark, sf).select("id", sc.known_phrases(c).alias("phrases"), sc.secret_findings(c).cast("long").alias("secrets"))
-
-
-@query(sql([MEMORIES, "w AS (SELECT id, content, list_filter(string_split_regex(content, '\\s+'), lambda w: regexp_matches(w, '[A-Za-z]')) AS w FROM memories)"], "SELECT id, round(CASE WHEN len(w) >= 4 THEN len(list_filter(w, lambda x: regexp_matches(x, '^[^a-z]*[A-Z][^a-z]*$'))) / CAST(len(w) AS DOUBLE) ELSE 0 END, 6) AS caps, contains(content, '  ') AS spacing, regexp_matches(content, '[!?.]{4,}') AS punctuation FROM w"))
-def o244_heuristics(spark, sf):
-    c = F.col("content")
-    return memories(spark, sf).select("id", F.round(sc.caps_ratio(c), 6).alias("caps"), c.contains("  ").alias("spacing"), c.rlike(r"[!?.]{4,}").alias("punctuation"))
-
-
-@query()
-def o251_scan_text(spark, sf):
-    return sc.scan_text(memories(spark, sf), ["canary-7f3a"]).select("id", "level", "clean", F.array_join(F.transform("threats", lambda t: t["layer"]), ",").alias("layers"))
-
-
 @query(sql([PAGES], "SELECT id, regexp_matches(url, '^https?://') AS allowed FROM pages_m"))
 def o254_url_allowed(spark, sf):
     return _pages(spark, sf).select("id", sc.url_allowed(F.col("url")).alias("allowed"))
@@ -225,14 +208,6 @@ def o253_injection(spark, sf):
     return memories(spark, sf).select("id", F.round(sc.injection_confidence(c), 6).alias("confidence"))
 
 
-@query(
-    sql([MEMORIES, "w AS (SELECT DISTINCT id, unnest(string_split_regex(lower(content), '[^a-z]+')) AS word FROM memories)", f"t AS (SELECT unnest([{', '.join(repr(n) for n in sc.TOOL_NAMES if len(n) >= 5)}]) AS tool)"],
-        "SELECT id, word, tool, levenshtein(word, tool) AS distance FROM w, t WHERE length(word) BETWEEN 5 AND 12 AND abs(length(word) - length(tool)) <= 2 AND levenshtein(word, tool) BETWEEN 1 AND 2")
-)
-def o248_tool_aliases(spark, sf):
-    return sc.tool_aliases(memories(spark, sf)).select("id", "word", "tool", F.col("distance").cast("long").alias("distance"))
-
-
 # dialogue
 
 
@@ -273,12 +248,6 @@ def o293_dedup_pairs(spark, sf):
     return dg.dedup_pairs(t, "content", ["order_id", "turn"]).select("session_id", "turn")
 
 
-QUESTION = "CASE " + " ".join(f"WHEN {_any('content', w)} THEN {v}" for v, w in dg.QUESTION_RULES) + " ELSE 1 END"
-
-
-@query(sql([TURNS], f"SELECT {QUESTION} AS category, count(*) AS n FROM turns GROUP BY ALL"))
-def o300_question_category(spark, sf):
-    return turns(spark, sf).groupBy(dg.question_category(F.col("content")).alias("category")).agg(F.count("*").alias("n"))
 
 
 @query(sql([PAGES, SOURCE], "SELECT id, coalesce(nullif(regexp_extract(content, '\\b(\\d{4}-\\d{2}-\\d{2})\\b', 1), ''), nullif(regexp_extract(content, '(?i)\\b(yesterday|today|tomorrow|last week|next week)\\b', 1), ''), nullif(regexp_extract(content, '\\b((?:19|20)\\d{2})\\b', 1), '')) AS answer FROM src WHERE NOT regexp_matches(content, 'January|February|March|April|May|June|July|August|September|October|November|December')"))
@@ -287,11 +256,6 @@ def o301_date_answer(spark, sf):
     return plain.select("id", dg.date_answer(F.col("content")).alias("answer"))
 
 
-@query(sql([TURNS], f"SELECT session_id, turn, len(list_filter(list_transform(string_split_regex(content, '[.\\n!?]'), lambda s: trim(s)), lambda s: s <> '' AND ({_any('s', dg.OPINION_WORDS)}))) AS opinions FROM turns"))
-def o302_opinion_sentences(spark, sf):
-    return turns(spark, sf).select("session_id", "turn", F.size(dg.sentences_with(F.col("content"), dg.OPINION_WORDS)).cast("long").alias("opinions"))
-
-
 @query("WITH h AS (SELECT p_type AS fact_type, p_brand AS value, count(DISTINCT p_size % 5) AS subjects FROM part GROUP BY ALL HAVING count(DISTINCT p_size % 5) >= 2) SELECT fact_type, min(value) AS value, count(*) AS shared FROM h GROUP BY fact_type")
 def o304_shared_facts(spark, sf):
     return dg.shared_facts(table(spark, sf, "part").selectExpr("p_type AS fact_type", "p_brand AS value", "p_size % 5 AS subject"))
@@ -352,9 +316,9 @@ def ext_tumbling_windows(spark, sf):
     return flows.windowed_counts(usage(spark, sf), "1 day").withColumn("total", F.round("total", 4))
 
 
-@query(sql([USAGE, "l AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM usage WHERE user_id < 200)", "g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM l)"], 'SELECT min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", user_id, count(*) AS n FROM g GROUP BY user_id, s'))
+@query(sql([USAGE, "l AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM usage)", "g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM l)"], 'SELECT min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", user_id, count(*) AS n FROM g GROUP BY user_id, s'))
 def ext_session_windows(spark, sf):
-    return flows.sessions(usage(spark, sf).where("user_id < 200"), "6 hours")
+    return flows.sessions(usage(spark, sf), "6 hours")
 
 
 @query(sql([MEMORIES], "SELECT id, sha256('{\"id\":' || id || ',\"lang\":\"' || lang || '\"}') AS hash FROM memories WHERE id % 2 = 0"))

@@ -70,9 +70,9 @@ def _lex(terms, phrase):
     return f"CAST({hits} + ({matched}) * ({matched}) + CASE WHEN contains(lower(content), '{phrase}') THEN 6 ELSE 0 END AS DOUBLE)"
 
 
-@query(sql([MEMORIES], f"SELECT id, path, {_lex(['src1', 'of', 'the'], 'src1 of the')} AS score FROM memories ORDER BY score DESC, path LIMIT 30"))
+@query(sql([MEMORIES], f"SELECT id, path, {_lex(['src1', 'of', 'the'], 'src1 of the')} + CASE WHEN typed_kind IS NOT NULL THEN 3 ELSE 0 END AS score FROM memories ORDER BY score DESC, path LIMIT 30"))
 def o69_keyword_search(spark, sf):
-    return lexical.keyword_search(memories(spark, sf), "src1 of the", 30)
+    return lexical.keyword_search(md.resolve_metadata(memories(spark, sf)), "src1 of the", 30)
 
 
 @query(sql([MEMORIES], f"SELECT id, len(list_filter(string_split_regex(lower(lang || ' ' || regexp_replace(metadata, '[{{}}\\[\\]\",:]', ' ', 'g')), '\\s+'), lambda w: w IN ('fact', 'web'))) * 1.0e0 AS score FROM memories"))
@@ -165,21 +165,23 @@ def o82_knn_store(spark, sf):
     return near.select("id", F.round("distance", 6).alias("distance"))
 
 
-@query(sql([VECTORS], "SELECT id, CAST(label AS INT) AS label, TRUE AS near FROM vectors"))
+@query(sql([VECTORS, "s AS (SELECT id, vector, list_max(list_transform(vector, lambda x: abs(x))) / 127.0e0 AS s FROM vectors)"], "SELECT id, CAST(list_sum(list_transform(vector, lambda x: round(x / s))) AS BIGINT) AS codes, CAST(list_max(list_transform(vector, lambda x: abs(round(x / s)))) AS BIGINT) AS largest, TRUE AS near FROM s WHERE s > 0"))
 def o83_quantize_round_trip(spark, sf):
     v = vectors(spark, sf).withColumn("back", vector.dequantize(vector.quantize(F.col("vector"))))
     worst = F.array_max(F.zip_with("vector", "back", lambda a, b: F.abs(a - b)))
-    return v.select("id", "label", (worst < 1e-4).alias("near"))
+    q = vector.quantize(F.col("vector"))["codes1"]
+    codes = F.aggregate(q, F.lit(0), lambda a, x: a + x)
+    return v.where(F.exists("vector", lambda x: x != 0)).select("id", codes.cast("long").alias("codes"), F.array_max(F.transform(q, F.abs)).cast("long").alias("largest"), (worst < 1e-4).alias("near"))
 
 
 @query(
-    sql([VECTORS, f"s AS (SELECT b.id AS query_id, a.id, {DOT} / (sqrt(list_sum(list_transform(a.vector, lambda x: x * x))) * sqrt(list_sum(list_transform(b.vector, lambda x: x * x)))) AS c FROM vectors a JOIN vectors b ON a.id % 4 = 0 AND b.id % 50 = 1)"],
+    sql([VECTORS, f"s AS (SELECT b.id AS query_id, a.id, {DOT} / (sqrt(list_sum(list_transform(a.vector, lambda x: x * x))) * sqrt(list_sum(list_transform(b.vector, lambda x: x * x)))) AS c FROM vectors a JOIN vectors b ON b.id % 50 = 1 AND a.id <> b.id)"],
         "SELECT query_id, id, round(c, 6) AS cosine FROM s WHERE c >= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) = 1")
 )
 def o84_semantic_cache(spark, sf):
     v = vectors(spark, sf)
     asked = v.where("id % 50 = 1").select(F.col("id").alias("query_id"), F.col("vector").alias("sought"))
-    return rounded(vector.semantic_cache(v.where("id % 4 = 0"), asked, 0.3), "cosine")
+    return rounded(vector.semantic_cache(v, asked, 0.3), "cosine")
 
 
 def _with_vectors(spark, sf):
@@ -203,25 +205,6 @@ def o91_hybrid_search(spark, sf):
     return found.select("id", F.round("score", 9).alias("score"), "total_weight", "sources")
 
 
-@query(
-    sql([MEMORIES, BM25, "lex AS (SELECT id, " + _lex(["of", "the"], "of the") + " AS score FROM memories)",
-         "kg AS (SELECT id, CAST(len(regexp_extract_all(content, '([0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3})')) AS DOUBLE) AS score FROM memories)",
-         *[f"r{i} AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT id, score FROM {t} WHERE score > 0 ORDER BY score DESC, id LIMIT 50))" for i, t in enumerate(("bm25", "lex", "kg"))],
-         "k AS (SELECT CASE WHEN count(*) > 1000 THEN 60 + count(*) // 1000 ELSE 60 END AS k FROM memories)",
-         "u AS (SELECT id, 0.40e0 / (k + rank) AS a, 0.0e0 AS b, 0.0e0 AS c FROM r0, k UNION ALL SELECT id, 0, 0.35e0 / (k + rank), 0 FROM r1, k UNION ALL SELECT id, 0, 0, 0.25e0 / (k + rank) FROM r2, k)",
-         "g AS (SELECT id, sum(a) AS x, sum(b) AS y, sum(c) AS z FROM u GROUP BY id)"],
-        "SELECT id, round(x, 9) AS bm25_score, round(y, 9) AS lex_score, round(z, 9) AS kg_score, round(x + y + z, 9) AS score FROM g ORDER BY x + y + z DESC, id LIMIT 10")
-)
-def o92_hybrid_store(spark, sf):
-    m = memories(spark, sf)
-    lists = {
-        "bm25": lexical.bm25_documents(m, QUERY), "lex": m.select("id", lexical.lexical_score("of the", F.col("content"), F.col("path")).alias("score")).where("score > 0"),
-        "kg": m.select("id", F.size(F.regexp_extract_all("content", F.lit(r"([0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})"))).cast("double").alias("score")).where("score > 0"),
-    }
-    out = fusion.hybrid_search_store(lists, {"bm25": 0.40, "lex": 0.35, "kg": 0.25}, m.count(), 10)
-    return rounded9(out)
-
-
 def rounded9(df):
     return df.withColumns({c: F.round(c, 9) for c, t in df.dtypes if t == "double"})
 
@@ -251,11 +234,12 @@ def o99_contextual_boost(spark, sf):
     return m.select("id", F.round(boost, 6).alias("boost"))
 
 
-@query(sql([MEMORIES], "SELECT id, array_to_string(list_filter(regexp_extract_all(substr(content, 1, 400), '[A-Za-z0-9][A-Za-z0-9._:/#-]+'), lambda t: regexp_matches(t, '[0-9A-Z_-]')), ' ') AS entities FROM memories WHERE id < 50"))
+@query(sql([MEMORIES, "t AS (SELECT id, unnest(ts) AS t, generate_subscripts(ts, 1) AS nth FROM (SELECT id, regexp_extract_all(content, '[A-Za-z0-9][A-Za-z0-9._:/#-]+') AS ts FROM memories))", "f AS (SELECT id, min_by(t, nth) AS t, min(nth) AS nth FROM t GROUP BY id, lower(t))"], "SELECT id, count(*) AS entities, md5(string_agg(t, ' ' ORDER BY nth)) AS digest FROM f WHERE regexp_matches(t, '[0-9A-Z_-]') GROUP BY id"))
 def o66_query_entities(spark, sf):
-    # with every spelling kept, as the twin has it; ``tx.query_entities`` also drops repeated ones
-    found = F.regexp_extract_all(F.substring("content", 1, 400), F.lit(f"({tx.SEARCH_TOKEN})"))
-    return memories(spark, sf).where("id < 50").select("id", F.array_join(F.filter(found, lambda t: t.rlike("[0-9A-Z_-]")), " ").alias("entities"))
+    """Over whole texts; ``tx.query_entities`` does the same to a query."""
+    found = lexical.document_tokens(memories(spark, sf)).where(F.col("token").rlike("[0-9A-Z_-]"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]), " ")
+    return found.groupBy("id").agg(F.count("*").alias("entities"), F.md5(text).alias("digest"))
 
 
 @query(
@@ -268,9 +252,3 @@ def o96_adaptive_gating(spark, sf):
     m = memories(spark, sf)
     layers = [fusion.ranked(lexical.bm25_documents(m, QUERY), "working", 0.3, 8), fusion.ranked(m.select("id", F.col("access_count").cast("double").alias("score")), "semantic", 0.4, 8)]
     return fusion.gated_layers(layers, 0.015).select("id", F.round("score", 9).alias("score"))
-
-
-@query()
-def o98_optimized_search(spark, sf):
-    m = memories(spark, sf)
-    return fusion.optimized_search(lambda q, k: lexical.bm25_documents(m, q), "fix the thing", 10).select("id", F.round("score", 9).alias("score"))

@@ -196,13 +196,13 @@ def o128_themes(spark, sf):
 
 
 @query(
-    sql(["p AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(substr(d.text, 1, 200)), '[^a-z0-9]+'), lambda w: w <> '') AS p, list_filter(string_split_regex(lower(substr(b.text, 1, 200)), '[^a-z0-9]+'), lambda w: w <> '') AS e FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id)",
-         "c AS (SELECT id, p, e, coalesce(list_sum(list_transform(list_distinct(p), lambda w: least(len(list_filter(p, lambda x: x = w)), len(list_filter(e, lambda x: x = w))))), 0) AS common FROM p)"],
+    sql(["p AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(d.text), '[^a-z0-9]+'), lambda w: w <> '') AS p, list_filter(string_split_regex(lower(b.text), '[^a-z0-9]+'), lambda w: w <> '') AS e FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id)",
+         "u AS (SELECT id, unnest(p) AS w, 1 AS a, 0 AS b FROM p UNION ALL SELECT id, unnest(e), 0, 1 FROM p)", "m AS (SELECT id, sum(n) AS common FROM (SELECT id, w, least(sum(a), sum(b)) AS n FROM u GROUP BY id, w) GROUP BY id)", "c AS (SELECT p.id, p, e, coalesce(common, 0) AS common FROM p LEFT JOIN m USING (id))"],
         "SELECT id, array_to_string(p, ' ') = array_to_string(e, ' ') AS exact, round(CASE WHEN common > 0 THEN 2.0e0 * common / (len(p) + len(e)) ELSE 0.0e0 END, 6) AS f1 FROM c")
 )
 def o130_token_f1(spark, sf):
-    d = table(spark, sf, "documents").selectExpr("doc_id AS id", "substring(text, 1, 200) AS predicted", "doc_id % 40 AS item_id")
-    b = table(spark, sf, "benchmark").selectExpr("item_id", "substring(text, 1, 200) AS expected")
+    d = table(spark, sf, "documents").selectExpr("doc_id AS id", "text AS predicted", "doc_id % 40 AS item_id")
+    b = table(spark, sf, "benchmark").selectExpr("item_id", "text AS expected")
     return mt.token_f1(d.join(b, "item_id")).select("id", "exact", r6("f1"))
 
 
@@ -247,15 +247,15 @@ def o137_content_chain(spark, sf):
 
 
 @query(
-    sql([USAGE, "e AS (SELECT provider AS workspace_id, row_number() OVER (PARTITION BY provider ORDER BY ts, event_id) AS sequence, event_type AS payload FROM usage WHERE user_id % 5 = 0)",
+    sql([USAGE, "e AS (SELECT provider AS workspace_id, row_number() OVER (PARTITION BY provider ORDER BY ts, event_id) AS sequence, event_type AS payload, user_id AS memory_id FROM usage)",
          "RECURSIVE_PLACEHOLDER"], "")
     .replace("WITH", "WITH RECURSIVE", 1)
-    .replace("RECURSIVE_PLACEHOLDER", "c AS (SELECT workspace_id, sequence, payload, '' AS prev_hash, sha256('|' || payload) AS curr_hash FROM e WHERE sequence = 1 UNION ALL SELECT e.workspace_id, e.sequence, e.payload, c.curr_hash, sha256(c.curr_hash || '|' || e.payload) FROM c JOIN e ON e.workspace_id = c.workspace_id AND e.sequence = c.sequence + 1)")
+    .replace("RECURSIVE_PLACEHOLDER", "c AS (SELECT workspace_id, sequence, '' AS prev_hash, sha256('|' || sequence || '|' || memory_id || '|' || payload) AS curr_hash FROM e WHERE sequence = 1 UNION ALL SELECT e.workspace_id, e.sequence, c.curr_hash, sha256(c.curr_hash || '|' || e.sequence || '|' || e.memory_id || '|' || e.payload) FROM c JOIN e ON e.workspace_id = c.workspace_id AND e.sequence = c.sequence + 1)")
     + " SELECT workspace_id, sequence, curr_hash, TRUE AS valid FROM c"
 )
 def o136_hash_chain(spark, sf):
     w = Window.partitionBy("provider").orderBy("ts", "event_id")
-    e = usage(spark, sf).where("user_id % 5 = 0").select(F.col("provider").alias("workspace_id"), F.row_number().over(w).cast("long").alias("sequence"), F.col("event_type").alias("payload"))
+    e = usage(spark, sf).select(F.col("provider").alias("workspace_id"), F.row_number().over(w).cast("long").alias("sequence"), F.col("event_type").alias("payload"), F.col("user_id").alias("memory_id"))
     return store.hash_chain_valid(store.build_hash_chain(e)).select("workspace_id", "sequence", "curr_hash", "valid")
 
 

@@ -62,6 +62,31 @@ def scan_files(spark: SparkSession, root: str, glob: str = "*", exclude: list[st
     return df
 
 
+#: Extensions of source files by language.
+CODE_EXTENSIONS = {"rs": "rust", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "py": "python", "go": "go", "java": "java", "c": "c", "h": "c", "cpp": "cpp", "hpp": "cpp"}
+
+
+def scan_code(spark: SparkSession, root: str, ignored: list[str] = ()) -> DataFrame:
+    """O-08: source files with their language and text; ``ignored`` are patterns as in ignore files (``*`` and ``?``, whole path parts)."""
+    files = scan_files(spark, root)
+    extension = F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1))
+    language = F.create_map(*[F.lit(x) for pair in CODE_EXTENSIONS.items() for x in pair])
+    for pattern in ignored:
+        part = "".join({"*": "[^/]*", "?": "[^/]"}.get(c, c if c.isalnum() or c in "_-" else f"[{c}]") for c in pattern.strip("/"))
+        files = files.where(~F.col("path").rlike(f"/{part}(/|$)"))
+    return files.withColumn("language", F.try_element_at(language, extension)).where("language IS NOT NULL").select("path", "language", F.col("content").cast("string").alias("content"))
+
+
+def training_export(memories: DataFrame, categories: dict[str, list[str]], path: str) -> None:
+    """O-15: a line of JSON for each memory: instruction, response and category, the first of ``categories`` with a keyword in path or text."""
+    text = F.lower(F.concat_ws(" ", "path", "content"))
+    rule = F.lit("general")
+    for name, words in reversed(list(categories.items())):
+        rule = F.when(text.rlike("|".join(w.lower() for w in words)), name).otherwise(rule)
+    rows = memories.where(F.length(F.trim("content")) > 0).select(F.concat(F.lit("What do you know about "), "path", F.lit("?")).alias("instruction"), F.col("content").alias("response"), rule.alias("category"))
+    rows.write.mode("overwrite").json(path)
+
+
 def write_chunks(df: DataFrame, folder: str, manifest: DataFrame | None = None) -> DataFrame:
     """O-09, O-269: rows as compressed JSON lines named by the hash of their content; known hashes are not written again.
 
@@ -101,25 +126,47 @@ def import_export(df: DataFrame) -> DataFrame:
     return s.unionByName(o).unionByName(p)
 
 
+#: fields that a chain's hash covers, in this order
+CHAINED = ["sequence", "agent_id", "operation", "memory_id", "payload", "ts"]
+
+
+def chained_text(df: DataFrame) -> Column:
+    """O-136: the fields of an event as one text; absent ones are empty."""
+    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in CHAINED if c in df.columns])
+
+
 def hash_chain_valid(chain: DataFrame) -> DataFrame:
     """O-136: each row's ``prev_hash`` is the hash before it and its own hash is right: checked in parallel by ``lag``."""
     w = Window.partitionBy("workspace_id").orderBy("sequence")
     before = F.coalesce(F.lag("curr_hash").over(w), F.lit(""))
-    return chain.withColumn("valid", (F.col("prev_hash") == before) & (F.col("curr_hash") == F.sha2(F.concat_ws("|", "prev_hash", "payload"), 256)))
+    return chain.withColumn("valid", (F.col("prev_hash") == before) & (F.col("curr_hash") == F.sha2(F.concat_ws("|", "prev_hash", chained_text(chain)), 256)))
 
 
 def build_hash_chain(events: DataFrame) -> DataFrame:
-    """O-136: hashes that each rest on the one before, per workspace; sequential within a workspace by nature."""
-    import hashlib
+    """O-136: hashes that each rest on the one before, per workspace; sequential within a workspace by nature.
 
-    import pandas as pd
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, prev, out = pdf.sort_values("sequence"), "", []
-        for payload in pdf["payload"]:
-            curr = hashlib.sha256(f"{prev}|{payload}".encode()).hexdigest()
-            out.append((prev, curr))
-            prev = curr
-        return pdf.assign(prev_hash=[p for p, _ in out], curr_hash=[c for _, c in out])
+    ``events``: ``workspace_id, sequence`` and any of ``CHAINED``. Rows come sorted and in Arrow batches, so a task holds a
+    batch and the last hash, not a workspace.
+    """
+    import hashlib
 
-    return events.groupBy("workspace_id").applyInPandas(chain, "workspace_id string, sequence long, payload string, prev_hash string, curr_hash string")
+    import pyarrow as pa
+
+    at = events.columns.index("workspace_id")
+    schema = events.schema.add("prev_hash", "string").add("curr_hash", "string")
+
+    def chain(batches):
+        last, prev = None, ""
+        for batch in batches:
+            before, after = [], []
+            for workspace, text in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                prev = prev if workspace == last else ""
+                last = workspace
+                before.append(prev)
+                prev = hashlib.sha256(f"{prev}|{text}".encode()).hexdigest()
+                after.append(prev)
+            columns = [*batch.columns[:-1], pa.array(before, pa.string()), pa.array(after, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "prev_hash", "curr_hash"])
+
+    dealt = events.withColumn("_text", chained_text(events)).repartition("workspace_id").sortWithinPartitions("workspace_id", "sequence")
+    return dealt.mapInArrow(chain, schema)

@@ -71,7 +71,7 @@ def append_timeline(events: DataFrame) -> DataFrame:
             rows = []
             for payload in frame.sort_values(["ts", "payload"])["payload"]:
                 sequence += 1
-                curr = hashlib.sha256(f"{prev}|{payload}".encode()).hexdigest()
+                curr = hashlib.sha256(f"{prev}|{sequence}|{payload}".encode()).hexdigest()
                 rows.append((key[0], sequence, payload, prev, curr))
                 prev = curr
             yield pd.DataFrame(rows, columns=["workspace_id", "sequence", "payload", "prev_hash", "curr_hash"])
@@ -120,3 +120,16 @@ def run_available(stream: DataFrame, name: str, mode: str = "append", checkpoint
     if checkpoint:
         writer = writer.option("checkpointLocation", checkpoint)
     writer.start().awaitTermination()
+
+
+def event_sink(changes: DataFrame, path: str, checkpoint: str, once: bool = True):
+    """O-16: every batch of changes goes to its own folder ``batch=<n>``, so that a batch which is repeated after a failure is written once.
+
+    Returns the running query; with ``once`` it ends when what is there has been read.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
