@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, TimestampType
 
 #: Days by which a phrase lies off the session's day.
 OFFSETS = {"today": 0, "yesterday": -1, "tomorrow": 1, "last week": -7, "next week": 7}
@@ -81,7 +82,7 @@ def with_next_run(jobs: DataFrame) -> DataFrame:
     """O-225: ``next_run`` of rows with ``schedule`` and ``last_run``; null for schedules that cannot be read. One small step for each row, in Arrow batches."""
     import pandas as pd
 
-    schema = jobs.schema.add("next_run", "timestamp")
+    schema = StructType([*jobs.schema.fields, StructField("next_run", TimestampType())])
 
     def run(frames):
         for frame in frames:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .lexical import bm25_documents
 from .vector import cosine
+from .windows import running_total
 
 K = 60
 
@@ -109,10 +110,9 @@ def contextual_boost(query: str, text: Column, title: Column, importance: Column
 
 def token_budget(df: DataFrame, group: str, order: list, tokens: str, budget: int, keep_first: bool = False) -> DataFrame:
     """O-103, O-139: rows in order while their tokens fit; the first overflow stops each group."""
-    w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = df.withColumns({"running": F.sum(tokens).over(w), "_nth": F.row_number().over(Window.partitionBy(group).orderBy(*order))})
+    out = running_total(df, group, order, tokens, "running")
     fits = F.col("running") <= budget
-    return out.where(fits | (F.col("_nth") == 1) if keep_first else fits).drop("_nth")
+    return out.where(fits | (F.col("running") == F.col(tokens)) if keep_first else fits)
 
 
 def classify_context(tokens: Column, text: Column, large: list[str], medium: list[str]) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from recallery.functions import text as tx
 
+from .windows import numbered
+
 #: Fixed values (O-146): decay base, largest age in days, least relevance, boosts of quality and importance.
 PRIORITIES = {
     "critical": (1.0, 3650, 0.0, 1.0, 1.0), "high": (0.98, 365, 0.1, 0.8, 0.85), "medium": (0.95, 90, 0.2, 0.6, 0.60),
@@ -183,8 +185,8 @@ def coherence(conflict_severity: Column, issues: Column, drift_severity: Column)
 
 def working_set_eviction(df: DataFrame, capacity: int = 100) -> DataFrame:
     """O-159: beyond the capacity rows read less than twice go first, oldest first, then the least recently read."""
-    w = Window.partitionBy("session").orderBy((F.col("access_count") >= 2).cast("int").desc(), F.desc("last_accessed"), F.desc("created_at"), "id")
-    return df.withColumn("place", F.row_number().over(w)).where(F.col("place") > capacity)
+    order = [(F.col("access_count") >= 2).cast("int").desc(), F.desc("last_accessed"), F.desc("created_at"), F.col("id")]
+    return numbered(df, "session", order, "place").where(F.col("place") > capacity)
 
 
 def newest_per_group(df: DataFrame, group: str, time: str, most: int) -> DataFrame:

@@ -42,7 +42,6 @@ HIJACKS = [r"(?i)use\s+(exec|run|shell)\s+as", r"(?i)alias\s+\w+\s*=\s*(exec|run
 CONFIG = [r"(?i)(set|change|modify)\s+(env|variable|config)", r"(?i)(export|define)\s+\w+=", r"(?i)(disable|turn off)\s+\w+\s*(auth|security)", r"(?i)(override|replace)\s+(config|settings)", r"(?i)(inject|insert)\s+(config|env)"]
 SECRET_KEYS = ["KEY", "SECRET", "TOKEN", "PASSWORD"]
 SECRET_PATTERNS = [r"AKIA[0-9A-Z]{16}", r"ghp_[A-Za-z0-9]{36}", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}", r"(?i)(?:api[_-]?key|token|secret|password)[ \t]*[:=][ \t]*[\"']?[A-Za-z0-9_\-]{16,}"]
-INJECTION = [r"(?i)ignore (all |any )?(previous|prior|above)", r"(?i)(reveal|show|print) (me )?(your|the) (system )?(prompt|instructions)", r"(?i)you are (now|no longer)", r"(?i)pretend (to be|you are)"]
 FORBIDDEN_HOSTS = ["169.254.169.254", "metadata.google.internal", "localhost", "127.0.0.1", "0.0.0.0"]
 TOOL_NAMES = [
     "exec", "run", "shell", "bash", "cmd", "powershell", "read", "write", "edit", "delete", "mkdir", "rmdir", "http", "fetch", "curl", "wget", "request", "sql", "query", "database", "db", "file",
@@ -182,15 +181,6 @@ def scan_text(df: DataFrame, canary_tokens: list[str] | None = None) -> DataFram
     return out.withColumn("level", level).withColumn("clean", F.size("threats") == 0)
 
 
-def injection_confidence(text: Column) -> Column:
-    """O-253: for each pattern .5, .2 more from two matches and .1 more from three; zero-width characters .6; the greatest."""
-    each = []
-    for p in INJECTION:
-        n = F.size(F.regexp_extract_all(text, F.lit(f"({p})"), F.lit(1)))
-        each.append(F.when(n > 0, 0.5 + F.when(n > 1, 0.2).otherwise(0.0) + F.when(n > 2, 0.1).otherwise(0.0)).otherwise(0.0))
-    return F.greatest(*each, F.when(text.rlike(r"[​-‍⁠﻿]"), 0.6).otherwise(0.0), F.when(F.size(F.regexp_extract_all(text, F.lit(r"([！-～])"))) >= 5, 0.55).otherwise(0.0))
-
-
 def url_allowed(url: Column, allowed: list[str] | None = None) -> Column:
     """O-254: http or https, no metadata, local or link-local host, in the allow-list if there is one."""
     host = F.lower(F.try_parse_url(url, F.lit("HOST")))

@@ -197,17 +197,6 @@ def _any(column, words):
     return " OR ".join(f"contains(lower({column}), '{w}')" for w in words)
 
 
-@query(sql([PAGES], "SELECT id, regexp_matches(url, '^https?://') AS allowed FROM pages_m"))
-def o254_url_allowed(spark, sf):
-    return _pages(spark, sf).select("id", sc.url_allowed(F.col("url")).alias("allowed"))
-
-
-@query(sql([MEMORIES, "n AS (SELECT id, len(regexp_extract_all(replace(content, 'the and', 'ignore previous'), '(?i)ignore (all |any )?(previous|prior|above)')) AS n FROM memories)"], "SELECT id, CASE WHEN n = 0 THEN 0.0e0 WHEN n = 1 THEN 0.5e0 WHEN n = 2 THEN 0.7e0 ELSE 0.8e0 END AS confidence FROM n"))
-def o253_injection(spark, sf):
-    c = F.replace("content", F.lit("the and"), F.lit("ignore previous"))
-    return memories(spark, sf).select("id", F.round(sc.injection_confidence(c), 6).alias("confidence"))
-
-
 # dialogue
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from recallery.functions import text as tx
 from recallery.operators import lifecycle as lc
 from recallery.operators import metrics as mt
+from recallery.operators.windows import numbered
 from recallery.sources import store
 
 from .model import AS_OF, MEMORIES, TURNS, USAGE, WORDS, as_of, memories, sql, table, turns, usage
@@ -235,8 +236,7 @@ def o30_timeline_since(spark, sf):
 
 @query(sql([USAGE], "SELECT event_id, provider, row_number() OVER (PARTITION BY provider ORDER BY ts, event_id) AS sequence FROM usage"))
 def o135_backfill_sequence(spark, sf):
-    w = Window.partitionBy("provider").orderBy("ts", "event_id")
-    return usage(spark, sf).select("event_id", "provider", F.row_number().over(w).cast("long").alias("sequence"))
+    return numbered(usage(spark, sf).select("event_id", "provider", "ts"), "provider", ["ts", "event_id"], "sequence").drop("ts")
 
 
 @query(sql([USAGE], "SELECT event_id, coalesce(lag(sha256(event_type || k)) OVER (PARTITION BY provider ORDER BY ts, event_id), '') AS prev, sha256(event_type || k) AS curr FROM usage"))

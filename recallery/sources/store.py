@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def scan_memories(spark: SparkSession, path: str, workspace: str | None = None) -> DataFrame:
@@ -153,7 +154,7 @@ def build_hash_chain(events: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     at = events.columns.index("workspace_id")
-    schema = events.schema.add("prev_hash", "string").add("curr_hash", "string")
+    schema = StructType([*events.schema.fields, StructField("prev_hash", StringType()), StructField("curr_hash", StringType())])
 
     def chain(batches):
         last, prev = None, ""

@@ -221,3 +221,18 @@ def test_code_files_and_training_export(spark, tmp_path):
     store.training_export(memories, {"sales": ["price"], "ops": ["deploy"]}, str(tmp_path / "out"))
     rows = {(r.instruction, r.category) for r in spark.read.json(str(tmp_path / "out")).collect()}
     assert rows == {("What do you know about m/1?", "sales"), ("What do you know about m/4?", "general")}
+
+
+def test_running_totals_over_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from recallery.operators.windows import numbered, running_total
+
+    rows = [(g, i, (i * 7) % 5) for g in ("a", "b", None) for i in range(200 if g == "a" else 3)]
+    df = spark.createDataFrame(rows, "g string, i long, v long").repartition(5)
+    want = {}
+    for g, i, v in sorted(rows, key=lambda r: (str(r[0]), r[1])):
+        want[g, i] = want.get((g, i - 1), 0) + v
+    assert {(r.g, r.i): r.total for r in running_total(df, "g", ["i"], "v", "total").collect()} == want
+    assert {(r.g, r.i): r.n for r in numbered(df, "g", [F.desc("i")], "n").where("g = 'a'").collect()} == {("a", i): 200 - i for i in range(200)}
+    assert running_total(df.limit(0), "g", ["i"], "v", "total").collect() == []
