@@ -18,7 +18,7 @@ from .common import held_out, labelled_sample, mix64, runs, slices, span_hashes
 BITS, WIDTH = 18, 8
 SEGMENT = 3
 #: bounds of the sample that the model is fitted on
-ROWS_PER_CLASS, LONGEST = 2000, 8000
+ROWS_PER_CLASS, LONGEST = 1500, 5000
 #: passes over the sample, more of them where it is small: at least ``STEPS`` batches
 EPOCHS, STEPS, BATCH, RATE = 10, 300, 32, 0.8
 #: first sum of squared gradients: steps of subwords seen once stay small
@@ -97,13 +97,13 @@ class SubwordSoftmax:
             flat, back = np.unique(np.concatenate([r[0] for r in part]), return_inverse=True)
             many = np.array([int(r[1].max()) + 1 for r in part])
             segment = np.concatenate([r[1].astype(np.int32) + k for r, k in zip(part, np.cumsum(many) - many, strict=True)]).astype(np.int32)
-            share = (1 / np.bincount(segment)[segment]).astype(np.float32)
-            batches.append((flat, back.astype(np.int32), segment, share, np.repeat(np.arange(len(part)), many), np.array([r[2] for r in part])))
+            batches.append((flat, back.astype(np.int32), segment, np.repeat(np.arange(len(part)), many), np.array([r[2] for r in part])))
         epochs = max(EPOCHS, -(-STEPS // len(batches)))
         for epoch in range(epochs):
             rate = RATE * (1 - epoch / epochs)
             for k in rng.permutation(len(batches)):
-                flat, back, segment, share, owner, label = batches[k]
+                flat, back, segment, owner, label = batches[k]
+                share = (1 / np.bincount(segment)[segment]).astype(np.float32)
                 rows_, n = table[flat], len(owner)
                 direction = weights[1] - weights[0]
                 mean = np.stack([np.bincount(segment, share * rows_[back, d], n) for d in range(WIDTH)], 1)
