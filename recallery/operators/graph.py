@@ -14,14 +14,16 @@ ENTITY_PATTERNS = [
     ("mention", "mentions", r"(@[\w.-]{2,})"), ("topic", "tags", r"(#[\w-]{2,})"), ("url", "references", r"(https?://[^\s)>\"]+)"),
     ("date", "dated_on", r"\b(\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{1,2},\s+\d{4})\b"),
 ]
-#: The sides of a relation, and what stands between them. Without regard to case, so any words are a side, as specified.
-SIDE = r"([A-Z][\w-]*(?:\s+[A-Z][\w-]*)*)"
+#: A side of a relation, what stands between two sides, and how sure each relation is. Without regard to case, so that any
+#: words are a side, as specified.
+SIDE = r"[A-Z][\w-]*(?:\s+[A-Z][\w-]*)*"
 RELATION_PATTERNS = [
-    ("works_at", 0.95, rf"(?i)\b{SIDE}\s+works?\s+at\s+{SIDE}"), ("knows", 0.9, rf"(?i)\b{SIDE}\s+knows?\s+{SIDE}"), ("uses", 0.85, rf"(?i)\b{SIDE}\s+uses?\s+{SIDE}"), ("is_a", 0.8, rf"(?i)\b{SIDE}\s+is\s+a[n]?\s+{SIDE}"),
-    ("part_of", 0.9, rf"(?i)\b{SIDE}\s+part\s+of\s+{SIDE}"), ("located_in", 0.9, rf"(?i)\b{SIDE}\s+located\s+in\s+{SIDE}"), ("related_to", 0.7, rf"(?i)\b{SIDE}\s+related\s+to\s+{SIDE}"),
-]
+    ("works_at", 0.95, r"works?\s+at"), ("knows", 0.9, r"knows?"), ("uses", 0.85, r"uses?"), ("is_a", 0.8, r"is\s+a[n]?"), ("part_of", 0.9, r"part\s+of"), ("located_in", 0.9, r"located\s+in"), ("related_to", 0.7, r"related\s+to"),
+]
+#: a whole run of words; possessive, as Java's repeated groups take a stack frame for each word otherwise
+_RUN = r"(?i)\b[A-Z][\w-]*+(?:\s++[A-Z][\w-]*+)*+"
 #: Named entities: candidates, words that are none, and marks of organisations, places and products.
-CANDIDATE = r"\b(?:[A-Z]{2,}(?:[A-Z0-9_-]*[A-Z0-9])?|[A-Z][a-z0-9]+(?:[A-Z][A-Za-z0-9_-]*)+(?:\s+[A-Z][A-Za-z0-9_-]*)*|[A-Z][a-z0-9]+(?:\s+[A-Z][a-z0-9]+)*|[A-Za-z]+[0-9]+[A-Za-z0-9_-]*)\b"
+CANDIDATE = r"\b(?:[A-Z]{2,}(?:[A-Z0-9_-]*[A-Z0-9])?|[A-Z][a-z0-9]+[A-Z][A-Za-z0-9_-]*(?:\s+[A-Z][A-Za-z0-9_-]*\b)*+|[A-Z][a-z0-9]+(?:\s+[A-Z][a-z0-9]++\b)*+|[A-Za-z]+[0-9]+[A-Za-z0-9_-]*)\b"
 EMAIL, URL = r"[\w.+-]+@[\w-]+\.[\w.-]+", r"https?://[^\s]+"
 COMMON = ["the", "this", "that", "these", "those", "and", "or", "but", "for", "with", "from", "into", "onto", "your", "our", "their", "his", "her", "its", "in", "on", "at", "by", "to", "of"]
 ORGANISATIONS = [" inc", " corp", " llc", " ltd", " company", " co", " labs", " lab", " systems", " studio", " platform", " foundation", " university", " institute", " agency", " team"]
@@ -42,14 +44,19 @@ def extract_entities(df: DataFrame) -> DataFrame:
 
 
 def extract_relations(df: DataFrame) -> DataFrame:
-    """O-167: ``id, source, target, relation_type, confidence``; the patterns ignore case, so names may be any words."""
+    """O-167: ``id, source, target, relation_type, confidence``.
+
+    A side takes as many words as it can, so in a run of words the last connecting words part all that is before from all
+    that is behind: each run gives one relation of a type at most.
+    """
+    runs = df.select("id", F.explode(F.regexp_extract_all("content", F.lit(f"({_RUN})"))).alias("run"))
 
-    def found(relation: str, confidence: float, pattern: str) -> Column:
-        side = [F.regexp_extract_all("content", F.lit(pattern), F.lit(k)) for k in (1, 2)]
-        return F.zip_with(*side, lambda a, b: F.struct(a.alias("source"), b.alias("target"), F.lit(relation).alias("relation_type"), F.lit(confidence).alias("confidence")))
+    def found(relation: str, confidence: float, between: str) -> Column:
+        pattern = rf"(?is)^(.+)\s+{between}\s+(.+)$"
+        sides = [F.regexp_replace(F.regexp_extract("run", pattern, k), r"\s+$", "") for k in (1, 2)]
+        return F.when(F.col("run").rlike(pattern), F.struct(sides[0].alias("source"), sides[1].alias("target"), F.lit(relation).alias("relation_type"), F.lit(confidence).alias("confidence")))
 
-    parts = [found(*p) for p in RELATION_PATTERNS]
-    return df.select("id", F.explode(F.concat(*parts)).alias("r")).select("id", "r.*")
+    return runs.select("id", F.explode(F.array_compact(F.array(*[found(r, c, b) for r, c, b in RELATION_PATTERNS]))).alias("r")).select("id", "r.*")
 
 
 def named_entities(df: DataFrame) -> DataFrame:

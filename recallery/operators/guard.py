@@ -35,7 +35,7 @@ INDIRECT = [
     r"(?i)(check\s+(out\s+)?(this|the)\s+(link|url|page|site))", r"(?i)(go\s+(to|and\s+visit)\s+(this|the)\s+(link|url|page|site|website))", r"(?i)(data\s*:\s*text/\w+;\s*(base64|charset))",
     r"(?i)(data\s*:\s*(image|text|application|video|audio)/)", r"(?i)(file\s*:\/{2,3})", r"(?i)(!\[.*?\]\s*\(\s*https?://)",
     r"(?i)(\[.*?\]\s*\(\s*https?://[^)]+\?.*(?:prompt|instruction|cmd|exec)=)", r"(?i)(fetch|retrieve|get|load)\s+(content|data|info|text)\s+(from|at)\s+https?://",
-    r"(\\x[0-9a-fA-F]{2}){3,}", r"[\uff01\uff03-\uff5e]", r"(&#[xX]?[0-9a-fA-F]{2,6};){3,}", r"(%[0-9a-fA-F]{2}){3,}",
+    r"(\\x[0-9a-fA-F]{2}){3,}", r"[\uff01\uff03-\uff5e]", r"(&#[xX]?[0-9a-fA-F]{2,6};){3,}+", r"(%[0-9a-fA-F]{2}){3,}",
 ]
 LEAKING = [
     r"(?i)(what\s+(are|is)\s+your\s+(system\s+)?(instructions?|prompt|guidelines))", r"(?i)(repeat\s+(after\s+me|your\s+instructions))", r"(?i)(show\s+(me\s+)?your\s+(system\s+)?prompt)",

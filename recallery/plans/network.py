@@ -41,7 +41,7 @@ def o126_entity_rollup(spark, sf):
     return gr.entity_rollup(found).select("name", "entity_type", "occurrences", "memories", F.round("trust", 6).alias("trust"))
 
 
-RELATIONS = "rel AS (" + " UNION ALL ".join(f"SELECT id, regexp_extract_all(content, '{p}', 1) AS s, regexp_extract_all(content, '{p}', 2) AS t, '{r}' AS relation_type, {c}e0 AS confidence FROM src" for r, c, p in gr.RELATION_PATTERNS) + ")"
+RELATIONS = "rel AS (" + " UNION ALL ".join(f"SELECT id, regexp_extract_all(content, '(?i)\\b({gr.SIDE})\\s+{p}\\s+({gr.SIDE})', 1) AS s, regexp_extract_all(content, '(?i)\\b({gr.SIDE})\\s+{p}\\s+({gr.SIDE})', 2) AS t, '{r}' AS relation_type, {c}e0 AS confidence FROM src" for r, c, p in gr.RELATION_PATTERNS) + ")"
 
 
 @query(sql(["src AS (SELECT doc_id AS id, replace(text, ' the ', ' uses ') AS content FROM documents)", RELATIONS], "SELECT relation_type, count(*) AS n, min(source) AS first_source, max(target) AS last_target FROM (SELECT relation_type, unnest(s) AS source, unnest(t) AS target FROM rel) GROUP BY ALL"))

@@ -151,7 +151,7 @@ GUARDED = [
 ]
 _GUARD = "CASE doc_id % 12 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(GUARDED)) + " END"
 GUARD = f"guarded AS (SELECT doc_id AS id, text || {_GUARD} AS content FROM documents)"
-_re2 = lambda p: _q(re.sub(r"\\u([0-9a-f]{4})", r"\\x{\1}", p))
+_re2 = lambda p: _q(re.sub(r"\\u([0-9a-f]{4})", r"\\x{\1}", p).replace("}+", "}"))
 _conf = lambda p: f"CASE WHEN regexp_matches(content, {_re2(p)}) THEN 0.5e0 + CASE WHEN len(regexp_extract_all(content, {_re2(p)})) > 1 THEN 0.2e0 ELSE 0 END + CASE WHEN len(regexp_extract_all(content, {_re2(p)})) > 2 THEN 0.1e0 ELSE 0 END ELSE 0.0e0 END"
 CONFIDENCE = "greatest(" + ", ".join(map(_conf, (*guard.DIRECT, *guard.INDIRECT, *guard.LEAKING))) + ", CASE WHEN regexp_matches(content, '[\\x{200b}\\x{200c}\\x{200d}\\x{2060}\\x{feff}\\x{180e}]') THEN 0.6e0 ELSE 0 END, CASE WHEN len(regexp_extract_all(content, '[\\x{ff01}\\x{ff03}-\\x{ff5e}]')) >= 5 THEN 0.55e0 ELSE 0 END)"
 SANITIZED = "content"
