@@ -126,6 +126,32 @@ def test_components_of_chains_and_loops(spark):
     assert components.connected_components(links.limit(0)).collect() == []
 
 
+def test_components_and_key_values_of_hubs(spark, monkeypatch):
+    monkeypatch.setattr(components, "FEW", 20)
+    monkeypatch.setattr(components, "HUBS", 10)
+    rng = random.Random(3)
+    stars = [(0, i) for i in range(1, 200)] + [(500, i) for i in range(190, 300)] + [(900, 901)]
+    chain, loose = [(i, i + 1) for i in range(150)], [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)]
+    for links in (stars, chain, loose):
+        parent = {}
+
+        def find(x, parent=parent):
+            parent.setdefault(x, x)
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in links:
+            if a != b:
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+        found = components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()
+        assert len(found) == len(parent) and {r.node: r.label for r in found} == {x: find(x) for x in parent}
+    rows = spark.createDataFrame([(k, v) for k, n in ((1, 300), (2, 5), (3, 1)) for v in range(n)], "k long, v long")
+    out = components.join_key_values(rows, "k", 306, least=("min", "v"), total=("sum", "v"), n=("count", "v")).distinct().collect()
+    assert len(out) == 306 and {(r.k, r.least, r.total, r.n) for r in out} == {(1, 0, 44850, 300), (2, 0, 10, 5), (3, 0, 0, 1)}
+
+
 def test_shingles_of_long_and_joined_texts():
     one = shingle_sets(["a b c d e"], 4)[0]
     again = shingle_sets(["zzz", "a b c d e", ""], 4)
