@@ -13,7 +13,7 @@ HUBS = 1000
 FEW = 1000
 
 
-def join_key_values(rows: DataFrame, key: str, total: int, **values: tuple[str, str]) -> DataFrame:
+def join_key_values(rows: DataFrame, key: str, total: int, /, **values: tuple[str, str]) -> DataFrame:
     """``rows`` with aggregates over their ``key``, however many rows share one: no task holds the rows of a hub.
 
     ``values`` maps new columns to ``(function, column)``, of ``min``, ``sum`` and ``count``; ``total`` is the number of
