@@ -22,7 +22,7 @@ _WORDS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LOWER}]+|[0-9]|[!-/:-@\[-`{{-~]+
 _MARK = "\x01"
 
 
-def _byte_letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """The byte that each printable letter of a byte-level vocabulary stands for."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
     out = {chr(b): b for b in own}
@@ -47,7 +47,7 @@ class TextEncoder:
         self.library, self.word_ends = Tokenizer.from_file(path), word_ends
         with open(path, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
-        letters, ranks = _byte_letters(), {}
+        letters, ranks = byte_letters(), {}
         for token, rank in vocab.items():
             end = word_ends and token.endswith("</w>")
             body = token[:-4] if end else token

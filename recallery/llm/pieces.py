@@ -20,7 +20,7 @@ _UNEVEN = re.compile(f"  |^ | $|{SPACE}")
 _FOREIGN = 1_000_000
 
 
-class _Strings:
+class Strings:
     """A byte string for each id, joined for whole id arrays at once."""
 
     def __init__(self, items: list[bytes]):
@@ -82,7 +82,7 @@ class PieceCodec:
                 texts.append(" ⁇ ".encode())
             else:
                 texts.append(b"" if model.is_control(i) else p.replace(SPACE, " ").encode())
-        self.texts, self.digits = _Strings(texts), _Strings([b"%d " % i for i in range(n)])
+        self.texts, self.digits = Strings(texts), Strings([b"%d " % i for i in range(n)])
         self.known: dict[str, bytes] = {}
 
     def _merge(self, words: list[str]) -> dict[str, bytes]:
