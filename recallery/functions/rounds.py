@@ -3,19 +3,27 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder (``spark.checkpoint.dir``); only a local session without one gets a temporary folder."""
-    spark = df.sparkSession
+def _folder(spark: SparkSession) -> str:
+    """Folder that driver and executors share (``spark.checkpoint.dir``); only a local session without one gets a temporary folder."""
     sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = folder or tempfile.mkdtemp(prefix="spark-checkpoint-")
     if not sc.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not folder and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder and read from there."""
+    _folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -23,3 +31,21 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """A scan whose files give fewer splits than there are cores is dealt out by ``key``; any other is left as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """``df`` written as Parquet files (to ``path``, or else into the checkpoint folder) and read back: filters on it skip files and row groups."""
+    path = path or f"{_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt_join(large: DataFrame, small: DataFrame, key: str | list[str], deal: str, parts: int = 16) -> DataFrame:
+    """Inner join in which each key of ``large`` is spread over ``parts`` tasks by ``deal``, as a key may hold a third of all rows.
+
+    ``small`` should have few rows of each key: they are repeated for each part.
+    """
+    keys = [key] if isinstance(key, str) else key
+    dealt = large.withColumn("_part", F.pmod(F.xxhash64(deal), F.lit(parts)).cast("int"))
+    each = small.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return dealt.join(each, [*keys, "_part"]).drop("_part")

@@ -78,18 +78,6 @@ def bm25_working(df: DataFrame, query: str) -> DataFrame:
     return df.join(F.broadcast(average)).select("id", "access_count", _total(part).alias("score")).where("score > 0")
 
 
-def fts_search(df: DataFrame, query: str) -> DataFrame:
-    """O-63: documents with a token that begins with a query token, by the number of such tokens."""
-    prefixes = list(dict.fromkeys(w.lower() for w in query.split()))
-    tokens = F.filter(F.split(F.lower("content"), r"[^a-z0-9]+"), lambda w: w != "")
-
-    def begins(prefix: str) -> Column:
-        return F.size(F.filter(tokens, lambda w: w.startswith(prefix))).cast("double")
-
-    hits = _total([begins(p) for p in prefixes])
-    return df.select("id", hits.alias("score")).where("score > 0")
-
-
 #: Fixed values of the heuristic score: weights of path hits and of the phrase, signals of query and content with their bonus,
 #: bonuses by kind and evidence, and factors by category.
 PATH_HIT, PHRASE, EXACT = 2.0, 6.0, 18.0

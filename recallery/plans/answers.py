@@ -339,13 +339,6 @@ TOP = lambda n, score="score": f"row_number() OVER (ORDER BY {score} DESC, id) <
 BM25 = ", ".join(BM25_DOCS)
 
 
-@query(sql([MEMORIES, BM25], "SELECT id, lang, round(score, 6) AS score FROM memories JOIN bm25 USING (id) WHERE score > 0 QUALIFY row_number() OVER (ORDER BY bm25.score DESC, id) <= 20"))
-def o41_fts_hits_with_records(spark, sf):
-    m = memories(spark, sf)
-    hits = lexical.bm25_documents(m, QUERY).orderBy(F.desc("score"), "id").limit(20)
-    return ex.hits_with_records(m.select("id", "lang"), hits).select("id", "lang", F.round("score", 6).alias("score"))
-
-
 @query(sql([EDGES], "SELECT provenance AS id, CAST(-min(seq) AS DOUBLE) AS score FROM edges WHERE contains(lower(concat_ws(' ', source, relation_type, target)), 'c17') OR contains(lower(concat_ws(' ', source, relation_type, target)), 'c4') GROUP BY provenance"))
 def o93_kg_signal(spark, sf):
     return ex.kg_signal(_edges(spark, sf), "what do C17 and C4 like")

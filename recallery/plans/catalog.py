@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import answers, extra, more, network, retrieval, threats, upkeep  # noqa: F401
+from . import answers, code, extra, more, network, retrieval, search, threats, upkeep  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

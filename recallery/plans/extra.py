@@ -95,12 +95,6 @@ def o169_normalize_name(spark, sf):
     return table(spark, sf, "part").groupBy(gr.normalize_name(F.concat_ws(" & ", "p_name", "p_brand")).alias("name")).agg(F.count("*").alias("n"))
 
 
-@query(sql([EDGES], "SELECT DISTINCT 'm' || (length(target) % 4) AS provenance FROM edges WHERE source = 'n3' AND 'm' || (length(target) % 4) <> 'm0'"))
-def o182_paths_to_memories(spark, sf):
-    e = edges(spark, sf).where("source = 'n3'").selectExpr("concat('m', length(target) % 4) AS provenance")
-    return e.where("provenance <> 'm0'").distinct()
-
-
 @query(sql([MEMORIES, "a AS (SELECT id, regexp_replace(content, '\\S*[^\\x00-\\x7F]\\S*', '', 'g') AS content FROM memories WHERE lang = 'en')"], f"SELECT id, array_to_string(list_slice(list_sort(list_distinct(list_filter(list_transform({WORDS}, lambda w: regexp_replace(w, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')), lambda w: strlen(w) > 3))), 1, 50), ' ') AS keywords FROM a"))
 def o204_keywords(spark, sf):
     # both engines sort ASCII alike

@@ -189,12 +189,6 @@ def o154_greedy_clusters(spark, sf):
     return cu.greedy_clusters(v, 0.88)
 
 
-@query()
-def o188_call_chain(spark, sf):
-    seeds = spark.createDataFrame([("c10",)], "node string")
-    return gr.reachable(edges(spark, sf).where("NOT startswith(target, 'file:')"), seeds, 8)
-
-
 @query()
 def o190_parse_symbols(spark, sf):
     files = spark.createDataFrame([("a.py", "class A:\n    def f(self, x):\n        if x and x > 1:\n            return 1\n\n\ndef g():\n    pass\n")], "path string, content string")

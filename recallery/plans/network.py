@@ -155,11 +155,6 @@ def o114_hotspots(spark, sf):
     return gr.hotspots(part_edges(spark, sf), parts(spark, sf), 10.0, 50).select("node", "complexity", "risk")
 
 
-@query(sql([PARTS], "SELECT count(*) AS symbols, count(DISTINCT kind) AS kinds, count(DISTINCT name) AS names FROM parts"))
-def o112_code_index_stats(spark, sf):
-    return parts(spark, sf).agg(F.count("*").alias("symbols"), F.countDistinct("kind").alias("kinds"), F.countDistinct("name").alias("names"))
-
-
 @query(sql([PARTS], "SELECT node, sha256(CAST('repo|src|' || name || '|' || kind || '|' AS BLOB) || unhex(substr(lpad(hex(id), 8, '0'), 7, 2) || substr(lpad(hex(id), 8, '0'), 5, 2) || substr(lpad(hex(id), 8, '0'), 3, 2) || substr(lpad(hex(id), 8, '0'), 1, 2))) AS symbol_id FROM parts"))
 def o191_symbol_id(spark, sf):
     return parts(spark, sf).select("node", gr.symbol_id(F.lit("repo"), F.lit("src"), F.col("name"), F.col("kind"), F.col("id")).alias("symbol_id"))

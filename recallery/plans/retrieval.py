@@ -52,11 +52,6 @@ def o62_bm25_working(spark, sf):
     return rounded(scored.orderBy(F.desc(F.round("score", 9)), F.desc("access_count"), "id").limit(20), "score")
 
 
-@query(sql([MEMORIES, "s AS (SELECT id, CAST(" + " + ".join(f"len(list_filter(string_split_regex(lower(content), '[^a-z0-9]+'), lambda w: starts_with(w, '{p}')))" for p in ("tok", "thing")) + " AS DOUBLE) AS score FROM memories)"], "SELECT * FROM s WHERE score > 0 ORDER BY score DESC, id LIMIT 25"))
-def o63_fts_prefix(spark, sf):
-    return lexical.fts_search(memories(spark, sf), "tok thing").orderBy(F.desc("score"), "id").limit(25)
-
-
 @query(sql([MEMORIES], f"SELECT id, len({WORDS}) AS words, length(array_to_string(list_sort(list_distinct(list_filter({WORDS}, lambda w: regexp_matches(w, '^[a-z]+$')))), ' ')) AS vocabulary FROM memories"))
 def o200_words(spark, sf):
     plain = F.array_sort(F.array_distinct(F.filter(tx.words(F.col("content")), lambda w: w.rlike("^[a-z]+$"))))
