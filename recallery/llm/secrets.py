@@ -16,8 +16,10 @@ TREES, DEPTH, LEAST = 40, 9, 3
 FINDINGS = 6000
 
 _RUN = re.compile(r"(?<![A-Za-z0-9_+/=\-])[A-Za-z0-9_+/=\-]{16,}")
-_ASSIGNS = re.compile(r"[=:]>?\s{0,3}[\"'`]?")
-_VALUE = re.compile(r"[^\s\"'`,;<>()]{8,}")
+_ASSIGNS = re.compile(r"[=:]>?\s{0,3}")
+#: what is assigned: up to the closing quote of its line, escapes inside it, or else up to white space
+_QUOTED = re.compile(r"([\"'`])((?:\\.|(?!\1)[^\\\n])*)\1")
+_BARE = re.compile(r"[\"'`]?(\S{8,})")
 _NAMED = re.compile(r"(?i)(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth\w*|credential)s?\w{0,12}[\"'\]]?\s{0,3}$")
 #: to the END line, whatever stands between (headers, escaped line ends); where there is none, headers and lines of a key's
 #: alphabet: long ones, then maybe a short last one that fills its line
@@ -56,18 +58,33 @@ def _around(a: int, b: int, inside: list[tuple[int, int]]) -> list[tuple[int, in
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
-    """Start, end and rule of what looks like a secret, in order and without overlap."""
+    """Start, end and rule of what looks like a secret, in order and without overlap.
+
+    A value assigned to a telling name ends at its own closing quote, whatever stands inside; without quotes, at white space.
+    """
     spans = [(m.start(), m.end(), "private_key") for m in _PRIVATE.finditer(text)] if "PRIVATE KEY" in text else []
     known = [m.span() for m in _KNOWN_INSIDE.finditer(text)]
     starts = [a for a, _ in known]
     within = lambda a, b: [k for k in known[bisect_left(starts, a) : bisect_left(starts, b)] if k[1] <= b]
-    at = 0
+    at, unclosed = 0, dict.fromkeys("\"'`", 0)
     while m := _ASSIGNS.search(text, at):
-        value = _VALUE.match(text, m.end()) if _NAMED.search(text, max(0, m.start() - 48), m.start()) else None
-        at = value.end() if value else m.start() + 1
-        if value:
-            inside = [] if _KNOWN.match(value.group()) else within(*value.span())
-            spans += [(a, b, "assigned") for a, b in _around(*value.span(), inside) if b - a >= 8]
+        at = m.start() + 1
+        if not _NAMED.search(text, max(0, m.start() - 48), m.start()):
+            continue
+        quote = text[m.end() : m.end() + 1]
+        quoted = _QUOTED.match(text, m.end()) if unclosed.get(quote, len(text)) <= m.end() else None
+        if quoted:
+            at = quoted.end()
+            if quoted.end(2) - quoted.start(2) >= 8:
+                spans.append((*quoted.span(2), "assigned"))
+            continue
+        if quote in unclosed and unclosed[quote] <= m.end():  # no such quote closes on this line: not looked for again
+            end = text.find("\n", m.end())
+            unclosed[quote] = len(text) if end < 0 else end
+        if value := _BARE.match(text, m.end()):
+            at = value.end()
+            inside = [] if _KNOWN.match(value.group(1)) else within(*value.span(1))
+            spans += [(a, b, "assigned") for a, b in _around(*value.span(1), inside) if b - a >= 8]
     spans += [(a, b, "known_form") for a, b in known]
     for m in _RUN.finditer(text):
         if _KNOWN.match(m.group()):
@@ -196,18 +213,19 @@ def labelled_findings(n: int = FINDINGS, seed: int = 17) -> list[tuple[str, str,
         quote = pick(['"', "'", ""])
         secret = bool(rng.integers(2))
         if secret:
-            kind = rng.integers(10)
+            kind = rng.integers(11)
             value = [
                 lambda: draw(hexes, int(pick([32, 40, 48, 64]))), lambda: draw(mixed, int(rng.integers(20, 48))), lambda: draw(mixed + "+/", int(rng.integers(24, 64))),
                 lambda: "AKIA" + draw("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), lambda: pick(["ghp_", "gho_"]) + draw(mixed, 36),
                 lambda: "sk_live_" + draw(mixed, 24), lambda: draw(mixed + "!@#$%^&*", int(rng.integers(10, 20))),
                 lambda: draw(mixed + "-_", int(rng.integers(64, 400))), lambda: ".".join(["eyJ" + draw(mixed, 30), draw(mixed + "-_", 80), draw(mixed + "-_", 43)]),
                 lambda: f"-----BEGIN {pick(['', 'RSA ', 'EC '])}PRIVATE KEY-----\n" + "\n".join(draw(mixed + "+/", 64) for _ in range(rng.integers(0, 20))),
+                lambda: draw(mixed + "!#$%&()*+,-./:;<=>?@[]^_{|}~ ", int(rng.integers(10, 50))),
             ][kind]()
             bare = kind == 9 or (kind in (3, 4, 5, 8) and rng.random() < 0.5)
             before = words(3) + (" " if bare else f" {pick(names)}{pick([' = ', '=', ': ', ' := '])}{quote}")
         else:
-            kind = rng.integers(9)
+            kind = rng.integers(10)
             value, before = [
                 lambda: (draw(hexes, 40), words(2) + pick([" commit ", " revision ", " sha1: "])),
                 lambda: (draw(hexes, int(pick([32, 64]))), words(2) + pick([" md5 ", " checksum: ", " sha256:", " etag "])),
@@ -218,6 +236,7 @@ def labelled_findings(n: int = FINDINGS, seed: int = 17) -> list[tuple[str, str,
                 lambda: ("-".join(pick(WORDS) for _ in range(4)) + "-" + draw("0123456789", 3), words(2) + " /"),
                 lambda: ("-".join(draw("0123456789", 4) for _ in range(4)) + pick(["", "A"]), words(2) + pick([" card ", " order ", " phone "])),
                 lambda: (pick(WORDS) + "_" + pick(WORDS) + "." + pick(WORDS), words(2) + f" {pick(names)} = "),
+                lambda: (words(int(rng.integers(2, 9))) + pick(["", ".", ", " + words(3)]), words(2) + f" {pick(names)}{pick([': ', ' = '])}{quote}"),
             ][kind]()
         harmless = rng.random() < (0.1 if secret else 0.4)
         out.append((value, before, quote + " " + words(3), "tests/example" if harmless else "src/main", int(secret)))
@@ -239,8 +258,15 @@ def judge(forest: Forest, text: str, path: str) -> list[tuple[int, int, str, flo
     for a, b, _ in [*spans, (len(text), len(text), "")]:
         own.update(w.lower() for w in _PART.findall(text, last, a))
         last = b
-    x = np.array([describe(text[a:b], text[max(0, a - 60) : a], text[b : b + 60], path, own) for a, b, _ in spans])
-    return [(a, b, rule, float(p)) for (a, b, rule), p in zip(spans, forest.probabilities(x), strict=True)]
+    chance = lambda found: forest.probabilities(np.array([describe(text[a:b], text[max(0, a - 60) : a], text[b : b + 60], path, own) for a, b, _ in found])).tolist()
+    judged = [(*span, p) for span, p in zip(spans, chance(spans), strict=True)]
+    inner: list[tuple[int, int, str]] = []
+    for a, b, rule, p in judged:
+        if rule == "assigned" and p < 0.5 and len(text[a:b].split()) > 1:  # quoted prose, perhaps with a secret in it
+            inner += [(a + x, a + y, r) for x, y, r in candidates(text[a:b])]
+    if inner:
+        judged = sorted([*judged, *((*span, p) for span, p in zip(inner, chance(inner), strict=True) if p >= 0.5)])
+    return judged
 
 
 def scan_secrets(docs: DataFrame, forest: Forest, path: str = "source") -> DataFrame:
