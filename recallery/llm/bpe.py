@@ -11,7 +11,10 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
+import unicodedata
 from array import array
+from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -25,6 +28,8 @@ from .encoders import byte_letters
 from .merges import NONE, MergeTable
 from .pieces import Strings
 
+#: positions of a pair from which on they merge in numpy
+MANY = 64
 #: how byte-level vocabularies cut a text into words
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -57,17 +62,31 @@ class PairIndex:
         at, rank = at[rank != NONE], rank[rank != NONE]
         order = np.argsort(rank, kind="stable")  # positions of each pair, from the left
         at, rank = at[order].astype(np.int32), rank[order]
-        cuts = np.flatnonzero(np.diff(rank, prepend=-1)) if len(rank) else np.zeros(0, np.int64)
+        cuts = [*np.flatnonzero(np.diff(rank, prepend=-1)).tolist(), len(at)]
         # positions of each pair: those of the start as a slice, those that merges make in a list
-        first = dict(zip(rank[cuts].tolist(), zip(cuts.tolist(), [*cuts[1:].tolist(), len(at)], strict=True), strict=True))
+        first = {int(rank[x]): (x, y) for x, y in zip(cuts, cuts[1:], strict=False)}
         later: dict[int, list[int]] = {}
         active, rank_of, width = list(first), self.rank_of, self.width
         heapify(active)
+        flat = tuple(np.frombuffer(x, np.int32) for x in (sym, after, before))  # the same memory
+
+        def enter(found: int, places: list[int]) -> None:
+            if found in later:
+                later[found] += places
+            else:
+                if found not in first:
+                    heappush(active, found)
+                later[found] = places
+
         while active:
             r = heappop(active)
             a, b, product = self.merges[r]
             begin, end = first.pop(r, (0, 0))
             places = at[begin:end].tolist() + later.pop(r, [])
+            if a != b and len(places) >= MANY:
+                for found, new in self._merge_all(np.array(places, np.int64), a, b, product, *flat):
+                    enter(found, new)
+                continue
             if a == b:  # of overlapping ones the leftmost merges
                 places.sort()
             for i in places:
@@ -76,20 +95,30 @@ class PairIndex:
                     continue
                 k, h = after[j], before[i]
                 sym[i], sym[j], after[i], before[k] = product, -1, k, i
-                for x, found in ((h, rank_of.get(sym[h] * width + product) if h >= 0 else None), (i, rank_of.get(product * width + sym[k]) if k < n else None)):
-                    if found is None:
-                        continue
-                    if found in later:
-                        later[found].append(x)
-                    else:
-                        if found not in first:
-                            heappush(active, found)
-                        later[found] = [x]
+                if h >= 0 and (found := rank_of.get(sym[h] * width + product)) is not None:
+                    enter(found, [h])
+                if k < n and (found := rank_of.get(product * width + sym[k])) is not None:
+                    enter(found, [i])
         merged = np.frombuffer(sym, np.int32)[:n]
         kept = merged >= 0
         word = np.repeat(np.arange(len(lengths)), lengths)[kept]
         return merged[kept], np.bincount(word, minlength=len(lengths))
 
+    def _merge_all(self, i: np.ndarray, a: int, b: int, product: int, sym: np.ndarray, after: np.ndarray, before: np.ndarray) -> Iterator[tuple[int, list[int]]]:
+        """Merges a pair of two different symbols at many positions together (they cannot overlap); gives the new pairs' ranks and positions."""
+        i = i[(sym[i] == a) & (sym[after[i]] == b)]
+        j, n = after[i], len(sym) - 1
+        k, h = after[j], before[i]
+        sym[i], sym[j], after[i], before[k] = product, -1, k, i
+        place = np.concatenate((h[h >= 0], i[k < n]))  # twice where two products meet, which does no harm
+        rank, _ = self.table.look(sym[place], sym[after[place]])
+        place, rank = place[rank != NONE], rank[rank != NONE]
+        order = np.argsort(rank, kind="stable")
+        place, rank = place[order].tolist(), rank[order]
+        cuts = [*np.flatnonzero(np.diff(rank, prepend=-1)).tolist(), len(place)]
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            yield int(rank[x]), place[x:y]
+
 
 class ByteCodec:
     """Ids and texts as the tokenizers library gives them for a byte-level BPE file, special tokens in the text included.
@@ -125,12 +154,21 @@ class ByteCodec:
             texts[t["id"]] = t["content"].encode()
             self.known[t["content"]] = np.array([t["id"]], "<i4").tobytes()
         self.texts, self.digits = Strings(texts), Strings([b"%d," % i for i in range(len(texts))])
-        self.limit, self.same, self.different = cache_words, set(map(chr, range(128))), set()
+        self.limit, self.same, self.different = cache_words, set(), set()
+        self._plain_words()
+
+    def _plain_words(self) -> None:
+        """The same cut for Latin letters alone, for the faster of the two regular expression engines, and what is not for it."""
+        chars = [chr(c) for c in range(0x250)]
+        for c in chars:
+            self._agree(c)
+        kind = lambda test: "".join(re.escape(c) for c in chars if c in self.same and test(c))
+        letters, digits, spaces = kind(lambda c: unicodedata.category(c)[0] == "L"), kind(lambda c: unicodedata.category(c)[0] == "N"), kind(lambda c: regex.match(r"\s", c))
+        self.plain = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{digits}]+| ?[^{spaces}{letters}{digits}]+|[{spaces}]+(?![^{spaces}])|[{spaces}]+")
+        self.foreign = re.compile(f"[^{kind(lambda c: True)}]")
 
     def _agree(self, text: str) -> bool:
         """Whether both Unicode tables class all characters of the text alike."""
-        if text.isascii():
-            return True
         met = set(text)
         for c in met - self.same - self.different:
             probe = f"a{c}1{c}!{c}"
@@ -141,12 +179,12 @@ class ByteCodec:
     def words(self, text: str) -> list[str]:
         """The words of a text, special tokens on their own."""
         parts = [p for p in self.special.split(text) if p] if self.special else [text]
-        if len(parts) == 1 and parts[0] not in self.known and self._agree(text):
-            return self.cut.findall(text)
         out = []
         for p in parts:
             if self.special and self.special.fullmatch(p):
                 out.append(p)
+            elif not self.foreign.search(p):
+                out += self.plain.findall(p)
             elif self._agree(p):
                 out += self.cut.findall(p)
             else:
