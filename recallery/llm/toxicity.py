@@ -4,6 +4,11 @@ The embeddings of a segment's words and character n-grams are averaged into a so
 would be lost in the average of a whole text, so texts are read in segments of ``SEGMENT`` words and are
 toxic if any segment is (the probabilities of clean segments multiply). Equal segments of a text count once,
 so that repetition alone never adds up. All learn jointly.
+
+Length: the more clean segments a text has, the higher the highest of them. So the segments of the worst passage count
+(``WINDOW`` of them), and from what they add up to goes what the worst of as many clean segments reaches with probability ``CHANCE``,
+known from long clean documents that the fit has not seen. A clean text stays clean at any length; a hostile passage in a long one
+must stand out by several words.
 """
 
 from __future__ import annotations
@@ -24,6 +29,10 @@ EPOCHS, STEPS, BATCH, RATE = 10, 300, 32, 0.8
 #: first sum of squared gradients: steps of subwords seen once stay small
 START = 3e-2
 THRESHOLD = 0.7
+#: segments of a passage (of about the longest text of the fit), and how likely the worst segment of a clean text may reach what is subtracted
+WINDOW, CHANCE = 256, 0.05
+#: bounds of the sample of long clean documents, and the highest segments that each gives
+LONG_ROWS, LONGEST_CLEAN, HIGHEST = 400, 200_000, 64
 
 _LETTER = np.array([chr(c).isalpha() for c in range(0x10000)])
 _CODE = mix64(np.arange(1, 0x10001, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
@@ -76,6 +85,8 @@ class SubwordSoftmax:
 
     def __init__(self, table: np.ndarray, weights: np.ndarray, bias: float):
         self.bias = bias
+        #: logits of the highest clean segments, descending, and the number of segments that they are of
+        self.tail, self.n_clean = np.zeros(0), 0
         self.margin = (table @ (weights[1] - weights[0])).astype(np.float64)  # linear: project first, average after
 
     @classmethod
@@ -125,12 +136,30 @@ class SubwordSoftmax:
                 bias -= rate * to_b / np.sqrt(grown_b)
         return cls(table, weights, float(bias))
 
+    def logits(self, buckets: np.ndarray, segments: np.ndarray, n: int) -> np.ndarray:
+        """Log odds of each of ``n`` segments."""
+        return np.bincount(segments, self.margin[buckets], n) / np.maximum(np.bincount(segments, minlength=n), 1) + self.bias
+
+    def background(self, n: np.ndarray) -> np.ndarray:
+        """What the worst of ``n`` clean segments adds with probability ``CHANCE``: by rank among known ones, beyond them by an exponential tail."""
+        if len(self.tail) < 2:
+            return np.zeros(len(n))
+        rank = CHANCE * self.n_clean / np.maximum(n, 1)
+        inside = np.interp(rank, np.arange(1, len(self.tail) + 1), self.tail)
+        some = self.tail[:11]
+        beyond = self.tail[0] + (some[:-1] - some[-1]).mean() * np.log(1 / np.minimum(rank, 1))
+        return np.where(rank > len(self.tail), 0.0, np.logaddexp(0, np.where(rank < 1, beyond, inside)))
+
     def scores(self, buckets: np.ndarray, segments: np.ndarray, texts: np.ndarray, n: int) -> np.ndarray:
         """Probability of class 1 of each of ``n`` texts; one without words has that of a single empty segment."""
-        counts = np.bincount(segments, minlength=len(texts))
-        z = np.bincount(segments, self.margin[buckets], len(texts)) / np.maximum(counts, 1) + self.bias
-        total = np.bincount(texts, np.logaddexp(0, z), n)
-        total[np.bincount(texts, minlength=n) == 0] = np.logaddexp(0, self.bias)
+        many = np.bincount(texts, minlength=n)
+        so_far = np.concatenate(([0.0], np.cumsum(np.logaddexp(0, self.logits(buckets, segments, len(texts))))))
+        begin = np.arange(len(texts))
+        passage = so_far[np.minimum(begin + WINDOW, np.cumsum(many)[texts])] - so_far[begin]
+        total = np.zeros(n)
+        np.maximum.at(total, texts, passage)
+        total = np.maximum(total - self.background(many), 0)
+        total[many == 0] = np.logaddexp(0, self.bias)
         return -np.expm1(-total)
 
 
@@ -147,7 +176,37 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Su
     sample = labelled_sample(docs, labels, label, ROWS_PER_CLASS, LONGEST).select("doc_id", "label", "text")
     rows = sample.mapInArrow(features, "doc_id long, label int, at array<int>, segment array<smallint>").toArrow().sort_by("doc_id")
     cells = (rows[c].to_numpy() if c == "label" else [x.values.to_numpy() for x in rows[c]] for c in ("at", "segment", "label"))
-    return SubwordSoftmax.fit([(a, g, int(y)) for a, g, y in zip(*cells, strict=True)])
+    model = SubwordSoftmax.fit([(a, g, int(y)) for a, g, y in zip(*cells, strict=True)])
+    model.tail, model.n_clean = _clean_tail(docs, labels, label, model)
+    return model
+
+
+def _clean_tail(docs: DataFrame, labels: DataFrame, label: str, model: SubwordSoftmax) -> tuple[np.ndarray, int]:
+    """The highest segments of clean documents too long for the fit, and how many segments these documents have.
+
+    Of at most ``LONG_ROWS`` labelled documents, not held out, of ``LONGEST`` to ``LONGEST_CLEAN`` bytes; ``HIGHEST`` numbers of each come to the driver.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def highest(batches):
+        for batch in batches:
+            found = []
+            for text in batch.column(1).to_pylist():
+                at, segment, owner = subwords([text])
+                z = np.sort(shared.value.logits(at, segment, len(owner)))[::-1]
+                found.append((z[:HIGHEST].tolist(), len(z)))
+            tops, sizes = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(tops, pa.list_(pa.float64())), pa.array(sizes, pa.int64())], ["top", "n"])
+
+    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
+    usable = usable.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & (F.col("label") == 0)).select("doc_id").distinct()
+    text = F.col("text").cast("string")
+    long = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where(F.octet_length(text).between(LONGEST + 1, LONGEST_CLEAN))
+    # ids first, so that only the chosen texts move; ids of long documents and of labels grow with the table: no broadcast
+    chosen = long.select("doc_id").join(usable.hint("merge"), "doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(LONG_ROWS)
+    rows = long.join(F.broadcast(chosen), "doc_id").select("doc_id", "text").mapInArrow(highest, "top array<double>, n long").toArrow()  # at most LONG_ROWS ids
+    tops = [x.values.to_numpy() for x in rows["top"]]
+    return np.sort(np.concatenate(tops or [np.zeros(0)]))[::-1], int(sum(rows["n"].to_pylist()))
 
 
 def score_toxicity(docs: DataFrame, model: SubwordSoftmax) -> DataFrame:
@@ -172,13 +231,17 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Fit on labels that are not held out and score all documents.
 
     Ids and labels are never inputs. With labels of one class only, all scores are alike. Repeated
-    rows each get a row; extra columns are left behind; long texts are scored whole; an empty table gives no rows.
+    rows each get a row; extra columns are left behind; an empty table gives no rows. Long texts are scored whole, by their worst passage against what
+    clean texts of that length hold by chance; without long clean labelled documents nothing is known of that, and nothing is subtracted.
     """
     return score_toxicity(docs, fit_toxicity(docs, labels))
 
 
 def drop_toxic(docs: DataFrame, model: SubwordSoftmax) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score is under the threshold; one pass without a shuffle."""
+    """The rows of ``docs``, all columns, whose score is under the threshold; one pass without a shuffle.
+
+    Null and empty texts and rows without an id are scored like others (an empty text is clean); repeated rows share their fate; an empty table stays empty.
+    """
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def keep(batches):

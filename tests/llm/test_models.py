@@ -293,3 +293,31 @@ def test_pipeline_stages_on_edge_tables(spark, sf):
             else:
                 assert after.columns == df.columns and after.count() == n
             state = after
+
+
+def test_toxicity_of_long_texts(spark):
+    """Clean held-out documents joined to 50 kB, 500 kB and all of 2.8 MB stay clean; one hostile passage in them is found."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = toxicity.fit_toxicity(docs, labels)
+    assert model.n_clean > 10_000 and len(model.tail) > 1000
+    rows = docs.join(labels, "doc_id").where(common.held_out(docs["doc_id"])).select("text", "toxic").orderBy("doc_id").collect()
+    clean = [r.text for r in rows if not r.toxic]
+    hostile = "\n".join(r.text for r in rows if r.toxic and 500 < len(r.text) < 3000 and "idiot" in r.text)[:4000]
+    score = lambda text: model.scores(*toxicity.subwords([text]), 1)[0]
+    assert score(hostile) > 0.99
+    for size in (50_000, 500_000, 5_000_000):
+        for seed in range(3):
+            part = list(clean)
+            np.random.default_rng(seed).shuffle(part)
+            text = "\n".join(part)[:size]
+            half = len(text) // 2
+            assert score(text) < 0.7 < score(text[:half] + "\n" + hostile + "\n" + text[half:]), (size, seed)
+
+
+def test_background_grows_with_length(spark):
+    model = toxicity.SubwordSoftmax(np.zeros((1 << toxicity.BITS, toxicity.WIDTH)), np.zeros((2, toxicity.WIDTH)), -8.0)
+    assert model.background(np.array([1, 10**6])).tolist() == [0, 0]
+    model.tail, model.n_clean = np.linspace(3, -7, 500), 100_000
+    found = model.background(np.array([1, 10, 1000, 10_000, 100_000, 1_000_000]))
+    assert (np.diff(found) >= 0).all() and found[0] == 0 and found[-1] < 8
