@@ -75,15 +75,6 @@ def o125_entity_graph_stats(spark, sf):
     return t.groupBy("entity_type").agg(F.count("*").alias("entities"), F.round(F.avg("trust"), 6).alias("trust"), F.count_if(F.col("trust") > 0.7).alias("trusted"))
 
 
-@query(sql([MEMORIES, QUALITY, f"d AS (SELECT *, array_to_string({WORDS}, ' ') AS key FROM scored)", "k AS (SELECT min(id) AS id FROM d GROUP BY key, lang, priority)"], "SELECT priority, count(*) AS kept FROM scored WHERE id IN (SELECT id FROM k) AND NOT (overall - 0.3 < 0.25 AND CASE priority WHEN 'critical' THEN FALSE WHEN 'high' THEN overall - 0.3 < 0.1 ELSE TRUE END) GROUP BY priority"))
-def o151_auto_manage(spark, sf):
-    """Duplicates go, then what is of low quality."""
-    m = lc.memory_quality(memories(spark, sf), as_of()).withColumn("overall", F.col("overall") - 0.3)
-    first = lc.consolidate_exact(m.withColumn("kind", F.col("lang")))
-    kept = m.join(first.select("id"), "id", "left_semi")
-    return kept.join(lc.evict_low_quality(kept).select("id"), "id", "left_anti").groupBy("priority").agg(F.count("*").alias("kept"))
-
-
 @query(sql([MEMORIES], "SELECT id, round(least(1.0e0, (access_count / 12.0e0) * 1.2e0), 6) AS promoted, round((access_count / 12.0e0) * 0.8e0, 6) AS demoted FROM memories"))
 def o152_promote_demote(spark, sf):
     r = F.col("access_count") / 12.0

@@ -103,12 +103,6 @@ def o187_works_at(spark, sf):
     return p.withColumn("w", gr.works_at(F.col("t"))).where("w IS NOT NULL").select("id", "w.person", "w.place")
 
 
-@query(sql([EDGES], "SELECT replace(source, 'n3', 'n4') AS source, replace(target, 'n3', 'n4') AS target, count(*) AS n FROM (SELECT CASE WHEN source = 'n3' THEN 'n4' ELSE source END AS source, CASE WHEN target = 'n3' THEN 'n4' ELSE target END AS target FROM edges) WHERE source = 'n4' OR target = 'n4' GROUP BY ALL").replace("replace(source, 'n3', 'n4') AS source, replace(target, 'n3', 'n4') AS target", "source, target"))
-def o170_merge_entities(spark, sf):
-    merged = spark.createDataFrame([("n3", "n4")], "old string, new string")
-    return cu.relink(edges(spark, sf), merged).where("source = 'n4' OR target = 'n4'").groupBy("source", "target").agg(F.count("*").alias("n"))
-
-
 @query(sql([EDGES], "SELECT count(*) AS n FROM (SELECT *, ['m' || (length(target) % 4), 'm' || (length(source) % 4)] AS provenance FROM edges) WHERE NOT list_contains(provenance, 'm2')"))
 def o171_remove_memory(spark, sf):
     e = edges(spark, sf).withColumn("provenance", F.expr("array(concat('m', length(target) % 4), concat('m', length(source) % 4))"))

@@ -87,11 +87,6 @@ def o72_symbol_search(spark, sf):
     return lexical.symbol_search(parts(spark, sf), "part", 40).select("id", "name", "score")
 
 
-@query(sql([MEMORIES], "SELECT id, round(CAST(least(1.0e0, CASE WHEN contains(lower(content), 'of the') THEN 0.5e0 ELSE 0 END + " + " + ".join(f"CASE WHEN contains(lower(content), '{t}') THEN 0.1e0 + least(((length(lower(content)) - length(replace(lower(content), '{t}', ''))) // {len(t)}) * 0.05e0, 0.3e0) ELSE 0 END" for t in ("of", "the")) + ") AS DOUBLE), 6) AS score FROM memories"))
-def o73_layer_scores(spark, sf):
-    return memories(spark, sf).select("id", F.round(lexical.working_layer_score("of the", F.col("content")), 6).alias("score"))
-
-
 @query("""SELECT doc_id AS id, item_id, CASE WHEN d.text = b.text THEN 1.0e0 WHEN least(strlen(b.text), strlen(d.text)) / greatest(strlen(b.text), strlen(d.text), 1) < 0.5 THEN 0.0e0
  WHEN contains(d.text, substr(b.text, 1, 32)) THEN CASE WHEN least(strlen(b.text), strlen(d.text)) / greatest(strlen(b.text), strlen(d.text), 1) > 0.8 THEN 0.9e0 ELSE 0.7e0 END ELSE 0.3e0 END AS score
  FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id""")
@@ -235,15 +230,3 @@ def o66_query_entities(spark, sf):
     found = lexical.document_tokens(memories(spark, sf)).where(F.col("token").rlike("[0-9A-Z_-]"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]), " ")
     return found.groupBy("id").agg(F.count("*").alias("entities"), F.md5(text).alias("digest"))
-
-
-@query(
-    sql([MEMORIES, BM25, *[f"x{i} AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM (SELECT * FROM bm25 WHERE score > 0 ORDER BY score DESC, id LIMIT 8))" for i in range(1)],
-         "y AS (SELECT id, row_number() OVER (ORDER BY access_count DESC, id) AS rank FROM (SELECT * FROM memories ORDER BY access_count DESC, id LIMIT 8))",
-         "f AS (SELECT id, sum(1.0e0 / (60 + rank)) AS score FROM (SELECT * FROM x0 UNION ALL SELECT * FROM y) GROUP BY id)"],
-        "SELECT id, round(score, 9) AS score FROM f WHERE score >= 0.015")
-)
-def o96_adaptive_gating(spark, sf):
-    m = memories(spark, sf)
-    layers = [fusion.ranked(lexical.bm25_documents(m, QUERY), "working", 0.3, 8), fusion.ranked(m.select("id", F.col("access_count").cast("double").alias("score")), "semantic", 0.4, 8)]
-    return fusion.gated_layers(layers, 0.015).select("id", F.round("score", 9).alias("score"))

@@ -112,24 +112,6 @@ def o143_temporal_contradictions(spark, sf):
 DRIFT = "e AS (SELECT event_id AS id, event_type || (user_id % 50) AS name, CAST(floor(value) AS BIGINT) AS occurrences, (user_id % 100) / 100.0e0 AS trust, ts AS seen_at FROM events)"
 
 
-@query(
-    sql([DRIFT, "w AS (SELECT *, first_value(occurrences) OVER w AS c0, first_value(trust) OVER w AS t0, row_number() OVER w AS nth FROM e WINDOW w AS (PARTITION BY name ORDER BY seen_at, id))",
-         "s AS (SELECT id, name, greatest(CASE WHEN abs(occurrences - c0) >= 5 THEN least(1.0e0, abs(occurrences - c0) / 50.0e0) ELSE 0 END, CASE WHEN round(abs(trust - t0), 9) >= 0.15 THEN abs(trust - t0) ELSE 0 END) AS severity FROM w WHERE nth > 1)"],
-        "SELECT id, name, round(severity, 6) AS severity FROM s WHERE severity > 0")
-)
-def o144_entity_drift(spark, sf):
-    e = table(spark, sf, "events").selectExpr("event_id AS id", "concat(event_type, user_id % 50) AS name", "cast(floor(value) AS bigint) AS occurrences", "(user_id % 100) / 100.0D AS trust", "ts AS seen_at")
-    return lc.entity_drift(e).select("id", "name", r6("severity"))
-
-
-@query(
-    sql([MEMORIES, "c AS (SELECT count(*) AS n FROM (SELECT 1 FROM memories GROUP BY content HAVING count(*) > 1))"], "SELECT round(greatest(0.0e0, greatest(0.0e0, 1.0e0 - 0.15e0 * n * 0.01e0 - 0.05e0 * 2) - 0.1e0 * 0.5e0), 6) AS coherence FROM c")
-)
-def o133_coherence(spark, sf):
-    groups = memories(spark, sf).groupBy(F.sha2("content", 256)).count().where("count > 1").agg(F.count("*").alias("n"))
-    return groups.select(F.round(lc.coherence(F.col("n") * 0.01, F.lit(2), F.lit(0.5)), 6).alias("coherence"))
-
-
 @query(sql([USAGE, "w AS (SELECT *, row_number() OVER (PARTITION BY provider ORDER BY CASE WHEN k % 5 >= 2 THEN 1 ELSE 0 END DESC, ts DESC, ts DESC, event_id) AS place FROM usage)"], "SELECT provider, event_id FROM w WHERE place > 100"))
 def o159_working_set_eviction(spark, sf):
     rows = usage(spark, sf).select(F.col("provider").alias("session"), F.col("event_id").alias("id"), (F.col("k") % 5).alias("access_count"), F.col("ts").alias("last_accessed"), F.col("ts").alias("created_at"))
