@@ -132,13 +132,14 @@ def is_clean(text: Column, rules: list[tuple[str, str]] = REDACTIONS) -> Column:
     return ~reduce(lambda a, b: a | b, [text.rlike(r[0]) for r in rules])
 
 
-#: Ordered patterns for training texts.
+#: Ordered patterns for training texts (O-288).
 TRAINING_SECRETS = [
-    (r"sk-[A-Za-z0-9]{20,}", "[API_KEY]"),
-    (r"ghp_[A-Za-z0-9]{36}", "[GITHUB_TOKEN]"),
-    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]"),
-    (r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", "[IP]"),
-    (r"(?i)(password|token|secret)\s*[:=]\s*\S+", "$1=[REDACTED]"),
+    (r"API_KEY[^:\n]{1,50}[a-zA-Z0-9\-_]{20,}", "[API_KEY_REDACTED]"),
+    (r"tvly-dev-[a-zA-Z0-9]{20,}", "[TAVILY_KEY_REDACTED]"),
+    (r"BSA[a-zA-Z0-9]{20,}", "[BRAVE_KEY_REDACTED]"),
+    (r"password[\x22\s:]{1,3}[^\s,]{8,}", "[PASSWORD_REDACTED]"),
+    (r"secret[\x22\s:]{1,3}[^\s,]{8,}", "[SECRET_REDACTED]"),
+    (r"Bearer\s+[a-zA-Z0-9\-_]{20,}", "[TOKEN_REDACTED]"),
 ]
 
 

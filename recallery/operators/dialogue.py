@@ -9,25 +9,16 @@ from pyspark.sql import functions as F
 
 from recallery.functions import text as tx
 
-#: Ordered keyword cascades.
-QUESTION_RULES = [(2, ["when", "what date", "what day", "what time", "how long"]), (3, ["opinion", "think", "feel", "why"]), (4, ["what did", "do ", "activity", "how did"])]
-OPINION_WORDS = ["think", "feel", "believe", "love", "like", "hate", "prefer", "enjoy"]
-ACTION_WORDS = ["went", "made", "bought", "started", "joined", "visited", "read", "wrote", "played", "worked"]
-PAIR_RULES = [("code", ["code", "function", "python", "bug"]), ("data", ["data", "table", "query"]), ("plan", ["plan", "task", "schedule"]), ("question", ["what", "how", "why"])]
+#: Ordered keywords of the roles of training pairs (O-292): what asks for memories, what explains and what in the answer shows memories, how-to, reasoning.
+RETRIEVE = ["revisar", "consultar", "buscar", "qué tienes", "mi memoria"]
+EXPLAIN, REMEMBERED = ["explica", "analiza", "cómo", "por qué"], ["memoria", "registrado", "según"]
+OPERATE, REASON = ["cómo hago", "cómo configuro", "comando", "ejecuta"], ["piensa", "analiza", "razonamiento", "paso"]
 
 
 def _any(text: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
 
 
-def question_category(text: Column) -> Column:
-    """O-300: dates 2, opinion 3, action 4, facts 1."""
-    rule, lower = None, F.lower(text)
-    for value, words in QUESTION_RULES:
-        rule = F.when(_any(lower, words), value) if rule is None else rule.when(_any(lower, words), value)
-    return rule.otherwise(1)
-
-
 def date_answer(text: Column) -> Column:
     """O-301, O-221: the first of a full date, an ISO date, month and year, a relative date, a year."""
     months = "January|February|March|April|May|June|July|August|September|October|November|December"
@@ -85,12 +76,14 @@ def transcript_pairs(turns: DataFrame, longer_than: int = 20) -> DataFrame:
     return pairs.where((F.length("instruction") > longer_than) & (F.length("response") > longer_than))
 
 
-def categorize_pair(text: Column) -> Column:
-    """O-292, O-15."""
-    rule, lower = None, F.lower(text)
-    for name, words in PAIR_RULES:
-        rule = F.when(_any(lower, words), name) if rule is None else rule.when(_any(lower, words), name)
-    return rule.otherwise("general")
+def categorize_pair(instruction: Column, response: Column, own_names: list[str] = ()) -> Column:
+    """O-292, O-15: the first role that applies: memory_retrieval; what explains is synthesis if the answer shows memories, else knowledge_generation; core (names of
+    one's own products); operations; reasoning; otherwise knowledge_generation."""
+    asked, told = F.lower(instruction), F.lower(response)
+    core = _any(asked, list(own_names)) if own_names else F.lit(False)
+    explained = F.when(_any(told, REMEMBERED), "synthesis").otherwise("knowledge_generation")
+    rule = F.when(_any(asked, RETRIEVE), "memory_retrieval").when(_any(asked, EXPLAIN), explained).when(core, "core")
+    return rule.when(_any(asked, OPERATE), "operations").when(_any(asked, REASON), "reasoning").otherwise("knowledge_generation")
 
 
 def dedup_pairs(pairs: DataFrame, text: str, order: list[str]) -> DataFrame:

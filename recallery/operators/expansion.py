@@ -131,28 +131,6 @@ def page_in(edges: DataFrame, records: DataFrame, search: Search, query: str, li
     return first.withColumn("place", F.row_number().over(Window.orderBy("at"))).select("id", "place")
 
 
-def near_pairs(df: DataFrame, threshold: float) -> DataFrame:
-    """O-50: ``a, b, jaccard`` of rows that may be as similar (O-153) as the threshold, other than by an equal path.
-
-    ``df``: ``id, content``. Texts of equal words are one row, that of the smallest id. The similarity is at most
-    .5 + .4 Jaccard, so pairs need a word Jaccard of (t - .5) / .4, and only rows that share one of their rarest words can have
-    it: each row is dealt by as many of these as the bound asks for. No pair is lost.
-    """
-    least = max(0.05, (threshold - 0.5) / 0.4)
-    words = df.select("id", F.array_sort(F.array_distinct(tx.tokens3(F.col("content")))).alias("words")).where(F.size("words") > 0)
-    rows = settled(words.groupBy("words").agg(F.min("id").alias("id")).withColumn("n", F.size("words")))
-    each = rows.select("id", "n", F.explode("words").alias("word"))
-    rarity = each.groupBy("word").agg(F.count("*").alias("rows"))
-    order = Window.partitionBy("id").orderBy("rows", "word")
-    dealt = each.join(rarity, "word").withColumn("nth", F.row_number().over(order))
-    dealt = settled(dealt.where(F.col("nth") <= F.col("n") - F.ceil(least * F.col("n")) + 1).select("id", "n", "word"))
-    left, right = (dealt.select("word", F.col("id").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
-    pairs = left.join(right, "word").where((F.col("a") < F.col("b")) & (F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b"))).select("a", "b").distinct()
-    full = rows.select("id", "words")
-    both = pairs.join(full.withColumnsRenamed({"id": "a", "words": "words_a"}).hint("merge"), "a").join(full.withColumnsRenamed({"id": "b", "words": "words_b"}).hint("merge"), "b")
-    return both.select("a", "b", tx.jaccard(F.col("words_a"), F.col("words_b")).alias("jaccard")).where(F.col("jaccard") >= least)
-
-
 def reflect(df: DataFrame, most: int = 8, days: int = 30, cleanup: float = 0.78) -> tuple[DataFrame, DataFrame]:
     """O-158: the worst rows among those of little importance or great age, the five themes of them, and which of them the themes cover.
 
@@ -165,4 +143,3 @@ def reflect(df: DataFrame, most: int = 8, days: int = 30, cleanup: float = 0.78)
     every = themes.agg(F.collect_list("theme").alias("themes"))  # five words
     covered = tx.jaccard(F.array_distinct("words"), F.col("themes")) >= cleanup
     return weak.crossJoin(F.broadcast(every)).select("id", covered.alias("cleanup")), themes
-

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
+from re import _parser
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: ends a repeated part in a parsed pattern
+_END = "END"
 #: Patterns of direct injection, of indirect injection, and of prompts that leak.
 DIRECT = [
     r"(?i)(ignore\s+(all\s+)?(previous|prior|above)\s+(instructions?|rules?|context|prompt))", r"(?i)(ignore\s+(all\s+)?instructions?)",
@@ -62,19 +65,40 @@ SANITIZE = [
     (r"(?i)always\s+(say\s+)?yes\s+(to|and)", "[FILTERED]"), (r"\\x[0-9a-fA-F]{2}", "[HEX_FILTERED]"), (r"(&#[xX]?[0-9a-fA-F]{2,6};)", "[ENTITY_FILTERED]"), (r"%[0-9a-fA-F]{2}", ""),
     (r"[\uff01\uff03-\uff5e]", ""),
 ]
+#: Invisible and full-width characters. Unicode escapes and the possessive quantifier above are what Java's expressions need.
 ZERO_WIDTH, FULL_WIDTH = "[\u200b\u200c\u200d\u2060\ufeff\u180e]", "[\uff01\uff03-\uff5e]"
 
 
+def needed(pattern: str) -> str:
+    """The longest run of literal characters, in lower case, that every match of a pattern holds; empty where there is none."""
+    best, run = "", ""
+    todo = list(_parser.parse(pattern))
+    while todo:
+        kind, what = todo.pop(0)
+        name = str(kind)
+        if name == "LITERAL":
+            run += chr(what)
+            continue
+        if name == "SUBPATTERN":
+            todo[:0] = list(what[-1])
+            continue
+        best, run = max(best, run, key=len), ""
+        if name in ("MAX_REPEAT", "POSSESSIVE_REPEAT") and what[0] > 0:
+            todo[:0] = [*list(what[2]), (_END, None)]
+    return max(best, run, key=len).lower()
+
+
 def injection_confidence(text: Column) -> Column:
     """O-253: for each pattern .5, .2 more from two matches and .1 more from three; zero-width characters .6; five full-width ones .55; the greatest.
 
-    Matches are counted only for patterns that match at all.
+    A pattern is only tried on texts that hold the literal it cannot do without, and counted once; the counts are scored together, which keeps the generated code
+    small. Use the column once, in a projection of its own.
     """
-    each = []
-    for p in (*DIRECT, *INDIRECT, *LEAKING):
-        n = F.regexp_count(text, F.lit(p))
-        each.append(F.when(text.rlike(p), 0.5 + F.when(n > 1, 0.2).otherwise(0.0) + F.when(n > 2, 0.1).otherwise(0.0)).otherwise(0.0))
-    return F.greatest(*each, F.when(text.rlike(ZERO_WIDTH), 0.6).otherwise(0.0), F.when(F.regexp_count(text, F.lit(FULL_WIDTH)) >= 5, 0.55).otherwise(0.0))
+    low = F.lower(text)
+    count = lambda p: F.when(low.contains(needed(p)), F.regexp_count(text, F.lit(p))).otherwise(0) if len(needed(p)) > 1 else F.regexp_count(text, F.lit(p))
+    most = F.array_max(F.array(*[count(p) for p in (*DIRECT, *INDIRECT, *LEAKING)]))
+    scored = F.when(most > 2, 0.5 + 0.2 + 0.1).when(most > 1, 0.5 + 0.2).when(most > 0, 0.5).otherwise(0.0)
+    return F.greatest(scored, F.when(text.rlike(ZERO_WIDTH), 0.6).otherwise(0.0), F.when(F.regexp_count(text, F.lit(FULL_WIDTH)) >= 5, 0.55).otherwise(0.0))
 
 
 def flagged(text: Column) -> Column:

@@ -177,13 +177,6 @@ def working_layer_score(query: str, content: Column) -> Column:
     return F.least(F.lit(1.0), F.when(c.contains(query.lower()), 0.5).otherwise(0.0) + _total(part))
 
 
-def entity_layer_score(query: str, name: Column, description: Column) -> Column:
-    """O-73: exact 1, partial .7, description .4 and .1 for each term; halved."""
-    q, n, d = query.lower(), F.lower(name), F.lower(description)
-    terms = _total([d.contains(t).cast("double") * 0.1 for t in q.split()])
-    return 0.5 * F.when(n == q, 1.0).when(n.contains(q) | F.lit(q).contains(n), 0.7).when(d.contains(q), 0.4 + terms).otherwise(0.0)
-
-
 def document_tokens(df: DataFrame) -> DataFrame:
     """O-64 over whole documents: ``id, at, token``, distinct without regard to case, the first spelling kept.
 

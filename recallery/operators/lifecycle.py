@@ -168,15 +168,6 @@ def temporal_contradictions(df: DataFrame) -> DataFrame:
     return marked.where("marker = 'yesterday'").join(F.broadcast(tomorrows)).where("pairs > 0").select("id", "pairs")  # one row
 
 
-def entity_drift(df: DataFrame) -> DataFrame:
-    """O-144: later rows of a name against its first: change of count (5 or more) and of trust (.15 or more)."""
-    w = Window.partitionBy("name").orderBy("seen_at", "id")
-    first = df.withColumns({"count0": F.first("occurrences").over(w), "trust0": F.first("trust").over(w), "nth": F.row_number().over(w)})
-    d_count, d_trust = F.abs(F.col("occurrences") - F.col("count0")), F.abs(F.col("trust") - F.col("trust0"))
-    severity = F.greatest(F.when(d_count >= 5, F.least(F.lit(1.0), d_count / 50.0)).otherwise(0.0), F.when(d_trust >= 0.15, d_trust).otherwise(0.0))
-    return first.where("nth > 1").select("id", "name", severity.alias("severity")).where("severity > 0")
-
-
 def coherence(conflict_severity: Column, issues: Column, drift_severity: Column) -> Column:
     """O-133."""
     base = F.greatest(F.lit(0.0), 1.0 - 0.15 * conflict_severity - 0.05 * issues)

@@ -425,15 +425,6 @@ def o192_page_in(spark, sf):
     return ex.page_in(e, v.selectExpr("vec_id AS id", "label AS cluster_id"), search, "about c17", 12)
 
 
-_TOKENS = "list_distinct(list_filter(string_split_regex(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: strlen(w) >= 3))"
-
-
-@query(sql(["w AS (SELECT min(doc_id) AS id, w FROM (SELECT doc_id, list_sort(" + _TOKENS.format("text") + ") AS w FROM documents) WHERE len(w) > 0 GROUP BY w)", "e AS (SELECT id, unnest(w) AS t FROM w)", "c AS (SELECT a.id AS a, b.id AS b, count(*) AS n FROM e a JOIN e b ON a.t = b.t AND a.id < b.id GROUP BY ALL)"],
-           "SELECT a, b, round(n / CAST(len(x.w) + len(y.w) - n AS DOUBLE), 6) AS jaccard FROM c JOIN w x ON x.id = a JOIN w y ON y.id = b WHERE n / CAST(len(x.w) + len(y.w) - n AS DOUBLE) >= 0.7"))
-def o50_near_pairs(spark, sf):
-    return ex.near_pairs(table(spark, sf, "documents").selectExpr("doc_id AS id", "text AS content"), 0.78).withColumn("jaccard", F.round("jaccard", 6))
-
-
 _W3 = "list_filter(string_split_regex(lower(content), '[^\\p{L}\\p{N}]+'), lambda w: strlen(w) >= 3)"
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import answers, care, code, extra, more, network, retrieval, search, threats, upkeep  # noqa: F401
+from . import alike, answers, care, code, extra, more, network, retrieval, search, threats, training, upkeep  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

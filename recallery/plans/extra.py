@@ -121,12 +121,6 @@ def o282_code_find(spark, sf):
     return parts(spark, sf).where(hit).orderBy("name", "id").limit(100).select("id", "name", "kind")
 
 
-@query(sql([PARTS, "t AS (SELECT kind, id, greatest(1, strlen(name) // 4) AS tokens FROM parts)", "r AS (SELECT *, sum(tokens) OVER (PARTITION BY kind ORDER BY id) AS running, row_number() OVER (PARTITION BY kind ORDER BY id) AS n FROM t)"], "SELECT kind, id FROM r WHERE running <= 10 OR n = 1"))
-def o283_code_context(spark, sf):
-    t = parts(spark, sf).select("kind", "id", tx.estimate_tokens(F.col("name")).alias("tokens"))
-    return fusion.token_budget(t, "kind", ["id"], "tokens", 10, keep_first=True).select("kind", "id")
-
-
 @query(
     """SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN time_bucket(INTERVAL 15 MINUTE, ts) + INTERVAL 15 MINUTE WHEN 1 THEN CASE WHEN ts < date_trunc('day', ts) + INTERVAL 9 HOUR THEN date_trunc('day', ts) + INTERVAL 9 HOUR ELSE date_trunc('day', ts) + INTERVAL 33 HOUR END
      WHEN 2 THEN date_trunc('month', ts) + INTERVAL 1 MONTH + INTERVAL 30 SECOND END AS next_run FROM (SELECT event_id, date_trunc('second', ts) AS ts FROM events) WHERE NOT (event_id % 4 = 2 AND ts < date_trunc('month', ts) + INTERVAL 30 SECOND)"""

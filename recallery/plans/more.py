@@ -55,16 +55,6 @@ def o48_call_edges(spark, sf):
     return cu.call_edges(s)
 
 
-@query(sql([MEMORIES, f"w AS (SELECT id, path, list_distinct(list_filter(string_split_regex(lower(content), '[^\\p{{L}}\\p{{N}}]+'), lambda w: strlen(w) >= 3)) AS w FROM memories)"], "SELECT a.id, round(0.4e0 * CASE WHEN len(a.w) = 0 OR len(b.w) = 0 THEN 0 ELSE len(list_intersect(a.w, b.w)) / CAST(len(list_distinct(list_concat(a.w, b.w))) AS DOUBLE) END, 6) AS similarity FROM w a JOIN w b ON b.id = a.id + 1"))
-def o153_similarity(spark, sf):
-    from recallery.operators import lifecycle as lc
-
-    m = memories(spark, sf).select("id", "path", "content")
-    other = m.select((F.col("id") - 1).alias("id"), F.col("path").alias("right_path"), F.col("content").alias("right_content"))
-    both = m.withColumnsRenamed({"path": "left_path", "content": "left_content"}).join(other, "id")
-    return both.select("id", r6(lc.similarity("left_", "right_", F.lit(0.0)), "similarity"))
-
-
 @query(sql([MEMORIES, "s AS (SELECT id, id // 8 AS cluster, id % 7 AS quality, unnest(list_transform(string_split_regex(content, '[.\\n!?]'), lambda s: trim(s, ' \n\t\r'))) AS sentence FROM memories)", "k AS (SELECT DISTINCT cluster, array_to_string(list_filter(string_split_regex(lower(sentence), '\\s+'), lambda w: w <> ''), ' ') AS key FROM s WHERE sentence <> '')", "b AS (SELECT DISTINCT ON (id // 8) id // 8 AS cluster, id FROM memories ORDER BY id // 8, id % 7 DESC, id)"], "SELECT cluster, any_value(b.id) AS id, count(*) AS sentences FROM k JOIN b USING (cluster) GROUP BY cluster"))
 def o155_merge_documents(spark, sf):
     from recallery.operators import lifecycle as lc
@@ -148,13 +138,6 @@ def o284_usage_snapshot(spark, sf):
     return cu.usage_snapshot(memories(spark, sf), 100000)
 
 
-@query(sql([MEMORIES, "s AS (SELECT id, regexp_replace(regexp_replace(content, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[EMAIL]', 'g'), '\\b\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}\\.\\d{1,3}\\b', '[IP]', 'g') AS t FROM memories)"], "SELECT id, len(regexp_extract_all(t, '\\[EMAIL\\]')) AS emails, len(regexp_extract_all(t, '\\[IP\\]')) AS addresses FROM s"))
-def o288_sanitize_training_text(spark, sf):
-    t = tx.redact(F.col("content"), tx.TRAINING_SECRETS)
-    count = lambda mark: F.size(F.regexp_extract_all(t, F.lit(mark), F.lit(0))).cast("long")
-    return memories(spark, sf).select("id", count(r"\[EMAIL\]").alias("emails"), count(r"\[IP\]").alias("addresses"))
-
-
 @query(sql([MEMORIES, "l AS (SELECT id, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM memories)"], "SELECT id, CAST(line_no - 1 AS INT) AS line_no FROM l WHERE length(line) >= 20 AND (contains(lower(line), 'thing') OR contains(lower(line), 'that')) QUALIFY row_number() OVER (PARTITION BY id ORDER BY line_no) <= 5"))
 def o290_keyword_lines(spark, sf):
     return cu.keyword_lines(memories(spark, sf), ["thing", "that"], 5).select("id", F.col("at").alias("line_no"))

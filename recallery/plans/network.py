@@ -218,12 +218,6 @@ def o291_transcript_pairs(spark, sf):
     return dg.transcript_pairs(turns(spark, sf)).select("session_id", F.col("nth").cast("long").alias("nth"), F.md5(F.concat("instruction", "response")).alias("digest"))
 
 
-CASCADE = "CASE " + " ".join(f"WHEN {_any('instruction', w)} THEN '{n}'" for n, w in dg.PAIR_RULES) + " ELSE 'general' END"
-
-
-@query(sql([TURNS, *PAIRS], f"SELECT {CASCADE} AS category, count(*) AS n FROM p GROUP BY ALL"))
-def o292_categorize_pairs(spark, sf):
-    return dg.transcript_pairs(turns(spark, sf)).groupBy(dg.categorize_pair(F.col("instruction")).alias("category")).agg(F.count("*").alias("n"))
 
 
 @query(sql([TURNS, "k AS (SELECT session_id, turn, trim(regexp_replace(regexp_replace(lower(content), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')) AS key FROM turns)"], "SELECT session_id, turn FROM k WHERE length(key) > 10 QUALIFY row_number() OVER (PARTITION BY key ORDER BY CAST(session_id AS INT), turn) = 1"))
@@ -234,12 +228,6 @@ def o293_dedup_pairs(spark, sf):
 
 
 
-@query(sql([PAGES, SOURCE], "SELECT id, coalesce(nullif(regexp_extract(content, '\\b(\\d{4}-\\d{2}-\\d{2})\\b', 1), ''), nullif(regexp_extract(content, '(?i)\\b(yesterday|today|tomorrow|last week|next week)\\b', 1), ''), nullif(regexp_extract(content, '\\b((?:19|20)\\d{2})\\b', 1), '')) AS answer FROM src WHERE NOT regexp_matches(content, 'January|February|March|April|May|June|July|August|September|October|November|December')"))
-def o301_date_answer(spark, sf):
-    plain = _texts(spark, sf).where(~F.col("content").rlike("January|February|March|April|May|June|July|August|September|October|November|December"))
-    return plain.select("id", dg.date_answer(F.col("content")).alias("answer"))
-
-
 @query("WITH h AS (SELECT p_type AS fact_type, p_brand AS value, count(DISTINCT p_size % 5) AS subjects FROM part GROUP BY ALL HAVING count(DISTINCT p_size % 5) >= 2) SELECT fact_type, min(value) AS value, count(*) AS shared FROM h GROUP BY fact_type")
 def o304_shared_facts(spark, sf):
     return dg.shared_facts(table(spark, sf, "part").selectExpr("p_type AS fact_type", "p_brand AS value", "p_size % 5 AS subject"))
