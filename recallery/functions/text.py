@@ -89,9 +89,14 @@ def code_tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(parts, lambda p: F.length(p) > 1))
 
 
+def names_entity(token: Column) -> Column:
+    """O-66: a digit, a hyphen, an underscore or a capital in it."""
+    return token.rlike(r"[0-9A-Z_-]")
+
+
 def query_entities(text: Column) -> Column:
-    """O-66: tokens with a digit, a hyphen, an underscore or a capital."""
-    return F.filter(search_tokens(text), lambda t: t.rlike(r"[0-9A-Z_-]"))
+    """O-66: tokens that name entities."""
+    return F.filter(search_tokens(text), names_entity)
 
 
 def stable_key(kind: str, *parts: Column) -> Column:

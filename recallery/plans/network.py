@@ -89,22 +89,22 @@ def o180_k_hop_edges(spark, sf):
 
 
 BOTH = f"{EDGES}, both_ways AS (SELECT source, target FROM edges UNION SELECT target, source FROM edges)"
-PATHS = "p AS (SELECT 'n1' AS node, ['n1'] AS path UNION ALL SELECT e.target, list_append(p.path, e.target) FROM p JOIN both_ways e ON e.source = p.node WHERE p.node <> 'n2' AND NOT list_contains(p.path, e.target) AND len(p.path) <= 4 AND NOT starts_with(e.target, 'c') AND NOT starts_with(e.target, 's'))"
+PATHS = "p AS (SELECT 'n1' AS node, ['n1'] AS path UNION ALL SELECT e.target, list_append(p.path, e.target) FROM p JOIN both_ways e ON e.source = p.node WHERE p.node <> 'n6' AND NOT list_contains(p.path, e.target) AND len(p.path) <= 5)"
 
 
 def _both(spark, sf):
-    e = edges(spark, sf).select("source", "target").where("NOT startswith(target, 'c') AND NOT startswith(target, 's') AND NOT startswith(source, 'c')")
+    e = edges(spark, sf).select("source", "target")
     return e.union(e.select("target", "source"))
 
 
-@query(sql([BOTH, PATHS], "SELECT array_to_string(path, '>') AS path, len(path) - 1 AS edges FROM p WHERE node = 'n2'").replace("WITH", "WITH RECURSIVE", 1))
+@query(sql([BOTH, PATHS], "SELECT array_to_string(path, '>') AS path, len(path) - 1 AS edges FROM p WHERE node = 'n6'").replace("WITH", "WITH RECURSIVE", 1))
 def o181_all_paths(spark, sf):
-    return gr.all_paths(_both(spark, sf), "n1", "n2", 4)
+    return gr.all_paths(_both(spark, sf), "n1", "n6", 5)
 
 
-@query(sql([BOTH, PATHS], "SELECT array_to_string(path, '>') AS path, len(path) - 1 AS edges FROM p WHERE node = 'n2' ORDER BY edges, path LIMIT 1").replace("WITH", "WITH RECURSIVE", 1))
+@query(sql([BOTH, PATHS], "SELECT array_to_string(path, '>') AS path, len(path) - 1 AS edges FROM p WHERE node = 'n6' ORDER BY edges, path LIMIT 1").replace("WITH", "WITH RECURSIVE", 1))
 def o179_shortest_path(spark, sf):
-    return gr.shortest_path(_both(spark, sf), "n1", "n2", 4)
+    return gr.shortest_path(_both(spark, sf), "n1", "n6", 5)
 
 
 @query(sql([EDGES, "p AS (SELECT 'c7' AS node, 0.0e0 AS cost, 0 AS d UNION ALL SELECT e.target, p.cost + 1 - e.confidence, p.d + 1 FROM p JOIN edges e ON e.source = p.node WHERE p.d < 3)"], "SELECT node, round(min(cost), 6) AS cost FROM p WHERE node <> 'c7' GROUP BY node").replace("WITH", "WITH RECURSIVE", 1))

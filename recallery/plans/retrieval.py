@@ -155,13 +155,14 @@ def o82_knn_store(spark, sf):
     return near.select("id", F.round("distance", 6).alias("distance"))
 
 
-@query(sql([VECTORS, "s AS (SELECT id, vector, list_max(list_transform(vector, lambda x: abs(x))) / 127.0e0 AS s FROM vectors)"], "SELECT id, CAST(list_sum(list_transform(vector, lambda x: round(x / s))) AS BIGINT) AS codes, CAST(list_max(list_transform(vector, lambda x: abs(round(x / s)))) AS BIGINT) AS largest, TRUE AS near FROM s WHERE s > 0"))
+@query(sql([VECTORS, "s AS (SELECT id, vector, list_max(list_transform(vector, lambda x: abs(x))) / 127.0e0 AS s FROM vectors)", "r AS (SELECT *, list_transform(vector, lambda x: x - round(x / s) * s) AS rest FROM s WHERE s > 0)", "r2 AS (SELECT *, list_max(list_transform(rest, lambda x: abs(x))) / 127.0e0 AS s2 FROM r)",
+            "e AS (SELECT *, round(list_max(list_transform(rest, lambda x: abs(x - CASE WHEN s2 > 0 THEN round(x / s2) * s2 ELSE 0 END))), 9) AS max_error FROM r2)"], "SELECT id, CAST(list_sum(list_transform(vector, lambda x: round(x / s))) AS BIGINT) AS codes, CAST(list_max(list_transform(vector, lambda x: abs(round(x / s)))) AS BIGINT) AS largest, max_error AS error FROM e WHERE s > 0"))
 def o83_quantize_round_trip(spark, sf):
     v = vectors(spark, sf).withColumn("back", vector.dequantize(vector.quantize(F.col("vector"))))
     worst = F.array_max(F.zip_with("vector", "back", lambda a, b: F.abs(a - b)))
     q = vector.quantize(F.col("vector"))["codes1"]
     codes = F.aggregate(q, F.lit(0), lambda a, x: a + x)
-    return v.where(F.exists("vector", lambda x: x != 0)).select("id", codes.cast("long").alias("codes"), F.array_max(F.transform(q, F.abs)).cast("long").alias("largest"), (worst < 1e-4).alias("near"))
+    return v.where(F.exists("vector", lambda x: x != 0)).select("id", codes.cast("long").alias("codes"), F.array_max(F.transform(q, F.abs)).cast("long").alias("largest"), F.round(worst, 9).alias("error"))
 
 
 @query(
@@ -226,7 +227,7 @@ def o99_contextual_boost(spark, sf):
 
 @query(sql([MEMORIES, "t AS (SELECT id, unnest(ts) AS t, generate_subscripts(ts, 1) AS nth FROM (SELECT id, regexp_extract_all(content, '[A-Za-z0-9][A-Za-z0-9._:/#-]+') AS ts FROM memories))", "f AS (SELECT id, min_by(t, nth) AS t, min(nth) AS nth FROM t GROUP BY id, lower(t))"], "SELECT id, count(*) AS entities, md5(string_agg(t, ' ' ORDER BY nth)) AS digest FROM f WHERE regexp_matches(t, '[0-9A-Z_-]') GROUP BY id"))
 def o66_query_entities(spark, sf):
-    """Over whole texts; ``tx.query_entities`` does the same to a query."""
-    found = lexical.document_tokens(memories(spark, sf)).where(F.col("token").rlike("[0-9A-Z_-]"))
+    """Over whole texts, by grouping; ``tx.query_entities`` has the same rule for a query."""
+    found = lexical.document_tokens(memories(spark, sf)).where(tx.names_entity(F.col("token")))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]), " ")
     return found.groupBy("id").agg(F.count("*").alias("entities"), F.md5(text).alias("digest"))
