@@ -107,10 +107,10 @@ def hierarchical_expansion(found: DataFrame, search: Search, beliefs: DataFrame
     return reduce(DataFrame.unionByName, more).groupBy("id").agg(F.max("relevance").alias("relevance"))
 
 
-def page_in(edges: DataFrame, records: DataFrame, search: Search, query: str, limit: int) -> DataFrame:
+def page_in(edges: DataFrame, records: DataFrame, scored: DataFrame, query: str, limit: int) -> DataFrame:
     """O-192: memories behind the beliefs that a query names and those one edge further, then what a search finds, each after its siblings.
 
-    ``edges``: ``id, source, target, relation_type, confidence, provenance``; ``records``: ``id, cluster_id``. A belief
+    ``edges``: ``id, source, target, relation_type, confidence, provenance``; ``records``: ``id, cluster_id``; ``scored``: ``id, score`` of all rows that the search finds. A belief
     brings up to five rows of the memory's cluster, a hit up to three, best hits first; the first place of a row counts.
     Result: ``id, place`` up to ``limit``.
     """
@@ -119,11 +119,10 @@ def page_in(edges: DataFrame, records: DataFrame, search: Search, query: str, li
     next_ = near.select(F.col("target").alias("source"), F.col("id").alias("from_id")).join(edges, "source").select("id", "target", "confidence", "provenance").withColumn("depth", F.lit(1))
     stage1 = near.unionByName(next_).groupBy(F.col("provenance").alias("id")).agg(F.min(F.struct("depth", (-F.col("confidence")).alias("less"), "id")).alias("order"))
     stage1 = stage1.orderBy("order").limit(limit).withColumn("nth", F.row_number().over(Window.orderBy("order"))).select("id", "nth", F.lit(0).alias("stage"), F.lit(5).alias("siblings"))
-    hits = ranked(search(query, limit), "search", 1.0, limit)
+    hits = ranked(scored, "search", 1.0, limit)
     stage2 = hits.select("id", F.col("rank").alias("nth"), F.lit(1).alias("stage"), F.lit(3).alias("siblings"))
     seeds = settled(stage1.unionByName(stage2).join(records, "id"))
-    scores = search(query, 1 << 30).select("id", "score")
-    others = seeds.where("cluster_id IS NOT NULL").select("cluster_id", "stage", "nth", "siblings").join(records, "cluster_id").join(scores, "id")
+    others = seeds.where("cluster_id IS NOT NULL").select("cluster_id", "stage", "nth", "siblings").join(records, "cluster_id").join(scored.select("id", "score").hint("merge"), "id")
     w = Window.partitionBy("stage", "nth").orderBy(F.desc("score"), "id")
     others = others.withColumn("of", F.row_number().over(w)).where("of <= siblings").select("id", F.struct("stage", "nth", F.lit(0).alias("own"), "of").alias("at"))
     own = seeds.select("id", F.struct("stage", "nth", F.lit(1).alias("own"), F.lit(0).alias("of")).alias("at"))

@@ -101,8 +101,10 @@ def lexical_score(query: str, content: Column, path: Column, meta: dict[str, Col
     if not terms:
         return F.lit(0.0)
     c, p = F.lower(content), F.lower(path)
-    hit = [(c.contains(t) | p.contains(t)).cast("double") for t in terms]
-    score = _total([tx.occurrences(c, t) + tx.occurrences(p, t) * PATH_HIT for t in terms]) + _total(hit) * _total(hit)
+    hits = [tx.occurrences(c, t) + tx.occurrences(p, t) * PATH_HIT for t in terms]
+    # a term is there if it is counted, so no text is searched for it again
+    found = _total([F.when(n > 0, 1.0).otherwise(0.0) for n in hits])
+    score = _total(hits) + F.pow(found, F.lit(2.0))
     bonus = lambda test, n: F.when(test, float(n)).otherwise(0.0)
     if len(terms) > 1:
         score = score + bonus(c.contains(query), PHRASE)
@@ -118,7 +120,7 @@ def lexical_score(query: str, content: Column, path: Column, meta: dict[str, Col
     if "evidence_kind" in meta:
         e = meta["evidence_kind"]
         score = score + bonus(e == "source_turn", 6) + bonus(e.isin("fact_atom", "entity_state"), 8) + bonus((e == "temporal_event") & F.lit("when" in query), 10)
-        score = F.when(e == "session_summary", score * 0.5).otherwise(score)
+        score = score * F.when(e == "session_summary", 0.5).otherwise(1.0)  # a factor: the sum stands in the code once
     if "exact" in meta:
         named = F.filter(meta["exact"], lambda x: (x != "") & F.lit(query).contains(F.lower(x)))
         score = score + EXACT * F.coalesce(F.greatest(F.size(named), F.lit(0)), F.lit(0))

@@ -419,10 +419,10 @@ PAGED = [
 @query(sql(PAGED, "SELECT id, row_number() OVER (ORDER BY min((stage, nth, own, o))) AS place FROM every GROUP BY id QUALIFY place <= 12"))
 def o192_page_in(spark, sf):
     v = table(spark, sf, "embeddings")
-    search = lambda q, n: v.selectExpr("vec_id AS id", "cast(vec_id % 97 AS double) AS score").orderBy(F.desc("score"), "id").limit(min(n, (1 << 31) - 1))
+    scored = v.selectExpr("vec_id AS id", "cast(vec_id % 97 AS double) AS score")
     # only edges that go out from the entity are beliefs about it
     e = _edges(spark, sf).where("source = 'C17' OR NOT contains(lower(concat_ws(' ', source, target, relation_type)), 'c17')")
-    return ex.page_in(e, v.selectExpr("vec_id AS id", "label AS cluster_id"), search, "about c17", 12)
+    return ex.page_in(e, v.selectExpr("vec_id AS id", "label AS cluster_id"), scored, "about c17", 12)
 
 
 _W3 = "list_filter(string_split_regex(lower(content), '[^\\p{L}\\p{N}]+'), lambda w: strlen(w) >= 3)"
