@@ -170,3 +170,10 @@ def o154_greedy_clusters(spark, sf):
 def o190_parse_symbols(spark, sf):
     files = spark.createDataFrame([("a.py", "class A:\n    def f(self, x):\n        if x and x > 1:\n            return 1\n\n\ndef g():\n    pass\n")], "path string, content string")
     return cu.parse_symbols(files)
+
+
+@query()
+def o188_call_chain(spark, sf):
+    """Nodes that a chain reaches, with their depth; ``o188_call_chain_edges`` gives the edges of calls."""
+    seeds = spark.createDataFrame([("c10",)], "node string")
+    return gr.reachable(edges(spark, sf).where("NOT startswith(target, 'file:')"), seeds, 8)
