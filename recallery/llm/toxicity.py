@@ -13,6 +13,8 @@ must stand out by several words.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -80,6 +82,15 @@ def subwords(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return bucket[kept], segment[kept], owner[~again]
 
 
+def _has_words(text: str) -> bool:
+    return any(c.isalpha() and c < "\U00010000" for c in text.lower())
+
+
+def _small(numbers: np.ndarray) -> np.ndarray:
+    """The same numbers, none negative, in the smallest type that holds them."""
+    return numbers.astype(np.min_scalar_type(int(numbers.max())))
+
+
 class SubwordSoftmax:
     """Embeddings of subword buckets, averaged over segments, into a softmax of two classes."""
 
@@ -90,25 +101,26 @@ class SubwordSoftmax:
         self.margin = (table @ (weights[1] - weights[0])).astype(np.float64)  # linear: project first, average after
 
     @classmethod
-    def fit(cls, rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7) -> SubwordSoftmax:
-        """Rows of buckets, their segments (from 0) and the label."""
+    def fit(cls, rows: list[tuple[str, int]], seed: int = 7) -> SubwordSoftmax:
+        """Rows of a text and its label; subwords are held once, by batches, in the smallest types."""
         rng = np.random.default_rng(seed)
         table = rng.normal(0, 0.05, (1 << BITS, WIDTH)).astype(np.float32)
         weights = rng.normal(0, 0.5, (2, WIDTH))
-        rows = [r for r in rows if len(r[0])]
-        if len({r[2] for r in rows}) < 2:
-            share = float(np.mean([r[2] for r in rows])) if rows else 0.0
+        rows = [r for r in rows if _has_words(r[0])]
+        if len({r[1] for r in rows}) < 2:
+            share = float(np.mean([r[1] for r in rows])) if rows else 0.0
             return cls(table * 0, weights, float(np.log((share + 1e-3) / (1 - share + 1e-3))))
         bias, grown_b = -5.0, 1e-4
         grown, grown_w = np.full(1 << BITS, START, np.float32), np.full(WIDTH, 1e-4)
         rows = [rows[k] for k in rng.permutation(len(rows))]
         batches = []
-        while rows:  # small types, and what is batched goes: the driver holds one copy
-            part, rows = rows[-BATCH:], rows[:-BATCH]
+        while rows:
+            part = [(*subwords([text])[:2], known) for text, known in rows[-BATCH:]]
+            del rows[-BATCH:]
             flat, back = np.unique(np.concatenate([r[0] for r in part]), return_inverse=True)
             many = np.array([int(r[1].max()) + 1 for r in part])
-            segment = np.concatenate([r[1].astype(np.int32) + k for r, k in zip(part, np.cumsum(many) - many, strict=True)]).astype(np.int32)
-            batches.append((flat, back.astype(np.int32), segment, np.repeat(np.arange(len(part)), many), np.array([r[2] for r in part])))
+            segment = np.concatenate([r[1] + k for r, k in zip(part, np.cumsum(many) - many, strict=True)])
+            batches.append((*map(_small, (flat, back, segment, np.repeat(np.arange(len(part)), many))), np.array([r[2] for r in part])))
         epochs = max(EPOCHS, -(-STEPS // len(batches)))
         for epoch in range(epochs):
             rate = RATE * (1 - epoch / epochs)
@@ -164,19 +176,16 @@ class SubwordSoftmax:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> SubwordSoftmax:
-    """Fit on a bounded sample of labelled documents; only hashed subwords come to the driver."""
+    """Fit on a bounded sample of labelled documents in one task; only the model comes to the driver."""
 
-    def features(batches):
-        for batch in batches:
-            pairs = [subwords([t])[:2] for t in batch.column("text").to_pylist()]
-            cuts = pa.array(np.cumsum([0] + [len(p[0]) for p in pairs]).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([p[k] for p in pairs]).astype(t))) for k, t in ((0, np.int32), (1, np.int16))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *lists], ["doc_id", "label", "at", "segment"])
-
-    sample = labelled_sample(docs, labels, label, ROWS_PER_CLASS, LONGEST).select("doc_id", "label", "text")
-    rows = sample.mapInArrow(features, "doc_id long, label int, at array<int>, segment array<smallint>").toArrow().sort_by("doc_id")
-    cells = (rows[c].to_numpy() if c == "label" else [x.values.to_numpy() for x in rows[c]] for c in ("at", "segment", "label"))
-    model = SubwordSoftmax.fit([(a, g, int(y)) for a, g, y in zip(*cells, strict=True)])
+    def fit(batches):
+        rows = [row for batch in batches for row in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(SubwordSoftmax.fit(rows))], pa.binary())], ["model"])
+
+    sample = labelled_sample(docs, labels, label, ROWS_PER_CLASS, LONGEST).select("doc_id", "text", "label")
+    # at most 2 * ROWS_PER_CLASS short texts; their steps follow each other, so they meet in one task, in the order of their ids
+    found = sample.repartition(1).sortWithinPartitions("doc_id", "text", "label").mapInArrow(fit, "model binary").collect()
+    model = pickle.loads(found[0].model) if found else SubwordSoftmax.fit([])
     model.tail, model.n_clean = _clean_tail(docs, labels, label, model)
     return model
 

@@ -321,3 +321,13 @@ def test_background_grows_with_length(spark):
     model.tail, model.n_clean = np.linspace(3, -7, 500), 100_000
     found = model.background(np.array([1, 10, 1000, 10_000, 100_000, 1_000_000]))
     assert (np.diff(found) >= 0).all() and found[0] == 0 and found[-1] < 8
+
+
+def test_the_toxicity_fit_runs_in_a_task(tables, monkeypatch):
+    """The driver gets the model alone, equal to one fitted here on the same rows in the order of their ids."""
+    docs, labels = tables
+    sample = common.labelled_sample(docs, labels, "toxic", toxicity.ROWS_PER_CLASS, toxicity.LONGEST).orderBy("doc_id").collect()
+    want = toxicity.SubwordSoftmax.fit([(r.text, r.label) for r in sample])
+    monkeypatch.setattr(toxicity.SubwordSoftmax, "fit", lambda *_: pytest.fail("fitted in the driver"))
+    found = toxicity.fit_toxicity(docs, labels)
+    assert np.array_equal(found.margin, want.margin) and found.bias == want.bias
