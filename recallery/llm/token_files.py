@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, slices
 from .encoders import END_ID, TextEncoder
 
 #: Writer settings: ids by dictionary (vocabularies fit one dictionary page), ids of documents and
@@ -27,6 +27,9 @@ LAYOUT = {
     "compression": "zstd",
 }
 
+#: bytes of texts that are encoded at once
+BATCH_BYTES = 4 << 20
+
 
 def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Ids of each whole text (null: empty) with the end id appended; keeps the order of rows."""
@@ -34,15 +37,13 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     def encode(batches):
         encoder = TextEncoder(tokenizer, word_ends=True)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = [np.append(encoder.encode(t.as_py() or ""), np.uint32(END_ID)) for t in part.column(1)]
-                counts = np.array([len(x) for x in ids], np.int32)
-                flat = pa.array(np.concatenate(ids).astype(np.int32)) if ids else pa.array([], pa.int32())
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts), lists], ["doc_id", "n_tokens", "ids"])
+            texts = [t or b"" for t in batch.column(1).to_pylist()]
+            for a, b in slices([len(t) for t in texts], BATCH_BYTES):
+                part, (ids, counts) = batch.slice(a, b - a), encoder.encode_words(texts[a:b])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts.astype(np.int32)), lists], ["doc_id", "n_tokens", "ids"])
 
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     return plain.mapInArrow(encode, "doc_id long, n_tokens int, ids array<int>")
 
 

@@ -234,3 +234,17 @@ def test_op4_ids_equal_the_library(spark, sf):
     for r in found:
         assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes())
     assert sum(r.length for r in found) == sum(map(len, ids.values()))
+
+
+def test_words_of_a_batch_equal_the_library_and_are_encoded_once(spark, sf, monkeypatch):
+    encoder = TextEncoder(public_tokenizers.path("word_bpe_49k.json"), True)
+    rng, parts = random.Random(2), ["a", "B", " ", "\n", "é", "É", "Þ", "ß", "'s", "'S", "'", "''", "'ll", "'re", "'r", "ve", "l", "1", "23", "!!", "\"'", "st", "."]
+    every = texts(spark, sf) + ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(3000)] + ["'", "'l", "", "×", "日", "<|", ""]
+    ids, counts = encoder.encode_words([t.encode() for t in every])
+    for t, found in zip(every, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+        assert found.tolist() == [*encoder.library.encode(t, add_special_tokens=False).ids, 2], repr(t[:80])
+    encoded = []
+    plain = encoder.fast.encode_to_numpy
+    monkeypatch.setattr(encoder.fast, "encode_to_numpy", lambda text, **how: encoded.append(text) or plain(text, **how))
+    ids, counts = encoder.encode_words([b"Thousands of words, of words " * 500, b"of thousands"])
+    assert len(ids) == counts.sum() and sum(map(len, encoded)) < 50
