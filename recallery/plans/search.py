@@ -92,7 +92,7 @@ def o63_fts_prefix(spark, sf):
 def o63_fts_batch(spark, sf):
     """Every benchmark item as a query."""
     asked = table(spark, sf, "benchmark").selectExpr("item_id AS query_id", "text AS query")
-    found = ft.best_of_each(ft.fts_search_batch(ft.build_index(memories(spark, sf)), asked), 5)
+    found = ft.best_of_each(ft.fts_search_batch(ft.build_index(memories(spark, sf)), asked, 5), 5)
     return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
