@@ -115,8 +115,8 @@ def page_in(edges: DataFrame, records: DataFrame, scored: DataFrame, query: str,
     Result: ``id, place`` up to ``limit``.
     """
     near = belief_search(edges, query).select("id", "target", "confidence", "provenance").withColumn("depth", F.lit(0))
-    # the named beliefs are few, what they lead to may not be
-    next_ = near.select(F.col("target").alias("source"), F.col("id").alias("from_id")).join(edges, "source").select("id", "target", "confidence", "provenance").withColumn("depth", F.lit(1))
+    # a belief counts once, however many of the named ones lead to it
+    next_ = edges.join(near.select(F.col("target").alias("source")).distinct(), "source", "left_semi").select("id", "target", "confidence", "provenance").withColumn("depth", F.lit(1))
     stage1 = near.unionByName(next_).groupBy(F.col("provenance").alias("id")).agg(F.min(F.struct("depth", (-F.col("confidence")).alias("less"), "id")).alias("order"))
     stage1 = stage1.orderBy("order").limit(limit).withColumn("nth", F.row_number().over(Window.orderBy("order"))).select("id", "nth", F.lit(0).alias("stage"), F.lit(5).alias("siblings"))
     hits = ranked(scored, "search", 1.0, limit)
